@@ -5,6 +5,7 @@ from __future__ import annotations
 from inkloom.llm.decontaminate import op1_decontaminate_seeds
 from inkloom.llm.langid import op10_langid_kernel
 from inkloom.llm.mpeg import op6_mpeg_audio
+from inkloom.llm.neardup import op7_neardup_probminhash
 from inkloom.llm.packing import op2_pack_hilbert
 from inkloom.llm.pii import op9_pii_boosting
 from inkloom.llm.quality import op4_quality_ftrl
@@ -19,6 +20,7 @@ QUERIES = {
         op4_quality_ftrl,
         op5_token_orc,
         op6_mpeg_audio,
+        op7_neardup_probminhash,
         op8_toxicity_counterfactual,
         op9_pii_boosting,
         op10_langid_kernel,
