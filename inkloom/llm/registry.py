@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from inkloom.llm.decontaminate import op1_decontaminate_seeds
+from inkloom.llm.html import op3_html_wrapper
 from inkloom.llm.langid import op10_langid_kernel
 from inkloom.llm.mpeg import op6_mpeg_audio
 from inkloom.llm.neardup import op7_neardup_probminhash
@@ -17,6 +18,7 @@ QUERIES = {
     for f in (
         op1_decontaminate_seeds,
         op2_pack_hilbert,
+        op3_html_wrapper,
         op4_quality_ftrl,
         op5_token_orc,
         op6_mpeg_audio,
