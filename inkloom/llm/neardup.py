@@ -8,8 +8,10 @@ are candidates; they are verified by the exact Jaccard similarity of their sets
 
 Large buckets: exact copies are one node each. Every member of a bucket is first compared with the bucket's least node
 only; the links found are joined to components, and just the candidates left in different components are compared one
-to one. So a bucket of many near copies costs about as many comparisons as it has members, and no link between different
-components is lost.
+to one, if their parity sketches allow the similarity. A sketch has one bit for each of 1024 hash values: whether an odd
+number of shingles has it. Each shingle that only one of two texts has flips one bit, so texts that are similar enough can
+never differ in more bits than in shingles. So a bucket of many near copies costs about as many comparisons as it has
+members, and no link between different components is lost.
 """
 
 from __future__ import annotations
@@ -26,6 +28,7 @@ from inkloom.llm import common, textvec
 
 WORDS, SIMILARITY = 5, 0.8
 ROWS, BANDS = 7, 36
+SKETCH = 16  # longs of the parity sketch
 #: Sets this small can't reach the similarity unless they are equal.
 TINY = 3
 KEPT_COPIES = 20_000
@@ -72,8 +75,8 @@ def signatures(n_docs: int, doc: np.ndarray, h: np.ndarray, weight: np.ndarray,
 
 
 def band_hashes(texts: Sequence[str], words: int = WORDS, rows: int = ROWS, bands: int = BANDS) -> tuple[np.ndarray, np.ndarray]:
-    """(number of distinct shingles, bands x hash) of each text. Weights are 1 + ln(count)."""
-    sizes, out = np.zeros(len(texts), np.int64), np.zeros((len(texts), bands), np.int64)
+    """(number of distinct shingles, a hash for each band and then the sketch) of each text. Weights are 1 + ln(count)."""
+    sizes, out = np.zeros(len(texts), np.int64), np.zeros((len(texts), bands + SKETCH), np.int64)
     for start, block in textvec.blocks(texts):
         doc, h, count = shingles(block, words)
         n = np.bincount(doc, minlength=len(block))
@@ -89,12 +92,17 @@ def band_hashes(texts: Sequence[str], words: int = WORDS, rows: int = ROWS, band
         for r in range(rows):
             mixed = textvec.mix(mixed * np.uint64(GOLD) + who[:, r::rows] + np.uint64(r))
         sizes[start : start + len(block)] = n
-        out[start : start + len(block)] = mixed.view(np.int64)
+        out[start : start + len(block), :bands] = mixed.view(np.int64)
+        bit = textvec.mix(h + np.uint64(SILVER)) % np.uint64(64 * SKETCH)
+        sketch = np.zeros((len(block), SKETCH), np.uint64)
+        np.bitwise_xor.at(sketch, (doc, (bit >> np.uint64(6)).astype(np.int64)), np.uint64(1) << (bit & np.uint64(63)))
+        out[start : start + len(block), bands:] = sketch.view(np.int64)
     return sizes, out
 
 
 def signed(docs: DataFrame, rows: int = ROWS, bands: int = BANDS) -> DataFrame:
-    """doc_id, key (digest of the text), n (distinct shingles), bands: one row for each row of docs, written."""
+    """doc_id, key (digest of the text), n (distinct shingles), bands (hashes, then the sketch): a row for each row of docs."""
+    width = bands + SKETCH
     common.small_batches(docs.sparkSession)
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -107,7 +115,7 @@ def signed(docs: DataFrame, rows: int = ROWS, bands: int = BANDS) -> DataFrame:
             sizes, hashes = band_hashes([texts[i] for i in new.values()], rows=rows, bands=bands)
             kept.update((k, (int(n), x.tobytes())) for k, n, x in zip(new, sizes, hashes))
             flat = np.frombuffer(b"".join(kept[k][1] for k in keys), np.int64)
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, flat.size + 1, bands, dtype=np.int32)), pa.array(flat))
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, flat.size + 1, width, dtype=np.int32)), pa.array(flat))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([kept[k][0] for k in keys], pa.int64()), lists], names=["doc_id", "key", "n", "bands"])
 
     text = F.coalesce("text", F.lit(""))
@@ -171,6 +179,12 @@ def size_fits(x: Column, y: Column, similarity: float) -> Column:
     return F.least(x, y) >= similarity * F.greatest(x, y) - 1e-9
 
 
+def sketches_fit(x: Column, y: Column, sizes: Column, similarity: float) -> Column:
+    """Whether sketches x and y differ in no more bits than sets of these sizes (their sum) may differ in shingles."""
+    differ = F.aggregate(F.zip_with(x, y, lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda acc, d: acc + d)
+    return differ <= F.floor(sizes * ((1 - similarity) / (1 + similarity)) + 1e-9)
+
+
 def classes(docs: DataFrame, similarity: float = SIMILARITY, rows: int = ROWS, bands: int = BANDS) -> DataFrame:
     """doc_id, class_id for every row of docs; class_id: the least doc_id among texts linked directly or through others.
 
@@ -182,7 +196,7 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY, rows: int = ROWS, b
     every = signed(docs, rows, bands)
     # exact copies are one node: the least doc_id
     nodes = common.written(every.groupBy("key").agg(F.min("doc_id").alias("m"), F.max("n").alias("n"), F.min_by("bands", F.coalesce("doc_id", F.lit(0))).alias("bands")).select("key", F.coalesce("m", F.xxhash64("key")).alias("node"), "n", "bands"), "nodes")
-    members = nodes.where("n > 0").select("node", "n", F.posexplode("bands").alias("band", "h"))
+    members = nodes.where("n > 0").select("node", "n", F.posexplode(F.slice("bands", 1, bands)).alias("band", "h"))
     members = members.select("node", "n", F.xxhash64("band", "h").alias("bucket"))
     hubs = members.groupBy("bucket").agg(F.min(F.struct("node", "n")).alias("hub"), F.count("*").alias("size")).where("size > 1").select("bucket", F.col("hub.node").alias("a"), F.col("hub.n").alias("n_a"))
     full = common.written(members.join(hubs, "bucket"), "buckets")
@@ -202,10 +216,12 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY, rows: int = ROWS, b
     # a bucket's main component needs no pairs inside; all others meet every member of another component
     parts = rest.groupBy("bucket", "label").agg(F.count("*").alias("c"))
     main = parts.groupBy("bucket").agg(F.max(F.struct("c", "label")).alias("x")).select("bucket", F.col("x.label").alias("main"))
-    rest = rest.join(main, "bucket")
-    one = rest.where("label <> main").select("bucket", F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("label").alias("label_a"))
-    two = rest.select("bucket", F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("label").alias("label_b"), (F.col("label") == F.col("main")).alias("in_main"))
-    other = one.join(two, "bucket").where((F.col("label_a") != F.col("label_b")) & (F.col("in_main") | (F.col("a") < F.col("b"))) & size_fits(F.col("n_a"), F.col("n_b"), similarity))
+    sketch = nodes.select("node", F.slice("bands", bands + 1, SKETCH).alias("sketch"))
+    rest = rest.join(main, "bucket").join(sketch, "node")
+    one = rest.where("label <> main").select("bucket", F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("label").alias("label_a"), F.col("sketch").alias("sketch_a"))
+    two = rest.select("bucket", F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("label").alias("label_b"), F.col("sketch").alias("sketch_b"), (F.col("label") == F.col("main")).alias("in_main"))
+    fits = (F.col("label_a") != F.col("label_b")) & (F.col("in_main") | (F.col("a") < F.col("b"))) & size_fits(F.col("n_a"), F.col("n_b"), similarity)
+    other = one.join(two, (one["bucket"] == two["bucket"]) & fits & sketches_fit(F.col("sketch_a"), F.col("sketch_b"), F.col("n_a") + F.col("n_b"), similarity))
     other = other.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
     more = common.written(verified(common.written(other, "others"), held, similarity), "more")
     label = components(links.unionAll(more)) if more.limit(1).count() else label
