@@ -1,0 +1,99 @@
+"""Checks as data: a rule fires when all its `need` patterns are found in the lower-cased text and none of its `lack` ones.
+
+All rules are compiled into one array expression, so a text is read once, whatever the number of rules.
+"""
+
+from __future__ import annotations
+
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from inkloom.functions import text as T
+
+
+@dataclass(frozen=True)
+class Rule:
+    category: str
+    severity: str
+    title: str
+    need: tuple[str, ...]
+    lack: tuple[str, ...]
+    confidence: float
+    action: str
+
+
+# Patterns, titles, severities and confidences that results are defined by.
+_STATS = r"statistical\s+analysis|analy(?:zed|sis)|\bp\s*[<>=]|regression|t[- ]test|anova|chi-?square|mean|median|sd|ci\b"
+_ML = r"neural\s+network|deep\s+learning|machine\s+learning|trained\s+(?:our|the)\s+model|dataset|benchmark"
+_REPO = r"zenodo|figshare|dryad|github|gitlab|kaggle|osf\.io|ieee\s+dataport|mendeley|data\s+in\s+brief|4tu"
+_SUPPLEMENT = r"supplementary|supporting\s+(?:information|material)|supplemental|si\s*(?:section|material)|e-?component|additional\s+(?:figures|files)"
+_LIVING = r"participants?|patients?|subjects?|cohort|clinical|women|men|animals?|mice|rats?"
+_SEX = r"\b(?:sex|gender)\b|male|female|\bf\b|\bm\b|men and women|boys and girls"
+_TRIAL = r"clinical\s+trial|randomized|intervention|drug|vaccine|dos"
+_RCT = r"randomized\s+controlled\s+trial|randomised\s+controlled\s+trial|\brct\b|randomly\s+assigned"
+_REVIEW = r"systematic\s+review|meta-?analysis|\bprisma\b"
+
+RULES = (
+    Rule("Stats Plan", "Medium", "Missing-data handling not described", (_STATS, r"participants?|patients?|subjects?|survey|questionnaire"), (r"missing\s+data|incomplete\s+data|non-?response|loss\s+to\s+follow-?up|attrition|imputation|multiple\s+imputation|complete-?case",), 0.70, "Describe how missing data were handled"),
+    Rule("Stats Plan", "Low", "Outlier handling not described", (_STATS, r"mean|regression|t[- ]test|anova|outlier"), (r"outlier|extreme\s+value|trimmed|winsor|robust\s+(?:estimat|regression)",), 0.55, "State the definition and treatment of outliers"),
+    Rule("Stats Plan", "Low", "No pre-specified analysis plan evident", (_STATS, r"explor|post-?hoc|secondary\s+analys"), (r"pre-?specified|pre-?registered|analysis\s+plan|primary\s+outcome|secondary\s+outcome|hypothes[ei]s\s+(?:was|were)\s+stated",), 0.55, "State which analyses were planned"),
+    Rule("Safety Ethics", "High", "Pathogen/infectious work without biosafety level", (r"pathogen|virus|bacteria|culture|infectious|bsl-?\d",), (r"bsl-?\d|biosafety\s+level|institutional\s+biosafety",), 0.80, "State the biosafety level and its approval"),
+    Rule("Safety Ethics", "Medium", "Trial without safety-monitoring statement", (_TRIAL,), (r"data\s+safety\s+monitoring|dsmb|safety\s+committee|adverse\s+event",), 0.65, "Describe safety oversight"),
+    Rule("Safety Ethics", "Medium", "No adverse-event reporting", (_TRIAL,), (r"adverse\s+(?:event|effect)|side\s+effect|complication",), 0.60, "Add a paragraph on adverse events"),
+    Rule("Supplementary", "High", "Data reported as 'not shown'", (r"data\s+(?:not\s+shown|not\s+presented|omitted)|results?\s+(?:not\s+shown|not\s+presented)|figure\s+not\s+shown|not\s+shown\s+here",), (), 0.85, "Move these data into the supplement"),
+    Rule("Supplementary", "Medium", "No supplementary material section", (), (_SUPPLEMENT,), 0.65, "Add a section or state that there is none"),
+    Rule("Supplementary", "Low", "Supplementary items not numbered", (_SUPPLEMENT,), (r"(?:supplementary|supporting|supplemental|additional)\s+(?:figure|table|fig|tab)\.?\s*[a-z]?\d|fig\.?\s*s\d|table\s*s\d|figure\s*s\d",), 0.70, "Number the items and cite each"),
+    Rule("Repro Env", "Medium", "ML paper without code-availability statement", (_ML,), (r"code\s+(?:is|are|will\s+be)?\s*(?:publicly\s+)?available|github\.com|gitlab\.com|zenodo|software\s+availability|code\s+repository|open\s+source",), 0.75, "Release the code and say where"),
+    Rule("Repro Env", "Low", "No computational-environment specification", (_ML,), (r"docker|conda|pip\s+install|environment\.yml|requirements\.txt|virtual\s+environment|python\s+\d",), 0.60, "Pin the versions of all dependencies"),
+    Rule("Repro Env", "Medium", "Study protocol not registered", (r"clinical\s+trial|randomized|protocol",), (r"registered|registration\s+number|clinicaltrials\.gov|prospero|osf",), 0.70, "Register the study and include the number"),
+    Rule("Repro Env", "Low", "Train/test split not described", (_ML, r"train(?:ed|ing)\b.{0,80}(?:test|validation)|(?:test|validation)\s+set"), (r"hold-?out|cross-?validation|split|leakage|stratified",), 0.55, "Describe how the data were split"),
+    Rule("SAGER", "Medium", "Sex/gender not reported", (_LIVING,), (_SEX,), 0.65, "Report the composition of the sample"),
+    Rule("SAGER", "Low", "Sex reported but results not disaggregated", (_LIVING, _SEX, r"\b(?:male|female)\b"), (r"by (?:sex|gender)|sex-?stratified|stratified by|per (?:sex|gender)|separately for (?:male|female)|in (?:men|women)\b|in (?:males|females)\b",), 0.55, "Add stratified results or say why not"),
+    Rule("Data License", "Medium", "No data availability or sharing statement", (), (r"data\s+availability|availability\s+of\s+data|data\s+sharing", _REPO), 0.75, "Add a statement that names the repository"),
+    Rule("Data License", "Low", "Shared data without an open license", (_REPO,), (r"creative\s+commons|cc[- ]?by|cc0|open\s+license|license[d]?\s+under|public\s+domain|open\s+(?:access|data)",), 0.65, "State the licence"),
+    Rule("Data License", "Low", "Dataset without version indication", (_REPO,), (r"version|v\d+(?:\.\d+)?|released\s+(?:on|in)|updated",), 0.55, "Cite the version and its date"),
+    Rule("Data License", "Medium", "Proprietary or protected data format mentioned", (r"proprietary\s+format|password-?protected|encrypted\s+file|licensed\s+software\s+(?:format|file)",), (), 0.70, "Convert the data to open formats"),
+    Rule("Reporting Guidelines", "Medium", "Heterogeneity (I2) not reported", (_REVIEW, r"meta-?analysis|pooled|effect\s+size|forest\s+plot"), (r"i\s*2|i-squared|heterogeneity|tau",), 0.75, "Report the heterogeneity and the model"),
+    Rule("Reporting Guidelines", "Medium", "Publication bias not assessed", (_REVIEW, r"meta-?analysis|pooled|effect\s+size|forest\s+plot"), (r"funnel\s+plot|publication\s+bias|egger|trim-and-fill",), 0.70, "Add a funnel plot or a test"),
+)
+
+#: Reporting guidelines: (family, trigger, items that must be found (pattern, name)).
+GUIDELINES = (
+    ("SPIRIT", r"protocol\s+(?:paper|article)|this\s+(?:study\s+)?protocol|we\s+(?:present|describe|report)\s+(?:the\s+)?(?:study\s+)?protocol|\bspirit\b|the\s+trial\s+protocol", ((r"\bnct\d+|clinicaltrials\.gov|registered|registration", "prospective registration"), (r"eligibility\s+criteria|inclusion\s+criteria|exclusion\s+criteria", "eligibility criteria"), (r"primary\s+outcome|co-?primary|secondary\s+outcomes?", "outcome definitions"), (r"ethics\s+approval|irb|institutional\s+review|ethical\s+(?:committee|clearance)", "ethics approval"))),
+    ("PRISMA", _REVIEW, ((r"prospero|registered|protocol", "protocol registration (PROSPERO)"), (r"search(?:ed)?\s+(?:the|in|across)|database(?:s)?\s+search|pubmed|scopus|web\s+of\s+science|embase|cochrane", "search strategy"), (r"risk\s+of\s+bias|rob|newcastle|nos|quadas|grade|cochrane", "risk-of-bias assessment"), (r"flow\s+diagram|prisma\s+flow|study\s+selection|screening|excluded", "PRISMA flow diagram"))),
+    ("ARRIVE 2.0", r"\bmice\b|\brats\b|zebrafish|animal\s+(?:model|study)|rodents?\b", ((r"iacuc|ethics\s+(?:approval|committee)|animal\s+(?:care|welfare)|arrive", "ethics approval (IACUC/ARRIVE)"), (r"random(?:ization|ly|ized)", "randomization"), (r"blind(?:ed|ing)?|mask(?:ed|ing)?", "blinding"), (r"sample\s+size|power\s+(?:calculation|analysis)", "sample-size justification"))),
+    ("CARE", r"case\s+report|single\s+case|we\s+report\s+a\s+(?:case|patient)", ((r"informed\s+consent|written\s+consent|consent\s+(?:was|form)|patient\s+consent", "patient consent"), (r"de-?identif|anonymi[sz]|initials\s+of|pseudonym", "de-identification"), (r"timeline|fig\.?\s*1|figure\s+1|course\s+of\s+(?:the\s+)?(?:illness|treatment)", "clinical timeline"))),
+    ("SRQR/COREQ", r"qualitative\s+(?:study|research|interview)|semi-?structured\s+interviews?|focus\s+groups?|thematic\s+analysis|ethnograph", ((r"theoretical\s+framework|grounded\s+theory|phenomenolog|narrative\s+analysis|framework\s+analysis", "theoretical framework"), (r"saturation|no\s+(?:new\s+)?(?:themes?\s+(?:were|emerged)|further\s+(?:codes?|themes?))", "data saturation"), (r"coding\s+(?:process|scheme)|open\s+coding|axial\s+coding|double[- ]coding|inter-?coder|codebook", "coding process"))),
+)
+
+
+def all_rules() -> tuple[Rule, ...]:
+    items = [Rule("Reporting Guidelines", "High", f"{family}: {name}", (trigger,), (pattern,), 0.80, f"Report {name}") for family, trigger, listed in GUIDELINES for pattern, name in listed]
+    return (*RULES, *items)
+
+
+def unicode_bounds(pattern: str) -> str:
+    """Word bounds that take all letters as word signs, whatever the Java version."""
+    return f"(?U){pattern}" if r"\b" in pattern else pattern
+
+
+def compiled(low: Column, rules: tuple[Rule, ...]) -> Column:
+    """array<struct> of the rules that fire on a lower-cased text."""
+    def one(seq: int, r: Rule) -> Column:
+        hit = F.length(low) > 0
+        for p in r.need:
+            hit = hit & low.rlike(unicode_bounds(p))
+        for p in r.lack:
+            hit = hit & ~low.rlike(unicode_bounds(p))
+        return F.when(hit, F.struct(F.lit(seq).alias("seq"), F.lit(r.category).alias("category"), F.lit(r.severity).alias("severity"), F.lit(r.title).alias("title"), F.lit(r.confidence).alias("confidence"), F.lit(r.action).alias("action")))
+
+    return F.filter(F.array(*[one(k, r) for k, r in enumerate(rules)]), lambda x: x.isNotNull())
+
+
+def findings(docs: DataFrame, rules: tuple[Rule, ...] | None = None) -> DataFrame:
+    """doc_id, seq, category, severity, title, confidence, action: a row for each rule that fires."""
+    d = docs.select("doc_id", F.lower(T.text_of("text")).alias("low"))
+    d = d.select("doc_id", compiled(F.col("low"), rules or all_rules()).alias("f"))
+    return d.select("doc_id", F.explode_outer("f").alias("f")).where(F.col("f").isNotNull()).select("doc_id", "f.*")

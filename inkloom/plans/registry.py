@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from inkloom.plans import text_queries
+from inkloom.plans import manuscript_queries, text_queries
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**text_queries.QUERIES}
-ORACLES: dict[str, str] = {**text_queries.ORACLES}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**text_queries.QUERIES, **manuscript_queries.QUERIES}
+ORACLES: dict[str, str] = {**text_queries.ORACLES, **manuscript_queries.ORACLES}
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return QUERIES["corpus_overlap"](spark, sf_dir)
+    return QUERIES["batch_report"](spark, sf_dir)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 WORDS = r"regexp_extract_all({0}, '[A-Za-z0-9][A-Za-z0-9''\-]*')"
@@ -40,3 +41,9 @@ def term_count(x: str, terms: Sequence[str]) -> str:
 
 def quoted(items: Sequence[str]) -> str:
     return "[" + ", ".join("'" + s.replace("'", "''") + "'" for s in items) + "]"
+
+
+def plain_bounds(pattern: str) -> str:
+    """The pattern with word bounds spelt out, as RE2 takes ASCII letters only; for tests of a match, not for its text."""
+    out = re.sub(r"\\b(?=[A-Za-z(])", r"(?:^|[^\\p{L}\\p{N}_])", pattern)
+    return out.replace(r"\b", r"(?:[^\p{L}\p{N}_]|$)")
