@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkloom.operators import findings as R
-from inkloom.operators import numbers, rules
+from inkloom.operators import metrics, numbers, rules, statistics
 from inkloom.plans import sql as S
+from inkloom.sources import manuscripts as sources
+from inkloom.streaming import rolling
 
 NOTES = (
     "", "We report a case. Informed consent was obtained.", "A systematic review and meta-analysis. We searched PubMed.", "A clinical trial of a drug in patients; the mean was analyzed.",
@@ -50,7 +52,23 @@ def orcid_checksum(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", numbers.mod11_check(F.col("digits")).alias("check_character"))
 
 
+def stated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statements of tests and means with numbers made from doc_id."""
+    d, k = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id"), F.col("doc_id").cast("string")
+    said = F.concat(F.lit("t("), F.pmod("doc_id", F.lit(60)) + 10, F.lit(") = 2."), F.pmod("doc_id", F.lit(10)), F.lit(", p = .04. N = "), F.pmod("doc_id", F.lit(40)) + 10, F.lit(". M = 3."), F.lpad(F.pmod(k.cast("long"), F.lit(100)).cast("string"), 2, "0"), F.lit("."))
+    return d.select("doc_id", said.alias("text"))
+
+
+def events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/events.parquet")
+
+
 QUERIES = {
+    "reported_tests": lambda s, d: statistics.reported_tests(stated(s, d)),
+    "impossible_means": lambda s, d: statistics.impossible_means(stated(s, d)),
+    "conversation_word_count": lambda s, d: metrics.word_counts(sources.from_conversations(s.read.parquet(f"{d}/conversations.parquet"))),
+    "event_windows": lambda s, d: rolling.window_counts(events(s, d)),
+    "event_sessions": lambda s, d: rolling.sessions(events(s, d)),
     "rule_findings": rule_findings,
     "severity_counts": lambda s, d: R.severity_counts(found(s, d)),
     "readiness_score": readiness_score,
@@ -85,6 +103,15 @@ _COUNTS = "select doc_id, " + ", ".join(f"count(*) filter (severity = '{s[0]}')
 _RANKED = f"select f.*, row_number() over (partition by doc_id order by rank, confidence desc, seq) as place from f join {_DIM} using (severity)"
 
 ORACLES = {
+    "impossible_means": """with d as (select doc_id, '3.' || lpad((doc_id % 100)::varchar, 2, '0') as mean, (doc_id % 40 + 10)::int as n from documents),
+        k as (select *, round_even(mean::double * n, 0)::bigint as k from d)
+        select doc_id, mean, n, printf('%.2f', (k - 1) / n) = mean or printf('%.2f', k / n) = mean or printf('%.2f', (k + 1) / n) = mean as possible from k""",
+    "conversation_word_count": f"""with c as (select conv_id as doc_id, string_agg(coalesce(text, ''), chr(10) order by turn) as text from conversations group by conv_id)
+        select doc_id, len({S.words('text')})::int as word_count, len({S.sentences('text')})::int as sentence_count from c""",
+    "event_windows": "select date_trunc('hour', ts) as start, event_type, count(*) as n, round(sum(value), 4) as total from events group by all",
+    "event_sessions": """with e as (select user_id, ts, case when ts < lag(ts) over w + interval 30 minutes then 0 else 1 end as first from events window w as (partition by user_id order by ts)),
+        s as (select user_id, ts, sum(first) over (partition by user_id order by ts rows unbounded preceding) as k from e)
+        select user_id, min(ts) as start, count(*) as n from s group by user_id, k""",
     "rule_findings": f"select doc_id, category, severity, title, confidence from {_findings()}",
     "severity_counts": f"with f as {_findings()} {_COUNTS}",
     "readiness_score": f"with f as {_findings()}, {_READY} select * from ready",
