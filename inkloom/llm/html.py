@@ -242,7 +242,8 @@ def induce(pages: list[str]) -> dict[str, int]:
     slots: set[str] = set()
     for k, one in enumerate(trees):
         for two in trees[k + 1 : k + 3]:  # each with the next two
-            pairs, paths = [(x, own_text(x), own_text(y)) for x, y in align(one, two)], kinds(one)
+            # inline elements belong to their block's text
+            pairs, paths = [(x, own_text(x), own_text(y)) for x, y in align(one, two) if x.tag in BLOCKS], kinds(one)
             size = sum(len(s) for _, s, _ in pairs)
             if not size or sum(len(s) for _, s, t in pairs if s == t) > 0.8 * size:
                 continue
@@ -315,35 +316,49 @@ def _find(x: Node, test) -> list[Node]:
 
 
 def region(root: Node) -> list[Node]:
-    """The nodes that hold the article: marked ones, else the element whose blocks carry most text that isn't links."""
+    """The nodes that hold the article: marked ones, else the element whose blocks carry most text that isn't links.
+
+    From that element on, a parent is taken instead as long as it holds a fifth more of such text.
+    """
     for test in (lambda x: x.attrs.get("itemprop", "").lower() == "articlebody", lambda x: x.tag == "article", lambda x: x.tag == "main" or x.attrs.get("role", "").lower() == "main"):
         found = [(len(text_of(x)), x) for x in _find(root, test)]
         most = max((n for n, _ in found), default=0)
         if most:
             return [x for n, x in found if 4 * n >= most]
     best, score = root, -1.0
+    plain: dict[int, int] = {}  # text that isn't links
+    parents: dict[int, Node] = {}
 
     def weigh(x: Node) -> tuple[float, int]:
         """(text of own blocks that isn't links, all text)."""
         nonlocal best, score
         own, below = 0.0, 0
+        kept = len(own_text(x)) if x.tag in ("div", "section", "td", "body", "#root") else 0
+        own += kept
         for k in elements(x):
+            parents[id(k)] = x
             if k.tag in ("p", "pre", "blockquote", "li", "td", "dd", *HEADINGS):
                 s = len(text_of(k))
                 links = sum(len(text_of(a)) for a in _find(k, lambda y: y.tag == "a"))
                 if links * 2 <= s:
                     own += s if k.tag in ("p", "pre", "blockquote") else 0.5 * s
+                    kept += s
                 below += s
             elif k.tag in BLOCKS:
                 inner, n = weigh(k)
                 own += 0.5 * inner
                 below += n
-        own += len(own_text(x)) if x.tag in ("div", "section", "td", "body") else 0
+                kept += plain[id(k)]
+        plain[id(x)] = kept
         if own > score:
             best, score = x, own
         return own, below
 
     weigh(root)
+    at: Node | None = best
+    while (at := parents.get(id(at))) is not None:
+        if plain[id(at)] >= 1.2 * plain[id(best)]:
+            best = at
     return [best]
 
 

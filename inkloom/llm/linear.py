@@ -16,12 +16,13 @@ def sigmoid(x):
 
 @dataclass(frozen=True)
 class Space:
-    """Which features a text has: n-grams of tokens and of token shapes, present or absent, in 2**bits places."""
+    """Which features a text has: n-grams of tokens and of token shapes, and word beginnings, present or absent, in 2**bits places."""
 
     orders: tuple[int, ...] = (1, 2)
     shape_orders: tuple[int, ...] = ()
     words_only: bool = False
     bits: int = 20
+    prefixes: tuple[int, ...] = ()  # bytes
 
     def rows(self, texts: Sequence[str | None]) -> list[np.ndarray]:
         """Sorted distinct feature ids of each text."""
@@ -35,7 +36,7 @@ class Space:
 
     def _pairs(self, block: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         tokens = textvec.Tokens(block, shapes=bool(self.shape_orders), words_only=self.words_only)
-        return textvec.features(tokens, self.orders, self.shape_orders, self.bits)
+        return textvec.features(tokens, self.orders, self.shape_orders, self.bits, self.prefixes)
 
     def scores(self, texts: Sequence[str | None], weights: np.ndarray, bias: float) -> np.ndarray:
         """Sparse dot products of all texts: only features of weight other than 0 are made distinct and summed."""
@@ -74,9 +75,9 @@ class FTRL:
         self.z[ids] += grad - (np.sqrt(more) - np.sqrt(n)) / self.alpha * w
         self.n[ids] = more
 
-    def learn(self, ids: np.ndarray, y: int) -> None:
+    def learn(self, ids: np.ndarray, y: int, weight: float = 1.0) -> None:
         w = self.weights(ids)
-        self.push(ids, np.full(ids.size, sigmoid(w.sum()) - y), w)
+        self.push(ids, np.full(ids.size, weight * (sigmoid(w.sum()) - y)), w)
 
     def all_weights(self) -> tuple[np.ndarray, float]:
         w = self.weights(np.arange(self.size + 1))

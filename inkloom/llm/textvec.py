@@ -95,6 +95,7 @@ class Tokens:
         np.cumsum((low.astype(np.uint64) + np.uint64(1)) * p[: raw.size], out=total[1:])
         self.hash = mix((total[ends] - total[starts]) * q[starts] + (ends - starts).astype(np.uint64))
         self.kind = cls[starts]
+        self._total, self._inverse, self._starts, self._ends = total, q, starts, ends
         bounds = np.cumsum([len(x) + 1 for x in encoded])
         self.doc = np.searchsorted(bounds, starts, side="right")
         self.n_docs = len(encoded)
@@ -109,6 +110,13 @@ class Tokens:
             # signs keep their identity: "|" and "!!" are shapes of their own
             self.shape = np.where(self.kind == SIGN, self.hash, mix(code.astype(np.uint64) + np.uint64(77)))
 
+    def prefixes(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """(doc, hash) of the first n bytes of every token that has more."""
+        long = self._ends - self._starts > n
+        at = self._starts[long]
+        h = (self._total[at + n] - self._total[at]) * self._inverse[at]
+        return self.doc[long], mix(h + np.uint64((n << 32) + 5))
+
     def grams(self, values: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
         """(doc, hash) of all runs of n tokens inside a document; values: a hash for each token."""
         if n == 1:
@@ -123,8 +131,8 @@ class Tokens:
         return self.doc[:m][same], mix(out[same] + np.uint64(n))
 
 
-def features(tokens: Tokens, orders: Sequence[int], shape_orders: Sequence[int], bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """(doc, feature id below 2**bits) for every n-gram, repeats included."""
+def features(tokens: Tokens, orders: Sequence[int], shape_orders: Sequence[int], bits: int, prefixes: Sequence[int] = ()) -> tuple[np.ndarray, np.ndarray]:
+    """(doc, feature id below 2**bits) for every n-gram and word beginning, repeats included."""
     docs, ids = [], []
     for n in orders:
         d, h = tokens.grams(tokens.hash, n)
@@ -134,6 +142,10 @@ def features(tokens: Tokens, orders: Sequence[int], shape_orders: Sequence[int],
         d, h = tokens.grams(tokens.shape, n)
         docs.append(d)
         ids.append(mix(h + np.uint64(1)))
+    for n in prefixes:
+        d, h = tokens.prefixes(n)
+        docs.append(d)
+        ids.append(h)
     shift = np.uint64(64 - bits)
     return np.concatenate(docs), (np.concatenate(ids) >> shift).astype(np.int64)
 

@@ -1,6 +1,6 @@
 """Operator 8: toxicity classifier with counterfactual regularisation.
 
-Logistic regression over hashed words (FTRL). For every training text a counterfactual is made by swapping identity
+Logistic regression over hashed words and their first 4, 5 and 6 bytes (FTRL). For every training text a counterfactual is made by swapping identity
 terms: a mentioned group becomes another group of the same kind. A text without such a mention gets a neutral one, so
 the pair (mention of a, mention of b, no mention) exists in any corpus. Each step adds the gradient of
 strength * (score(x) - score(x'))^2, so group mentions alone can't carry a score.
@@ -47,8 +47,8 @@ def counterfactual(text: str, pick: int) -> tuple[str, str]:
     return text, f"{text} {terms[pick % len(terms)]}"
 
 
-def train(rows: list[tuple[str, int]], space: Space, epochs: int = 3, alpha: float = 0.3, l1: float = 3.0, l2: float = 1.0, strength: float = 1.0) -> QualityModel:
-    """Fit on (text, label); strength 0 leaves the counterfactual penalty out."""
+def train(rows: list[tuple[str, int]], space: Space, epochs: int = 3, alpha: float = 0.3, l1: float = 6.0, l2: float = 1.0, strength: float = 1.0, positive: float = 2.0) -> QualityModel:
+    """Fit on (text, label); strength 0 leaves the counterfactual penalty out; positive: weight of label 1."""
     learner = FTRL(1 << space.bits, alpha=alpha, l1=l1, l2=l2)
     bias = np.array([1 << space.bits])
     pairs = [counterfactual(t, k) for k, (t, _) in enumerate(rows)]
@@ -58,7 +58,7 @@ def train(rows: list[tuple[str, int]], space: Space, epochs: int = 3, alpha: flo
     losses = [np.setdiff1d(a[:-1], b, assume_unique=True) for a, b in zip(feats, other)]
     for epoch in range(epochs):
         for k in np.random.default_rng(epoch).permutation(len(rows)):
-            learner.learn(feats[k], rows[k][1])
+            learner.learn(feats[k], rows[k][1], positive if rows[k][1] else 1.0)
             if strength:
                 ids = np.concatenate((gains[k], losses[k]))
                 sign = np.concatenate((np.ones(gains[k].size), -np.ones(losses[k].size)))
@@ -75,7 +75,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 10_000, sample_chars:
     """A model from at most `sample` labelled rows that aren't held out."""
     common.small_batches(docs.sparkSession)
     rows = common.labelled_sample(docs, labels, "toxic", sample, sample_chars)
-    return train(rows, Space(orders=(1,), words_only=True, bits=bits))
+    return train(rows, Space(orders=(1,), words_only=True, bits=bits, prefixes=(4, 5, 6)))
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, sample: int = 10_000) -> DataFrame:
