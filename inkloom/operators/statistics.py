@@ -30,7 +30,7 @@ def reported_tests(docs: DataFrame) -> DataFrame:
     for kind, pattern, (a, b, v) in FORMS:
         last = max(a, b, v)
         group = lambda s, k: F.regexp_extract(s, pattern, k)
-        number = lambda s, k: group(s, k).cast("double") if k else F.lit(None).cast("double")
+        number = lambda s, k: group(s, k).try_cast("double") if k else F.lit(None).cast("double")
         each.append(F.transform(F.regexp_extract_all(t, F.lit(pattern), F.lit(0)), lambda s: F.struct(
             F.lit(kind).alias("kind"), number(s, a).alias("df1"), number(s, b).alias("df2"), number(s, v).alias("value"), group(s, last + 1).alias("sign"),
             number(s, last + 2).alias("reported"), F.length(F.regexp_extract(group(s, v), r"\.(\d+)", 1)).alias("digits"))))
@@ -47,5 +47,5 @@ def impossible_means(docs: DataFrame) -> DataFrame:
     """doc_id, mean, n, possible: means of two decimals or more with the nearest sample size before them (400 characters)."""
     found = F.regexp_extract_all(T.text_of("text"), F.lit(r"(?s)\bN\s*=\s*\d+(?:(?!\bN\s*=).){0,400}?\bM\s*=\s*\d+\.\d{2,}"), F.lit(0))
     rows = docs.select("doc_id", F.explode_outer(found).alias("s")).where(F.col("s").isNotNull())
-    rows = rows.select("doc_id", F.regexp_extract("s", r"M\s*=\s*(\d+\.\d+)$", 1).alias("mean"), F.regexp_extract("s", r"^N\s*=\s*(\d+)", 1).cast("int").alias("n"))
+    rows = rows.select("doc_id", F.regexp_extract("s", r"M\s*=\s*(\d+\.\d+)$", 1).alias("mean"), F.regexp_extract("s", r"^N\s*=\s*(\d+)", 1).try_cast("int").alias("n"))
     return rows.where(F.col("n").between(5, 1000)).select("doc_id", "mean", "n", grim("mean", "n").alias("possible"))
