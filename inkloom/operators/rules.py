@@ -22,6 +22,7 @@ class Rule:
     lack: tuple[str, ...]
     confidence: float
     action: str
+    least_words: int = 0
 
 
 # Patterns, titles, severities and confidences that results are defined by.
@@ -33,6 +34,7 @@ _LIVING = r"participants?|patients?|subjects?|cohort|clinical|women|men|animals?
 _SEX = r"\b(?:sex|gender)\b|male|female|\bf\b|\bm\b|men and women|boys and girls"
 _TRIAL = r"clinical\s+trial|randomized|intervention|drug|vaccine|dos"
 _RCT = r"randomized\s+controlled\s+trial|randomised\s+controlled\s+trial|\brct\b|randomly\s+assigned"
+_TOOLS = r"chatgpt|gpt-?4|gpt-?5|claude|gemini|bard|copilot|llama|mistral|deepseek|midjourney|dall-?e|stable\s+diffusion|grammarly|quillbot|writefull|elicit|consensus|scite|epsilon"
 _REVIEW = r"systematic\s+review|meta-?analysis|\bprisma\b"
 
 RULES = (
@@ -55,6 +57,21 @@ RULES = (
     Rule("Data License", "Low", "Shared data without an open license", (_REPO,), (r"creative\s+commons|cc[- ]?by|cc0|open\s+license|license[d]?\s+under|public\s+domain|open\s+(?:access|data)",), 0.65, "State the licence"),
     Rule("Data License", "Low", "Dataset without version indication", (_REPO,), (r"version|v\d+(?:\.\d+)?|released\s+(?:on|in)|updated",), 0.55, "Cite the version and its date"),
     Rule("Data License", "Medium", "Proprietary or protected data format mentioned", (r"proprietary\s+format|password-?protected|encrypted\s+file|licensed\s+software\s+(?:format|file)",), (), 0.70, "Convert the data to open formats"),
+    Rule("Figure Quality", "High", "Western blots without markers/controls", (r"western\s+blot|immunoblot",), (r"molecular\s+(?:weight|mass)\s+marker|protein\s+ladder|kda\s+marker|loading\s+control|actin|gapdh|tubulin",), 0.80, "Show markers and loading controls"),
+    Rule("Figure Quality", "Medium", "Cropped blots without uncropped originals", (r"western\s+blot|immunoblot",), (r"cropped|uncropped|full-?length\s+blot|original\s+blot",), 0.65, "Supply the uncropped images"),
+    Rule("Figure Quality", "Medium", "Microscopy images without scale bar/magnification", (r"microscop|histolog|immunofluoresc|confocal|staining|stained",), (r"scale\s+bar|magnification|objective\s+(?:lens|\d+x)|nan?ometer|micron|micrometer|µm|um\b",), 0.70, "State the scale"),
+    Rule("Figure Quality", "Medium", "Box plots without individual data points", (r"box[- ]?plot|box-?whisker",), (r"individual\s+(?:data\s+)?points|scatter|raw\s+data|all\s+points|overlay(?:ed)?\s+points|notches?\b",), 0.60, "Overlay the data points"),
+    Rule("Figure Quality", "Low", "Possible red-green color coding in figures", (r"red[- ]green|green[- ]red", r"figure|plot|graph|color"), (), 0.50, "Use a palette that all can read"),
+    Rule("Figure Quality", "Low", "Error bars not defined in captions", (r"error\s+bars?",), (r"(?:represent|show|indicate|denote)s?\s+(?:the\s+)?(?:standard\s+)?(?:deviation|error)|\b(?:sd|sem|se)\b|95%\s*ci",), 0.60, "Define the bars"),
+    Rule("Submission", "Medium", "No Limitations section", (), (r"limitations?",), 0.80, "Add a section on threats to validity", 100),
+    Rule("Submission", "Low", "No Future Work mentioned", (), (r"future\s+work|future\s+direction|future\s+research|conclusion",), 0.60, "Add an outlook", 100),
+    Rule("Submission", "Low", "No ORCID iD found", (), (r"orcid|0000[- ]000[0-9][- ]000[0-9]",), 0.60, "Add the ids of all authors", 100),
+    Rule("Submission", "Medium", "No keywords/index terms found", (), (r"(?:keywords?|index\s+terms?)\s*[:\-—]",), 0.85, "Add four to six keywords", 100),
+    Rule("Submission", "High", "No corresponding author email", (), (r"[a-z0-9._%+-]+@[a-z0-9.-]+\.[a-z]{2,}",), 0.95, "Add an address", 100),
+    Rule("Submission", "High", "No explicit contribution statement", (), (r"contribut|novelty|what\s+this|we\s+(?:propose|present|introduce|develop)|our\s+(?:contribut|key)",), 0.85, "State what is new", 100),
+    Rule("Submission", "High", "Clinical research without trial registration", (r"clinical\s+trial|patient\s+s?|cohort\s+study|randomiz",), (r"clinicaltrials\.gov|isrctn|registered|registration\s+(?:number|no)",), 0.80, "Register the trial", 100),
+    Rule("AI Disclosure", "High", "AI tool named without disclosure statement", (_TOOLS,), (r"disclos|declared|decline|we\s+used\s+.+for\s+(?:language|grammar|writing)|assisted\s+(?:the\s+)?(?:drafting|writing|language)",), 0.75, "Say how the tool was used"),
+    Rule("AI Disclosure", "High", "AI-generated figures without disclosure", (r"midjourney|dall-?e|stable\s+diffusion|ai-?generated\s+(?:image|figure)",), (r"disclos|declar|noted\s+that",), 0.80, "Disclose the images"),
     Rule("Reporting Guidelines", "Medium", "Heterogeneity (I2) not reported", (_REVIEW, r"meta-?analysis|pooled|effect\s+size|forest\s+plot"), (r"i\s*2|i-squared|heterogeneity|tau",), 0.75, "Report the heterogeneity and the model"),
     Rule("Reporting Guidelines", "Medium", "Publication bias not assessed", (_REVIEW, r"meta-?analysis|pooled|effect\s+size|forest\s+plot"), (r"funnel\s+plot|publication\s+bias|egger|trim-and-fill",), 0.70, "Add a funnel plot or a test"),
 )
@@ -79,10 +96,12 @@ def unicode_bounds(pattern: str) -> str:
     return f"(?U){pattern}" if r"\b" in pattern else pattern
 
 
-def compiled(low: Column, rules: tuple[Rule, ...]) -> Column:
-    """array<struct> of the rules that fire on a lower-cased text."""
+def compiled(low: Column, n_words: Column, rules: tuple[Rule, ...]) -> Column:
+    """array<struct> of the rules that fire on a lower-cased text of n_words words."""
     def one(seq: int, r: Rule) -> Column:
         hit = F.length(low) > 0
+        if r.least_words:
+            hit = hit & (n_words >= r.least_words)
         for p in r.need:
             hit = hit & low.rlike(unicode_bounds(p))
         for p in r.lack:
@@ -95,5 +114,6 @@ def compiled(low: Column, rules: tuple[Rule, ...]) -> Column:
 def findings(docs: DataFrame, rules: tuple[Rule, ...] | None = None) -> DataFrame:
     """doc_id, seq, category, severity, title, confidence, action: a row for each rule that fires."""
     d = docs.select("doc_id", F.lower(T.text_of("text")).alias("low"))
-    d = d.select("doc_id", compiled(F.col("low"), rules or all_rules()).alias("f"))
+    d = d.select("doc_id", "low", F.size(T.words("low")).alias("n_words"))
+    d = d.select("doc_id", compiled(F.col("low"), F.col("n_words"), rules or all_rules()).alias("f"))
     return d.select("doc_id", F.explode_outer("f").alias("f")).where(F.col("f").isNotNull()).select("doc_id", "f.*")

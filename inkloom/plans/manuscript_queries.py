@@ -89,9 +89,9 @@ def _findings(shift: int = 0) -> str:
     m = f"select doc_id, lower(coalesce(text, '') || chr(10) || {S.quoted(NOTES)}[1 + (doc_id + {shift}) % {len(NOTES)}]) as low from documents"
     parts = []
     for k, r in enumerate(rules.all_rules()):
-        tests = ["length(low) > 0", *[f"regexp_matches(low, {_text(S.plain_bounds(p))})" for p in r.need], *[f"not regexp_matches(low, {_text(S.plain_bounds(p))})" for p in r.lack]]
+        tests = ["length(low) > 0", *([f"n_words >= {r.least_words}"] if r.least_words else []), *[f"regexp_matches(low, {_text(S.plain_bounds(p))})" for p in r.need], *[f"not regexp_matches(low, {_text(S.plain_bounds(p))})" for p in r.lack]]
         parts.append(f"select doc_id, {k} as seq, {_text(r.category)} as category, {_text(r.severity)} as severity, {_text(r.title)} as title, {r.confidence}::double as confidence, {_text(r.action)} as action from m where {' and '.join(tests)}")
-    return f"(with m as materialized ({m}) {' union all '.join(parts)})"
+    return f"(with t as ({m}), m as materialized (select doc_id, low, len({S.words('low')}) as n_words from t) {' union all '.join(parts)})"
 
 
 _DIM = "(values " + ", ".join(f"('{s}', {w}::double, {r}, {c}::double, {m}::double)" for s, w, r, c, m in R.SEVERITIES) + ") v(severity, weight, rank, scale, most)"
