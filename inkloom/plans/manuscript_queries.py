@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from inkloom.operators import findings as R
 from inkloom.operators import metrics, numbers, rules, statistics
 from inkloom.plans import sql as S
+from inkloom.plans.text_queries import spread
 from inkloom.sources import manuscripts as sources
 from inkloom.streaming import rolling
 
@@ -20,7 +21,7 @@ NOTES = (
 
 
 def manuscripts(spark: SparkSession, sf_dir: str, shift: int = 0) -> DataFrame:
-    d = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    d = spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
     note = F.get(F.array(*[F.lit(n) for n in NOTES]), F.pmod(F.col("doc_id") + shift, F.lit(len(NOTES))).cast("int"))
     return d.select("doc_id", F.concat(F.coalesce("text", F.lit("")), F.lit("\n"), note).alias("text"))
 
