@@ -77,7 +77,7 @@ def luhn(s: Column) -> Column:
 
 CHECKS: dict[str, Callable[[Column], Column]] = {
     "email": lambda s: F.lit(True),
-    "ip": lambda s: F.forall(F.split(s, r"\."), lambda p: p.rlike("^0*+([0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])$")),
+    "ip": lambda s: F.forall(F.split(s, r"\."), lambda p: p.rlike("^0*(25[0-5]|2[0-4][0-9]|1?[0-9]{1,2})$")),
     "card": lambda s: F.length(only_digits(s)).between(12, 19) & luhn(s),
     "phone": lambda s: F.length(only_digits(s)).between(9, 15),
 }
@@ -95,7 +95,7 @@ def with_base(docs: DataFrame, text: str = "text") -> DataFrame:
     out = docs.withColumn("_t", F.coalesce(F.col(text), F.lit("")))
     none = F.array().cast("array<struct<start:int,end:int,s:string>>")
     for kind in KINDS:
-        gate = F.instr("_t", "@") > 0 if kind == "email" else F.instr("_t", "+") > 0 if kind == "phone" else F.col("_t").rlike("[0-9]{2}" if kind == "card" else r"[0-9]\.[0-9]")
+        gate = F.instr("_t", "@") > 0 if kind == "email" else F.instr("_t", "+") > 0 if kind == "phone" else F.col("_t").rlike("[0-9][ -]?[0-9]" if kind == "card" else r"[0-9]\.[0-9]")
         spans = F.filter(located(F.col("_t"), BASE[kind]), lambda x: CHECKS[kind](x["s"]))
         out = out.withColumn(f"_base_{kind}", F.when(gate, spans).otherwise(none))
     return out

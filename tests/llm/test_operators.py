@@ -338,6 +338,16 @@ def test_base_spans_equal_python(spark, docs, odd):
     assert pii.personal_data(empty(odd)).count() == 0
 
 
+def test_zero_octets_and_spaced_cards(spark):
+    texts = ["at 10.0.0.1 and 127.0.0.1", "0.0.0.0", "00.000.10.255 256.0.0.1", "192.168.0.5.", "4 1 1 1 1 1 1 1 1 1 1 1 1 1 1 1", "a 4-1-1-1-1-1-1-1-1-1-1-1-1-1-1-1 b"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in pii.personal_data(df).collect():
+        found = base_spans(texts[r.doc_id])
+        assert found and r.base_sha256 == hashlib.sha256(",".join(f"{k}:{a}:{e}" for a, _, k, e in found).encode()).hexdigest()
+    got = {r.doc_id: r.text for r in pii.redacted(df).collect()}
+    assert got[0] == "at [IP] and [IP]" and got[4] == "[CARD]" and got[5] == "a [CARD] b"
+
+
 def test_redaction(spark):
     df = spark.createDataFrame([(1, "mail a@b.co now", 15), (2, None, None), (3, "call +1 (017) 555-7713, ip 1.2.3.4.", 0), (4, "clean", 5)], "doc_id long, text string, n_chars long")
     got = {r.doc_id: r for r in pii.redacted(df).collect()}
