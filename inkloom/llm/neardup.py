@@ -1,6 +1,7 @@
 """Operator 7: near-duplicates by ProbMinHash, banding and verification.
 
-Signature: each distinct five-word shingle of weight w is a Poisson process of rate w over the registers: its arrivals
+Links are defined by the similarity of the sets of shingles, so every distinct shingle has the same weight: weights by
+count would push texts apart that repeat a passage. Signature: each distinct five-word shingle of weight w is a Poisson process of rate w over the registers: its arrivals
 have exponential gaps and go to registers drawn by hash. A register keeps the shingle that arrives first. A shingle
 stops as soon as its next arrival is later than every register's current first (early termination). Two texts agree in a
 register with the probability Jaccard similarity of their weighted shingle sets. Texts that agree in a band of registers
@@ -75,14 +76,14 @@ def signatures(n_docs: int, doc: np.ndarray, h: np.ndarray, weight: np.ndarray,
 
 
 def band_hashes(texts: Sequence[str], words: int = WORDS, rows: int = ROWS, bands: int = BANDS) -> tuple[np.ndarray, np.ndarray]:
-    """(number of distinct shingles, a hash for each band and then the sketch) of each text. Weights are 1 + ln(count)."""
+    """(number of distinct shingles, a hash for each band and then the sketch) of each text. All weights are 1, as in jaccard()."""
     sizes, out = np.zeros(len(texts), np.int64), np.zeros((len(texts), bands + SKETCH), np.int64)
     for start, block in textvec.blocks(texts):
-        doc, h, count = shingles(block, words)
+        doc, h, _ = shingles(block, words)
         n = np.bincount(doc, minlength=len(block))
         who = np.zeros((len(block), rows * bands), np.uint64)
         large = n[doc] > TINY
-        who[:] = signatures(len(block), doc[large], h[large], 1.0 + np.log(count[large]), rows * bands)
+        who[:] = signatures(len(block), doc[large], h[large], np.ones(np.count_nonzero(large)), rows * bands)
         if not large.all():
             whole = np.zeros(len(block), np.uint64)
             np.add.at(whole, doc[~large], textvec.mix(h[~large] + np.uint64(GOLD)))

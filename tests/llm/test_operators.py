@@ -244,6 +244,21 @@ def test_near_duplicates_equal_brute_force(spark, docs):
     assert {r.doc_id for r in kept.collect()} == set(got.values()) and kept.columns == df.columns
 
 
+def test_near_duplicates_that_repeat_a_passage_equal_brute_force(spark):
+    rng = np.random.default_rng(11)
+    texts = {}
+    for k in range(60):
+        words = [f"p{k}w{i}" for i in range(400)]
+        copy = list(words)
+        for i in rng.choice(80, 8 + k % 2, replace=False):  # other words, at least five apart
+            copy[5 * i] = f"p{k}x{i}"
+        texts[2 * k], texts[2 * k + 1] = " ".join(words), " ".join(copy + copy[100:220] * 20)
+    df = spark.createDataFrame(sorted(texts.items()), "doc_id long, text string")
+    got, expect = {r.doc_id: r.class_id for r in neardup.classes(df).collect()}, brute_classes(texts)
+    assert sum(expect[2 * k + 1] == 2 * k for k in range(60)) > 25
+    assert got == expect
+
+
 def test_near_duplicates_odd_tables(odd):
     got = neardup.classes(odd).collect()
     assert len(got) == odd.count()
