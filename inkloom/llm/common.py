@@ -67,18 +67,17 @@ def written(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, most: int, most_chars: int) -> list[tuple[str, int]]:
-    """(text, label) of at most `most` labelled rows that aren't held out, half of them at most with label 1.
+    """(text, label) of at most `most` labelled rows that aren't held out, whatever their label.
 
-    The rows are those of least hash of doc_id, so the choice doesn't depend on partitions. Labels of one doc_id
-    that differ count as 1. Texts over `most_chars` are left out of training (never of scoring): this and `most`
-    bound what the driver holds. Null labels, doc_ids and texts are left out.
+    The rows are those of least hash of doc_id, so the choice depends neither on partitions nor on labels, and the
+    share of label 1 is that of all rows, however many there are. Labels of one doc_id that differ count as 1. Texts
+    over `most_chars` are left out of training (never of scoring): this and `most` bound what the driver holds. Null
+    labels, doc_ids and texts are left out.
     """
     known = labels.select(F.col("doc_id").alias("_id"), F.col(label).cast("int").alias("_y")).where(
         F.col("_id").isNotNull() & F.col("_y").isin(0, 1) & ~held_out("_id")
     )
-    order = [F.xxhash64("_id"), F.col("_id"), F.col("_y")]
-    parts = [known.where(F.col("_y") == y).orderBy(*order).limit(n) for y, n in ((1, most // 2), (0, most - most // 2))]
-    chosen = parts[0].unionAll(parts[1]).groupBy("_id").agg(F.max("_y").alias("_y"))
+    chosen = known.groupBy("_id").agg(F.max("_y").alias("_y")).orderBy(F.xxhash64("_id"), "_id").limit(most)
     text = docs.select(F.col("doc_id").alias("_id"), F.col("text").alias("_t")).where(F.col("_t").isNotNull() & (F.length("_t") <= most_chars))
     # at most `most` rows of two integers
     joined = text.join(F.broadcast(chosen), "_id").orderBy(F.xxhash64("_id"), "_id", F.xxhash64("_t")).limit(2 * most)

@@ -171,6 +171,15 @@ def test_held_out_rows_are_not_learnt(spark):
     assert texts == {f"t{i}" for i in range(60)} - {f"t{i}" for i in got}
 
 
+def test_sample_has_the_class_shares_of_all_labels(spark):
+    df = spark.range(20_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("t"), "id").alias("text"))
+    labels = df.select("doc_id", (F.col("doc_id") % 10 == 0).cast("int").alias("toxic"))
+    for most in (500, 2000):
+        rows = common.labelled_sample(df, labels, "toxic", most, 100)
+        assert len(rows) == most and all(y == (int(t[1:]) % 10 == 0) for t, y in rows)
+        assert abs(np.mean([y for _, y in rows]) - 0.1) < 0.04
+
+
 def test_classifiers_on_odd_tables(spark, odd):
     labels = spark.createDataFrame([(1, 1, 0), (4, None, 1), (None, 0, 0), (5, 0, 1)], "doc_id long, quality int, toxic int")
     for f in (quality.quality_scores, toxicity.toxicity_scores):
