@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from inkloom.functions import text as T
@@ -18,6 +18,8 @@ FORMS = (
     ("r", rf"\br\s*\(\s*{NUMBER}\s*\)\s*=\s*(-?(?:0?\.\d+)){P}", (1, 0, 2)),
     ("z", rf"\bz\s*=\s*{NUMBER}{P}", (0, 0, 1)),
 )
+#: A sample size or a mean.
+STATED = r"\b(?:[Nn]\s*=\s*\d{1,4}\b|(?:[Mm]|[Mm][Ee][Aa][Nn])\s*=\s*\d+\.\d+)"
 
 
 def reported_tests(docs: DataFrame) -> DataFrame:
@@ -44,8 +46,27 @@ def reported_tests(docs: DataFrame) -> DataFrame:
 
 
 def impossible_means(docs: DataFrame) -> DataFrame:
-    """doc_id, mean, n, possible: means of two decimals or more with the nearest sample size before them (400 characters)."""
-    found = F.regexp_extract_all(T.text_of("text"), F.lit(r"(?s)\bN\s*=\s*\d+(?:(?!\bN\s*=).){0,400}?\bM\s*=\s*\d+\.\d{2,}"), F.lit(0))
-    rows = docs.select("doc_id", F.explode_outer(found).alias("s")).where(F.col("s").isNotNull())
-    rows = rows.select("doc_id", F.regexp_extract("s", r"M\s*=\s*(\d+\.\d+)$", 1).alias("mean"), F.regexp_extract("s", r"^N\s*=\s*(\d+)", 1).try_cast("int").alias("n"))
+    """doc_id, mean, n, possible: every mean of two decimals or more with the nearest sample size before it.
+
+    A sample size counts if it begins less than 400 characters before the mean; many means may share one.
+    """
+    t = T.text_of("text")
+    # the text before each statement, then the statement
+    said = F.zip_with(F.split(t, STATED, -1), F.regexp_extract_all(t, F.lit(STATED), F.lit(0)), lambda gap, s: F.struct(F.length(gap).alias("gap"), s.alias("s")))
+    none = F.array().cast("array<struct<mean:string,n:int>>")
+    start = F.struct(F.lit(0).alias("at"), F.lit(None).cast("int").alias("n_at"), F.lit(None).cast("int").alias("n"), none.alias("out"))
+
+    def step(acc: Column, x: Column) -> Column:
+        here, size = acc["at"] + x["gap"], x["s"].rlike("^[Nn]")
+        mean = F.struct(F.regexp_extract(x["s"], r"(\d+\.\d+)$", 1).alias("mean"), acc["n"].alias("n"))
+        near = ~size & (here - acc["n_at"] < 400) & x["s"].rlike(r"\.\d{2,}$")
+        return F.struct(
+            (here + F.length(x["s"])).alias("at"), F.when(size, here).otherwise(acc["n_at"]).alias("n_at"),
+            F.when(size, F.regexp_extract(x["s"], r"(\d+)$", 1).try_cast("int")).otherwise(acc["n"]).alias("n"),
+            F.when(near, F.concat(acc["out"], F.array(mean))).otherwise(acc["out"]).alias("out"),
+        )
+
+    # the last gap has no statement of its own
+    found = F.aggregate(F.filter(said, lambda x: x["s"].isNotNull()), start, step, lambda acc: acc["out"])
+    rows = docs.select("doc_id", F.explode_outer(found).alias("x")).where(F.col("x").isNotNull()).select("doc_id", "x.*")
     return rows.where(F.col("n").between(5, 1000)).select("doc_id", "mean", "n", grim("mean", "n").alias("possible"))

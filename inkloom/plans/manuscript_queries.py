@@ -54,10 +54,10 @@ def orcid_checksum(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Statements of tests and means with numbers made from doc_id."""
-    d, k = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id"), F.col("doc_id").cast("string")
+    """Whole texts, each followed by statements of tests and means with numbers made from doc_id."""
+    d, k = spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")), F.col("doc_id").cast("string")
     said = F.concat(F.lit("t("), F.pmod("doc_id", F.lit(60)) + 10, F.lit(") = 2."), F.pmod("doc_id", F.lit(10)), F.lit(", p = .04. N = "), F.pmod("doc_id", F.lit(40)) + 10, F.lit(". M = 3."), F.lpad(F.pmod(k.cast("long"), F.lit(100)).cast("string"), 2, "0"), F.lit("."))
-    return d.select("doc_id", said.alias("text"))
+    return d.select("doc_id", F.concat(F.coalesce("text", F.lit("")), F.lit("\n"), said).alias("text"))
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:

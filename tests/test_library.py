@@ -27,6 +27,21 @@ def test_reported_tests(spark):
     assert {(r.doc_id, r.possible) for r in statistics.impossible_means(odd).collect()} == {(1, False), (2, True)}
 
 
+def test_every_mean_has_the_nearest_sample_size(spark):
+    texts = ["N = 20. M = 3.48, then M = 4.11 and mean = 3.45", "n = 40 (m=5.23); N = 12, Mean = 4.17", f"N = 20 {'x' * 380} M = 3.48 {'x' * 20} M = 3.48", "N = 20 é🎉 M = 3.4 M = 3.481", "N = 3. M = 3.48. N = 2000. M = 3.48", "M = 3.48. N = 20", None]
+    got = sorted((r.doc_id, r.mean, r.n, r.possible) for r in statistics.impossible_means(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect())
+    assert got == [(0, "3.45", 20, True), (0, "3.48", 20, False), (0, "4.11", 20, False), (1, "4.17", 12, True), (1, "5.23", 40, False), (2, "3.48", 20, False), (3, "3.481", 20, False)]
+
+
+def test_statements_are_read_from_whole_texts(spark, tmp_path):
+    from inkloom.plans import manuscript_queries as M
+
+    df = spark.createDataFrame([(1, "x " * 50_000 + "F(2, 57) = 3.16, p = .05; N = 20, M = 3.48, M = 4.11")], "doc_id long, text string")
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    assert sorted(r.kind for r in M.QUERIES["reported_tests"](spark, str(tmp_path)).collect()) == ["F", "t"]
+    assert sorted(r.mean for r in M.QUERIES["impossible_means"](spark, str(tmp_path)).collect()) == ["3.01", "3.48", "4.11"]
+
+
 def score(spark, rows):
     f = spark.createDataFrame([(1, i, c, s, "t", p, "a") for i, (c, s, p) in enumerate(rows)], "doc_id long, seq int, category string, severity string, title string, confidence double, action string")
     return findings.readiness(spark.createDataFrame([(1,)], "doc_id long"), f).first().readiness
