@@ -315,51 +315,45 @@ def _find(x: Node, test) -> list[Node]:
     return out
 
 
-def region(root: Node) -> list[Node]:
-    """The nodes that hold the article: marked ones, else the element whose blocks carry most text that isn't links.
-
-    From that element on, a parent is taken instead as long as it holds a fifth more of such text.
-    """
-    for test in (lambda x: x.attrs.get("itemprop", "").lower() == "articlebody", lambda x: x.tag == "article", lambda x: x.tag == "main" or x.attrs.get("role", "").lower() == "main"):
-        found = [(len(text_of(x)), x) for x in _find(root, test)]
-        most = max((n for n, _ in found), default=0)
-        if most:
-            return [x for n, x in found if 4 * n >= most]
-    best, score = root, -1.0
-    plain: dict[int, int] = {}  # text that isn't links
-    parents: dict[int, Node] = {}
-
-    def weigh(x: Node) -> tuple[float, int]:
-        """(text of own blocks that isn't links, all text)."""
-        nonlocal best, score
-        own, below = 0.0, 0
-        kept = len(own_text(x)) if x.tag in ("div", "section", "td", "body", "#root") else 0
-        own += kept
-        for k in elements(x):
-            parents[id(k)] = x
-            if k.tag in ("p", "pre", "blockquote", "li", "td", "dd", *HEADINGS):
-                s = len(text_of(k))
-                links = sum(len(text_of(a)) for a in _find(k, lambda y: y.tag == "a"))
-                if links * 2 <= s:
-                    own += s if k.tag in ("p", "pre", "blockquote") else 0.5 * s
-                    kept += s
-                below += s
-            elif k.tag in BLOCKS:
-                inner, n = weigh(k)
-                own += 0.5 * inner
-                below += n
-                kept += plain[id(k)]
-        plain[id(x)] = kept
-        if own > score:
-            best, score = x, own
-        return own, below
+def _plain(root: Node) -> dict[int, int]:
+    """Text below each node in blocks that aren't mostly links, by the node's id; a first-level heading counts if it is a link, too."""
+    out: dict[int, int] = {}
+
+    def weigh(x: Node) -> tuple[int, int, int, bool]:
+        """(all text, text of links, text that counts, whether blocks are inside)."""
+        size = links = plain = 0
+        deep = False
+        for k in x.kids:
+            if isinstance(k, str):
+                n = len(k.strip())
+                size, plain = size + n, plain + n
+            else:
+                n, linked, counts, inside = weigh(k)
+                size, links, plain, deep = size + n, links + linked, plain + counts, deep or inside or k.tag in BLOCKS
+        if x.tag == "a":
+            links = size
+        if not deep:
+            plain = size - links if x.tag not in BLOCKS else size if 2 * links <= size or x.tag == "h1" else 0
+        out[id(x)] = plain
+        return size, links, plain, deep
 
     weigh(root)
-    at: Node | None = best
-    while (at := parents.get(id(at))) is not None:
-        if plain[id(at)] >= 1.2 * plain[id(best)]:
-            best = at
-    return [best]
+    return out
+
+
+def region(root: Node) -> list[Node]:
+    """The nodes that hold the article: all marked ones, else the smallest element with all blocks that aren't links."""
+    for test in (lambda x: x.attrs.get("itemprop", "").lower() == "articlebody" or x.tag == "article", lambda x: x.tag == "main" or x.attrs.get("role", "").lower() == "main"):
+        found = [x for x in _find(root, test) if text_of(x)]
+        if found:
+            return found
+    plain, at = _plain(root), root
+    while plain[id(at)]:
+        inner = next((k for k in elements(at) if plain[id(k)] == plain[id(at)]), None)
+        if inner is None:
+            break
+        at = inner
+    return [at]
 
 
 def blocks(x: Node) -> list[str]:

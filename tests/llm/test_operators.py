@@ -408,6 +408,15 @@ def test_wrapper_induction(spark):
     assert html.extract(empty(df)).count() == 0
 
 
+def test_no_article_text_is_dropped_by_size():
+    long = "long text of the body, " * 40
+    assert html.main_text(f"<div class=content><h1>Title</h1><p>lead</p><div class=body><p>{long}</p><p>{long}</p></div></div>").startswith("Title\n\nlead\n\nlong")
+    assert html.main_text(f"<div><div class=links><a href=x>a link</a></div><div><h1><a href=x>Title</a></h1><div><p>{long}</p></div><div><p>short end</p></div></div></div>").split("\n\n") == ["Title", long.strip(), "short end"]
+    assert html.main_text(f"<article><p>{long}</p></article><article><p>second part</p></article>").endswith("second part")
+    assert html.main_text(f"<article><h1>Title</h1><div itemprop=articleBody><p>{long}</p></div></article><div itemprop=articleBody><p>end</p></div>").split("\n\n") == ["Title", long.strip(), "end"]
+    assert html.main_text(f"<table><tr><td><a href=x>{long}</a><div><p>short text</p></div></td><td><p>{long}</p></td></tr></table>").count("short text") == 1
+
+
 def test_alignment_is_a_largest_matching():
     a, b = html.parse("<ul><li><b>x</b><li>y<p>q</ul>"), html.parse("<ul><li>y<p>q</p><li><b>x</b><li>z</ul>")
     assert len(html.align(a, b)) == 5  # root, ul, both of the b's item, and one item more
