@@ -26,6 +26,15 @@ def screening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.screened(refs, titles)
 
 
+
+def whole_screening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As screening(), against whole benchmark texts; it has no SQL."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    refs = docs.select("doc_id", F.lit(1).alias("ref_no"), F.coalesce("text", F.lit("")).alias("raw"))
+    titles = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select(F.col("item_id").alias("title_id"), F.coalesce("text", F.lit("")).alias("title"))
+    return R.screened(refs, titles)
+
+
 QUERIES = {
     "citation_gaps": lambda s, d: R.citation_gaps(cited(s, d)),
     "cocitation_edges": lambda s, d: R.cocitations(cited(s, d)),
@@ -33,6 +42,7 @@ QUERIES = {
     "reference_split": lambda s, d: R.reference_rows(cited(s, d)),
     "reference_flags": lambda s, d: R.reference_flags(cited(s, d)),
     "title_screening": screening,
+    "title_screening_whole": whole_screening,
 }
 
 _CITED = """select doc_id, 'Seen in [' || (doc_id % 5 + 1) || ', ' || (doc_id % 7 + 2) || '] and [' || (doc_id % 3 + 4) || '].' || chr(10) || 'Also [' || (doc_id % 4 + 1) || ', ' || (doc_id % 6 + 3) || ', ' || (doc_id % 9 + 1) || '].' || chr(10) || 'References' || chr(10)

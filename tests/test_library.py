@@ -42,6 +42,17 @@ def test_statements_are_read_from_whole_texts(spark, tmp_path):
     assert sorted(r.mean for r in M.QUERIES["impossible_means"](spark, str(tmp_path)).collect()) == ["3.01", "3.48", "4.11"]
 
 
+def test_whole_titles_are_screened(spark, tmp_path):
+    from inkloom.plans import reference_queries as Q
+
+    titles = [(i, " ".join(f"item{i}word{k}" for k in range(30))) for i in range(5)]
+    docs = [(i, "filler " * 50 + " ".join(f"item{i}word{k}" for k in range(25, 25 + i))) for i in range(5)] + [(9, None)]
+    spark.createDataFrame(titles, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert [tuple(r) for r in Q.QUERIES["title_screening_whole"](spark, str(tmp_path)).collect()] == [(4, 1, 4)]
+    assert Q.QUERIES["title_screening"](spark, str(tmp_path)).count() == 0
+
+
 def score(spark, rows):
     f = spark.createDataFrame([(1, i, c, s, "t", p, "a") for i, (c, s, p) in enumerate(rows)], "doc_id long, seq int, category string, severity string, title string, confidence double, action string")
     return findings.readiness(spark.createDataFrame([(1,)], "doc_id long"), f).first().readiness
