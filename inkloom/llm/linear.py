@@ -6,6 +6,9 @@ from dataclasses import dataclass
 from collections.abc import Sequence
 
 import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 from inkloom.llm import textvec
 
@@ -34,6 +37,16 @@ class Space:
             out.extend(np.split(keys & ((1 << self.bits) - 1), at))
         return out
 
+    def column(self, text: str | Column) -> Column:
+        """rows() of a text column, in Python workers: array<int>."""
+        space = self
+
+        @F.pandas_udf("array<int>")
+        def ids(texts: pd.Series) -> pd.Series:
+            return pd.Series([x.astype(np.int32) for x in space.rows(texts.tolist())], dtype=object)
+
+        return ids(text)
+
     def _pairs(self, block: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         tokens = textvec.Tokens(block, shapes=bool(self.shape_orders), words_only=self.words_only)
         return textvec.features(tokens, self.orders, self.shape_orders, self.bits, self.prefixes)
@@ -79,6 +92,45 @@ class FTRL:
         w = self.weights(ids)
         self.push(ids, np.full(ids.size, weight * (sigmoid(w.sum()) - y)), w)
 
-    def all_weights(self) -> tuple[np.ndarray, float]:
-        w = self.weights(np.arange(self.size + 1))
-        return w[:-1], float(w[-1])
+    def all_weights(self) -> tuple[np.ndarray, np.ndarray, float]:
+        """(ids, their weights, bias): only weights other than 0."""
+        ids = np.flatnonzero(np.abs(self.z[:-1]) > self.l1)
+        w = self.weights(ids)
+        return ids[w != 0], w[w != 0], float(self.weights(np.array([self.size]))[0])
+
+
+@dataclass(frozen=True)
+class Examples:
+    """Labels, and for each labelled text one or more lists of feature ids: lists[which] holds all texts' ids and bounds."""
+
+    y: np.ndarray
+    lists: tuple[tuple[np.ndarray, np.ndarray], ...]
+
+    def __len__(self) -> int:
+        return len(self.y)
+
+    def row(self, i: int, which: int = 0) -> np.ndarray:
+        ids, at = self.lists[which]
+        return ids[at[i] : at[i + 1]]
+
+    @classmethod
+    def of(cls, y: Sequence[int], *lists: Sequence[np.ndarray]) -> Examples:
+        """From arrays in the driver's memory."""
+        flat = [(np.concatenate([*x, np.empty(0, np.int32)]).astype(np.int32), np.cumsum([0, *map(len, x)])) for x in lists]
+        return cls(np.asarray(y, np.int8), tuple(flat))
+
+
+def collected(rows: DataFrame, *columns: str) -> Examples:
+    """_y and the array<int> columns of rows(_id, _y, ...), in the order of a hash of _id.
+
+    The executors have made the ids: no text reaches the driver, and a feature takes 4 bytes there.
+    """
+    t = rows.select(F.xxhash64("_id").alias("_h"), "_id", "_y", *columns).orderBy("_h", "_id").drop("_h", "_id").toArrow()
+    out = []
+    for c in columns:
+        chunks = t.column(c).chunks
+        ids = [x.flatten().to_numpy() for x in chunks]
+        sizes = [x.value_lengths().to_numpy().astype(np.int64) for x in chunks]
+        out.append((np.concatenate([*ids, np.empty(0, np.int32)]), np.concatenate(([0], np.cumsum(np.concatenate([*sizes, np.empty(0, np.int64)]))))))
+        t = t.drop_columns([c])
+    return Examples(t.column("_y").to_numpy().astype(np.int8), tuple(out))

@@ -228,7 +228,6 @@ def media_table(docs: DataFrame) -> DataFrame:
 
     Null text is empty (one frame of spaces); null doc_ids and repeated rows stay; other columns are ignored.
     """
-    common.small_batches(docs.sparkSession, 500)
 
     @F.pandas_udf("n_bytes long, media binary")
     def store(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -244,7 +243,6 @@ def media_table(docs: DataFrame) -> DataFrame:
 
 def media_features(media: DataFrame) -> DataFrame:
     """Adds to each row of `media` (binary column media): duration, offsets, tags and the digests of the stored bytes."""
-    common.small_batches(media.sparkSession, 500)
     schema = "samples long, rate int, frame_offsets array<long>, checked int, bad int, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
 
     @F.pandas_udf(schema)

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkloom.llm import common
-from inkloom.llm.linear import FTRL, Space, sigmoid
+from inkloom.llm.linear import FTRL, Examples, Space, collected, sigmoid
 
 
 @dataclass(frozen=True)
@@ -45,29 +45,26 @@ class QualityModel:
         return score(text)
 
 
-def train(rows: list[tuple[str, int]], space: Space, epochs: int = 3, alpha: float = 0.05, l1: float = 3.0, l2: float = 1.0) -> QualityModel:
-    """Fit on (text, label). Without rows the model scores every text 0.5; with one class, towards that class."""
+def train(rows: Examples, space: Space, epochs: int = 3, alpha: float = 0.05, l1: float = 3.0, l2: float = 1.0) -> QualityModel:
+    """Fit on feature ids and labels. Without rows the model scores every text 0.5; with one class, towards that class."""
     learner = FTRL(1 << space.bits, alpha=alpha, l1=l1, l2=l2)
     bias = np.array([1 << space.bits])
-    feats = [np.concatenate((x, bias)) for x in space.rows([t for t, _ in rows])]
     for epoch in range(epochs):
         for k in np.random.default_rng(epoch).permutation(len(rows)):
-            learner.learn(feats[k], rows[k][1])
-    w, b = learner.all_weights()
-    ids = np.flatnonzero(w)
-    return QualityModel(space, ids, w[ids], b)
+            learner.learn(np.concatenate((rows.row(k), bias)), int(rows.y[k]))
+    return QualityModel(space, *learner.all_weights())
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, sample: int = 8000, sample_chars: int = 40_000, bits: int = 20) -> DataFrame:
     """doc_id, held_out, score, predicted for every row of docs.
 
-    Training takes at most `sample` labelled rows of at most `sample_chars` characters (see labelled_sample); scoring
-    takes every row and whole texts. Null or empty text: the score of a text without n-grams (the bias). Null doc_id:
+    Training takes about `sample` labelled rows of at most `sample_chars` characters (see labelled_rows); scoring takes
+    every row and whole texts. Null or empty text: the score of a text without n-grams (the bias). Null doc_id:
     kept, not held out. Repeated rows are scored alike, an empty table gives no rows, other columns are ignored.
     """
-    common.small_batches(docs.sparkSession)
     space = Space(orders=(1, 2), shape_orders=(1, 2, 3), bits=bits)
-    model = train(common.labelled_sample(docs, labels, "quality", sample, sample_chars), space)
+    rows = common.labelled_rows(docs, labels, "quality", sample, sample_chars)
+    model = train(collected(rows.withColumn("_x", space.column("_t")), "_x"), space)
     scored = docs.select("doc_id", common.held_out().alias("held_out"), model.column("text").alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 

@@ -30,12 +30,11 @@ def write_token_ids(docs: DataFrame, path: str, tokenizer: str | None = None, en
     without rows. Other columns are ignored.
     """
     file = tokenizer or tokens.default_path()
-    common.small_batches(docs.sparkSession)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, start, enc = TaskContext.get().partitionId(), 0, tokens.encoder(file)
         tail = end_id.to_bytes(4, "little")
-        for b in batches:
+        for b in common.in_slices(batches):
             raw = [enc.encode(t) + tail for t in b.column(1).to_pylist()]
             n = np.fromiter(map(len, raw), np.int64, len(raw)) // 4
             ends = np.cumsum(n)
@@ -82,7 +81,6 @@ def token_digest(spark: SparkSession, path: str) -> DataFrame:
             n = pa.array((at[1:] - at[:-1]) // 4)
             yield pa.RecordBatch.from_arrays([b.column("part"), b.column("doc_id"), b.column("local_start"), n, crc], names=["part", "doc_id", "local_start", "n_tokens", "ids_crc32"])
 
-    common.small_batches(spark)
     rows = read_token_ids(spark, path).mapInArrow(digest, "part int, doc_id long, local_start long, n_tokens long, ids_crc32 long")
     # one row for each file
     return rows.join(F.broadcast(starts(spark, path)), "part").select("doc_id", (F.col("base") + F.col("local_start")).alias("start"), "n_tokens", "ids_crc32")
