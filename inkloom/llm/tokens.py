@@ -1,13 +1,16 @@
 """Token ids by the tokenizers library, with a bounded memo of the pieces between spaces.
 
-The vocabulary's pre-tokenizer only joins a space to what follows it, so a text may be cut before any space that stands
-after a visible sign, and the ids of the pieces, one after another, are the ids of the text. Pieces repeat, so their ids
-are kept; a new piece is cut into the pre-tokenizer's words, whose ids the library's BPE model gives. Texts with a space
-after other white space are encoded whole.
+Ids are those of the library's plain call, encode(text, add_special_tokens=False): the string of an added token in a text
+becomes that token's id. A byte-level pre-tokenizer only joins a space to what follows it, so a text may be cut before
+any space that stands after a visible sign, and the ids of the pieces, one after another, are the ids of the text. Pieces
+repeat, so their ids are kept; a new piece is cut into the pre-tokenizer's words, whose ids the library's BPE model gives.
+Texts with a space after other white space or with an added token's string are encoded whole, and so is every text where
+the file names another normaliser, pre-tokenizer or model.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from array import array
@@ -16,7 +19,9 @@ from functools import lru_cache
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 DEFAULT_FILE = "byte_bpe_50k.json"
-#: The vocabulary's pre-tokenizer, in the syntax of the regex module (a fixed value).
+#: What a file must say for its texts to be cut: the pre-tokenizer that WORDS states, and no normaliser.
+BYTE_LEVEL = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}
+#: The byte-level pre-tokenizer's pattern, in the syntax of the regex module (a fixed value).
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 SPACES = re.compile(r"\s ")
 SIMPLE_TAILS = frozenset(".,;:!?")
@@ -55,15 +60,26 @@ class _Memo(dict):
 
 
 class Encoder:
-    """encode(text): the ids of a whole text as little-endian unsigned 32-bit integers; special strings are ordinary text."""
+    """encode(text): the ids of a whole text as little-endian unsigned 32-bit integers."""
 
     def __init__(self, path: str):
         import regex
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.model = self.tokenizer.model
+        with open(path, encoding="utf-8") as f:
+            said = json.load(f)
+        before, model = said.get("pre_tokenizer") or {}, said.get("model") or {}
+        self.cuttable = (
+            not said.get("normalizer")
+            and not said.get("truncation")
+            and {k: before.get(k, True) for k in BYTE_LEVEL} == BYTE_LEVEL
+            and model.get("type") == "BPE"
+            and not any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix"))
+        )
+        added = [t["content"] for t in said.get("added_tokens") or [] if t["content"]]
+        self.added = re.compile("|".join(map(re.escape, sorted(added, key=len, reverse=True)))).search if added else None
         self.letters = _byte_letters()
         self.cut = regex.compile(WORDS).findall
         self.words = _Memo(self._word, MOST_WORDS)
@@ -91,7 +107,7 @@ class Encoder:
     def encode(self, text: str | None) -> bytes:
         if not text:
             return b""
-        if SPACES.search(text):
+        if not self.cuttable or SPACES.search(text) or self.added and self.added(text):
             return self.whole(text)
         first, *rest = text.split(" ")
         return self._cut(first) + b"".join(map(self.pieces.__getitem__, rest))
