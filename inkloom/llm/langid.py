@@ -1,8 +1,9 @@
 """Operator 10: language identification by string kernels.
 
-Kernel: the blended spectrum of byte n-grams of 1 to 4 (UTF-8, capitals folded), presence only,
-k(x, z) = |G(x) & G(z)| / sqrt(|G(x)| |G(z)|), over the n-grams that any landmark has (hashed to 22 bits). Nyström: a few
-landmark texts span the space; one-versus-rest kernel ridge regression is solved there. As k is an inner product of
+Kernel: the blended spectrum of byte n-grams of 1 to 4 (UTF-8, capitals folded, hashed to 22 bits), presence only,
+k(x, z) = |G(x) & G(z)| / sqrt(|G(x)| |G(z)|), where G(x) holds those n-grams of x that any landmark has: sizes count
+known n-grams only, so a text's unknown ones don't make it less like every landmark. Nyström: a few landmark texts span
+the space; one-versus-rest kernel ridge regression is solved there. As k is an inner product of
 normalised presence vectors, kernel values against the landmarks times the regression's coefficients are one matrix
 (n-grams x languages), so a batch of texts is scored by one product of its presence matrix with it.
 """
@@ -118,23 +119,35 @@ def train(rows: Sequence[tuple[str, str]], landmarks: int = 96, ridge: float = 1
     return KernelModel(langs, grams, (z.T @ coef).astype(np.float32))
 
 
-def sample_rows(docs: DataFrame, most: int, most_chars: int) -> list[tuple[str, str]]:
-    """(text, lang) of about `most` rows that aren't held out, by a seeded sample; longer texts are left out of training."""
-    rows = docs.select("doc_id", "text", "lang").where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~common.held_out())
-    share = min(1.0, most / max(1, docs.count()))
-    chosen = rows.withColumn("_u", F.pmod(F.xxhash64("doc_id", F.lit("lang")), F.lit(1 << 40)) / float(1 << 40)).where(F.col("_u") < share)
-    chosen = chosen.where(F.length("text").between(1, most_chars)).select("text", "lang").limit(2 * most)
-    return sorted((r["text"], r["lang"]) for r in chosen.collect())
+def sample_rows(docs: DataFrame, most: int, most_chars: int, least: int = 50) -> list[tuple[str, str]]:
+    """(text, lang) of about `most` rows that aren't held out, in sorted order.
+
+    Every language takes part: its rows are taken by a hash with a share of its own, so that a language has about as large
+    a part of the sample as of all rows, but at least `least` rows, or all it has. Texts over `most_chars` are left out of
+    training; of a language without a shorter one the shortest text is taken.
+    """
+    rows = docs.select("doc_id", "text", "lang").where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & (F.length("text") > 0) & ~common.held_out())
+    fits = F.length("text") <= most_chars
+    # one row for each language
+    langs = rows.groupBy("lang").agg(F.count_if(fits).alias("n"), F.min_by("text", F.struct(F.length("text"), "text")).alias("shortest")).collect()
+    total = sum(r["n"] for r in langs)
+    shares = [(r["lang"], min(1.0, max(least, most * r["n"] / total) / r["n"])) for r in langs if r["n"]]
+    out = [(r["shortest"], r["lang"]) for r in langs if not r["n"]]
+    if shares:
+        wanted = F.broadcast(docs.sparkSession.createDataFrame(shares, "lang string, share double"))
+        chosen = rows.where(fits).join(wanted, "lang").where(common.unit_hash("doc_id", F.lit("lang")) <= F.col("share")).select("text", "lang")
+        out += [(r["text"], r["lang"]) for r in chosen.collect()]
+    return sorted(out)
 
 
 def languages(docs: DataFrame, sample: int = 3000, sample_chars: int = 20_000, landmarks: int = 96) -> DataFrame:
     """doc_id, held_out, lang_pred, score for every row of docs.
 
-    Training takes about `sample` rows with a language (never held-out ones); whole texts of all rows are scored. Null
+    Training takes about `sample` rows with a language (never held-out ones), of every language some; whole texts of all
+    rows are scored. Null
     text or a text without a letter: `und`, score 0; so is every row where no row has a language. Null doc_id: kept, not
     held out. Repeated rows are scored alike, an empty table gives no rows, other columns are ignored.
     """
-    common.small_batches(docs.sparkSession)
     model = train(sample_rows(docs, sample, sample_chars), landmarks)
     if model is None:
         return docs.select("doc_id", common.held_out().alias("held_out"), F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"))
