@@ -13,6 +13,14 @@ to one, if their parity sketches allow the similarity. A sketch has one bit for
 number of shingles has it. Each shingle that only one of two texts has flips one bit, so texts that are similar enough can
 never differ in more bits than in shingles. So a bucket of many near copies costs about as many comparisons as it has
 members, and no link between different components is lost.
+
+A bucket of more than CROWD members that stay apart (texts that share a long passage, and little else) isn't compared one
+to one. Its members are joined by prefixes instead, which is exact: of the shingles of two similar texts, ordered by
+their number of texts, rarest first, the first n - ceil(similarity * n) + 1 have one in common. The passage's shingles
+are the frequent ones, so they stand last and make no pairs.
+
+Candidates are verified on their nodes' stored sets of shingle hashes. The least node of a large bucket meets its members
+in several tasks, at most HUB_PAIRS pairs each.
 """
 
 from __future__ import annotations
@@ -33,6 +41,7 @@ SKETCH = 16  # longs of the parity sketch
 #: Sets this small can't reach the similarity unless they are equal.
 TINY = 3
 KEPT_COPIES = 20_000
+CROWD, HUB_PAIRS = 64, 2000
 GOLD, SILVER, MASK = 0x9E3779B97F4A7C15, 0xD1B54A32D192ED03, (1 << 64) - 1
 
 
@@ -104,11 +113,10 @@ def band_hashes(texts: Sequence[str], words: int = WORDS, rows: int = ROWS, band
 def signed(docs: DataFrame, rows: int = ROWS, bands: int = BANDS) -> DataFrame:
     """doc_id, key (digest of the text), n (distinct shingles), bands (hashes, then the sketch): a row for each row of docs."""
     width = bands + SKETCH
-    common.small_batches(docs.sparkSession)
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: dict[str, tuple[int, bytes]] = {}  # copies are signed once
-        for b in batches:
+        for b in common.in_slices(batches):
             keys, texts = b.column(1).to_pylist(), b.column(2).to_pylist()
             if len(kept) > KEPT_COPIES:
                 kept.clear()
@@ -124,26 +132,32 @@ def signed(docs: DataFrame, rows: int = ROWS, bands: int = BANDS) -> DataFrame:
     return common.written(rows_.mapInArrow(sign, "doc_id long, key string, n long, bands array<long>"), "signed")
 
 
-def verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b) of nodes whose texts reach the similarity; texts(node, text)."""
+def shingle_sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """node, s (array<long>, the hashes of its distinct shingles) of the nodes(node); docs(_id, text)."""
+
+    @F.pandas_udf("array<long>")
+    def sets(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            out: list[np.ndarray] = []
+            for _, block in textvec.blocks(texts.tolist()):
+                doc, h, _ = shingles(block)
+                out.extend(np.split(h.view(np.int64), np.searchsorted(doc, np.arange(1, len(block)))))
+            yield pd.Series(out, dtype=object)
 
-    @F.pandas_udf("boolean")
-    def alike(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for one, two in batches:
-            out = np.zeros(len(one), bool)
-            block: list[str] = []
-            at, size = 0, 0
-            for i, (x, y) in enumerate(zip(one, two)):
-                block += (x, y)
-                size += len(x) + len(y)
-                if size > textvec.BLOCK_BYTES or i + 1 == len(one):
-                    out[at : i + 1] = jaccard(block) >= similarity - 1e-12
-                    block, at, size = [], i + 1, 0
-            yield pd.Series(out)
+    held = docs.join(nodes.select("node").distinct(), F.col("_id") == F.col("node"), "left_semi")
+    # rows of one doc_id count as one document: the least text, as in classes()
+    return held.groupBy(F.col("_id").alias("node")).agg(F.min_by("text", F.md5(F.col("text").cast("binary"))).alias("text")).select("node", sets("text").alias("s"))
 
-    left = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
-    right = texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
-    return pairs.join(right, "b").join(left, "a").where(alike("text_a", "text_b")).select("a", "b")
+
+def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) of nodes whose sets(node, s) reach the similarity. Nodes with many partners are salted."""
+    counts = pairs.groupBy("a").agg(F.ceil(F.count("*") / HUB_PAIRS).cast("int").alias("parts"))
+    left = sets.select(F.col("node").alias("a"), F.col("s").alias("s_a")).join(counts, "a").select("a", "s_a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("salt"))
+    right = sets.select(F.col("node").alias("b"), F.col("s").alias("s_b"))
+    dealt = pairs.join(counts, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("salt"))
+    both = F.size(F.array_intersect("s_a", "s_b"))
+    fits = both >= (F.size("s_a") + F.size("s_b") - both) * F.lit(similarity) - 1e-9
+    return dealt.join(right, "b").join(left, ["a", "salt"]).where(fits).select("a", "b")
 
 
 def jaccard(pairs: list[str]) -> np.ndarray:
@@ -160,9 +174,12 @@ def jaccard(pairs: list[str]) -> np.ndarray:
 def components(links: DataFrame) -> DataFrame:
     """(node, least): the least node of each linked node's component, by alternating large and small stars."""
     cur = links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct()
-    seen = None
+    seen = before = None
     while True:
         cur = common.written(cur, "stars")
+        if before is not None:
+            common.release(before)
+        before = cur
         now = tuple(cur.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b")), F.sum(F.hash("a", "b").cast("long"))).first())
         if now == seen:
             return cur.select(F.col("a").alias("node"), F.col("b").alias("least"))
@@ -186,14 +203,30 @@ def sketches_fit(x: Column, y: Column, sizes: Column, similarity: float) -> Colu
     return differ <= F.floor(sizes * ((1 - similarity) / (1 + similarity)) + 1e-9)
 
 
-def classes(docs: DataFrame, similarity: float = SIMILARITY, rows: int = ROWS, bands: int = BANDS) -> DataFrame:
+def prefix_pairs(crowd: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """a, b: nodes of crowd(node, n, label, sketch) of different labels that share a shingle of their prefixes."""
+    mine = crowd.select("node", "n", "label", "sketch").join(sets, "node")
+    each = mine.select("node", "n", F.explode("s").alias("h"))
+    rank = each.join(each.groupBy("h").agg(F.count("*").alias("f")), "h").groupBy("node", "n").agg(F.array_sort(F.collect_list(F.struct("f", "h"))).alias("r"))
+    kept = F.slice("r", F.lit(1), (F.col("n") - F.ceil(F.col("n") * similarity - 1e-9) + 1).cast("int"))
+    first = common.written(rank.select("node", F.explode(kept).alias("x")).select("node", F.col("x.h").alias("h")).join(crowd, "node"), "prefixes")
+    one = first.select("h", *[F.col(c).alias(f"{c}_a") for c in ("node", "n", "label", "sketch")])
+    two = first.select("h", *[F.col(c).alias(f"{c}_b") for c in ("node", "n", "label", "sketch")])
+    fits = (F.col("node_a") < F.col("node_b")) & (F.col("label_a") != F.col("label_b")) & size_fits(F.col("n_a"), F.col("n_b"), similarity)
+    met = one.join(two, (one["h"] == two["h"]) & fits & sketches_fit(F.col("sketch_a"), F.col("sketch_b"), F.col("n_a") + F.col("n_b"), similarity))
+    out = common.written(met.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct(), "met")
+    common.release(first)
+    return out
+
+
+def classes(docs: DataFrame, similarity: float = SIMILARITY, rows: int = ROWS, bands: int = BANDS, crowd: int = CROWD) -> DataFrame:
     """doc_id, class_id for every row of docs; class_id: the least doc_id among texts linked directly or through others.
 
     Null text is empty. Texts without a word are only alike if equal; a text of fewer than five words is one shingle.
     Rows that share a doc_id count as one document. Null doc_ids: kept; a class of null doc_ids alone has a negative or
-    positive hash of its text as class_id. An empty table gives no rows; other columns are ignored.
+    positive hash of its text as class_id. An empty table gives no rows; other columns are ignored. `crowd`: members from
+    which on a bucket is compared by prefixes; it changes the work, not the links.
     """
-    spark = docs.sparkSession
     every = signed(docs, rows, bands)
     # exact copies are one node: the least doc_id
     nodes = common.written(every.groupBy("key").agg(F.min("doc_id").alias("m"), F.max("n").alias("n"), F.min_by("bands", F.coalesce("doc_id", F.lit(0))).alias("bands")).select("key", F.coalesce("m", F.xxhash64("key")).alias("node"), "n", "bands"), "nodes")
@@ -203,30 +236,28 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY, rows: int = ROWS, b
     full = common.written(members.join(hubs, "bucket"), "buckets")
     pairs = full.where((F.col("a") != F.col("node")) & size_fits(F.col("n_a"), F.col("n"), similarity)).select("a", F.col("node").alias("b")).distinct()
     pairs = common.written(pairs, "pairs")
-    # the texts of nodes that share a bucket with another
-    wanted = nodes.join(full.select(F.col("node").alias("w")).distinct(), F.col("node") == F.col("w"), "left_semi").select("key", "node")
     ids = docs.select(F.col("doc_id").cast("long").alias("_id"), F.coalesce("text", F.lit("")).alias("text"))
     ids = ids.select(F.coalesce("_id", F.xxhash64(F.md5(F.col("text").cast("binary")))).alias("_id"), "text")
-    held = ids.join(wanted.select("node").distinct(), F.col("_id") == F.col("node"), "left_semi").select(F.col("_id").alias("node"), "text")
-    held = common.written(held, "texts")
-    links = common.written(verified(pairs, held, similarity), "links")
+    # the shingles of nodes that share a bucket with another
+    sets = common.written(shingle_sets(ids, full), "sets")
+    links = common.written(verified(pairs, sets, similarity), "links")
     label = components(links)
     labelled = full.select("bucket", "node", "n").join(label, "node", "left").withColumn("label", F.coalesce("least", "node")).drop("least")
-    mixed = labelled.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("bucket")
-    rest = common.written(labelled.join(mixed, "bucket"), "mixed")
-    # a bucket's main component needs no pairs inside; all others meet every member of another component
-    parts = rest.groupBy("bucket", "label").agg(F.count("*").alias("c"))
-    main = parts.groupBy("bucket").agg(F.max(F.struct("c", "label")).alias("x")).select("bucket", F.col("x.label").alias("main"))
+    mixed = labelled.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("size")).where("lo <> hi").select("bucket", "size")
     sketch = nodes.select("node", F.slice("bands", bands + 1, SKETCH).alias("sketch"))
-    rest = rest.join(main, "bucket").join(sketch, "node")
-    one = rest.where("label <> main").select("bucket", F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("label").alias("label_a"), F.col("sketch").alias("sketch_a"))
-    two = rest.select("bucket", F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("label").alias("label_b"), F.col("sketch").alias("sketch_b"), (F.col("label") == F.col("main")).alias("in_main"))
-    fits = (F.col("label_a") != F.col("label_b")) & (F.col("in_main") | (F.col("a") < F.col("b"))) & size_fits(F.col("n_a"), F.col("n_b"), similarity)
-    other = one.join(two, (one["bucket"] == two["bucket"]) & fits & sketches_fit(F.col("sketch_a"), F.col("sketch_b"), F.col("n_a") + F.col("n_b"), similarity))
-    other = other.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
-    more = common.written(verified(common.written(other, "others"), held, similarity), "more")
-    label = components(links.unionAll(more)) if more.limit(1).count() else label
-    by_key = nodes.select("key", "node").join(label, "node", "left").select("key", F.coalesce("least", "node").alias("class_id"))
+    rest = common.written(labelled.join(mixed, "bucket").join(sketch, "node"), "mixed")
+    small = rest.where(F.col("size") <= crowd)
+    one = small.select("bucket", F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("label").alias("label_a"), F.col("sketch").alias("sketch_a"))
+    two = small.select("bucket", F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("label").alias("label_b"), F.col("sketch").alias("sketch_b"))
+    fits = (F.col("label_a") != F.col("label_b")) & (F.col("a") < F.col("b")) & size_fits(F.col("n_a"), F.col("n_b"), similarity)
+    other = one.join(two, (one["bucket"] == two["bucket"]) & fits & sketches_fit(F.col("sketch_a"), F.col("sketch_b"), F.col("n_a") + F.col("n_b"), similarity)).select("a", "b")
+    large = rest.where(F.col("size") > crowd).select("node", "n", "label", "sketch").dropDuplicates(["node"])
+    met = prefix_pairs(large, sets, similarity) if large.limit(1).count() else None
+    other = (other if met is None else other.unionAll(met)).distinct().join(pairs, ["a", "b"], "left_anti")
+    more = common.written(verified(common.written(other, "others"), sets, similarity), "more")
+    final = components(links.unionAll(more)) if more.limit(1).count() else label
+    common.release(full, pairs, sets, rest, *([] if met is None else [met]))
+    by_key = nodes.select("key", "node").join(final, "node", "left").select("key", F.coalesce("least", "node").alias("class_id"))
     return every.select("doc_id", "key").join(by_key, "key").select("doc_id", "class_id")
 
 
@@ -235,8 +266,9 @@ def without_near_copies(docs: DataFrame, similarity: float = SIMILARITY) -> Data
 
     Rows without a doc_id can't be told apart and go.
     """
-    keep = classes(docs, similarity).where(F.col("doc_id") == F.col("class_id")).select(F.col("doc_id").alias("_keep")).distinct()
-    return docs.join(keep, F.col("doc_id") == F.col("_keep"), "left_semi")
+    name = common.fresh(docs, "_keep")
+    keep = classes(docs, similarity).where(F.col("doc_id") == F.col("class_id")).select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(keep, F.col("doc_id") == F.col(name), "left_semi")
 
 
 def op7_neardup_probminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
