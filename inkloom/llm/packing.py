@@ -1,6 +1,7 @@
 """Operator 2: packing along a space-filling curve.
 
-A document's words are hashed and projected by random signs to DIMS dimensions; the point's Hilbert index is its key.
+A document's distinct words are hashed and projected by random signs to DIMS dimensions; each coordinate's place among
+those of all documents (it is normally distributed, whatever the length) gives a point, whose Hilbert index is its key.
 Documents are range-partitioned and sorted by that key, tokenised, and their ids cut into sequences in this order, so
 neighbours on the curve share sequences. Only the last sequence of a partition isn't full; these remainders are packed
 together best-fit, by one row for each partition on the driver.
@@ -26,15 +27,22 @@ PIECE_SCHEMA = "part int, doc_id long, start long, length long, ids_crc32 long,
 
 
 def project(texts: Sequence[str | None], dims: int = DIMS) -> np.ndarray:
-    """Points in [0, 1)^dims: each word adds a sign for each dimension, taken from its hash; long texts are scaled by sqrt."""
+    """Points in [0, 1)^dims: each distinct word adds a sign for each dimension, taken from its hash.
+
+    The sum over n words, divided by the square root of n, has mean 0 and deviation 1 for short and long texts alike; its
+    share of the normal distribution is the coordinate, so points fill the cube evenly.
+    """
     out = np.zeros((len(texts), dims))
     for start, block in textvec.blocks(texts):
         t = textvec.Tokens(block, words_only=True)
-        n = np.maximum(np.bincount(t.doc, minlength=len(block)), 1)
+        keys = np.unique((t.doc.astype(np.uint64) << np.uint64(40)) | (t.hash >> np.uint64(24)))
+        doc, h = (keys >> np.uint64(40)).astype(np.int64), textvec.mix(keys & np.uint64((1 << 40) - 1))
+        scale = np.sqrt(np.maximum(np.bincount(doc, minlength=len(block)), 1))
         for d in range(dims):
-            sign = 1.0 - 2.0 * ((t.hash >> np.uint64(d)) & np.uint64(1)).astype(np.float64)
-            out[start : start + len(block), d] = np.bincount(t.doc, sign, len(block)) / n
-    return np.clip((np.tanh(3 * out) + 1) / 2, 0, np.nextafter(1, 0))
+            sign = 1.0 - 2.0 * ((h >> np.uint64(d)) & np.uint64(1)).astype(np.float64)
+            out[start : start + len(block), d] = np.bincount(doc, sign, len(block)) / scale
+    # the logistic approximation of the normal distribution function; its error is under 0.01
+    return np.clip(1 / (1 + np.exp(-1.702 * out)), 0, np.nextafter(1, 0))
 
 
 def hilbert(points: np.ndarray, bits: int = BITS) -> np.ndarray:
@@ -70,30 +78,44 @@ def curve_keys(texts: Sequence[str | None]) -> np.ndarray:
     return hilbert(project(texts))
 
 
-def bounds(keyed: DataFrame, parts: int, most: int = 20_000) -> list[tuple[int, int]]:
-    """parts - 1 bounds (key, tie) from about `most` rows; they only balance the partitions, no row is left out."""
-    share = min(1.0, most / max(1, keyed.count()))
+PART_BYTES, MOST_PARTS = 8 << 20, 20_000
+
+
+def bounds(keyed: DataFrame, part_bytes: int = PART_BYTES) -> list[tuple[int, int]]:
+    """Bounds (key, tie) of range partitions of about `part_bytes` of text each (more beyond MOST_PARTS partitions).
+
+    They come from a sample of 20 rows a partition (20,000 at least), weighed by the lengths of the texts. They only
+    balance the partitions: no row is left out.
+    """
+    size = keyed.agg(F.count("*").alias("rows"), F.sum(F.length("text") + 4).alias("bytes")).first()
+    parts = min(MOST_PARTS, -(-(size["bytes"] or 0) // part_bytes))
+    if parts < 2:
+        return []
 
     @F.pandas_udf("long")
     def key(s: pd.Series) -> pd.Series:
         return pd.Series(curve_keys(s.tolist()))
 
-    some = keyed.sample(share, seed=7).select(key("text").alias("key"), "tie")
-    held = sorted((r["key"], r["tie"]) for r in some.collect())
-    return [held[len(held) * i // parts] for i in range(1, parts)] if held else []
+    some = keyed.sample(min(1.0, max(20_000, 20 * parts) / size["rows"]), seed=7)
+    held = sorted((r["key"], r["tie"], r["n"]) for r in some.select(key("text").alias("key"), "tie", (F.length("text") + 4).alias("n")).collect())
+    ends = np.cumsum([n for _, _, n in held])
+    at = np.searchsorted(ends, ends[-1] * np.arange(1, parts) / parts) if held else []
+    return sorted({held[min(i, len(held) - 1)][:2] for i in at})
 
 
-def pack(docs: DataFrame, size: int = 1024, tokenizer: str | None = None, end_id: int = 0) -> DataFrame:
+def pack(docs: DataFrame, size: int = 1024, tokenizer: str | None = None, end_id: int = 0, part_bytes: int = PART_BYTES) -> DataFrame:
     """Every id of every document in exactly one piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     Null or empty text: the end id alone. Repeated rows are packed each for itself; null doc_ids stay; an empty table
-    gives no rows; other columns are ignored. Equal keys (copies) are dealt to partitions by a hash of doc_id and text.
+    gives no rows; other columns are ignored. Partitions are cut by bytes of text; rows of equal keys (copies) are dealt to
+    partitions by a hash that differs from row to row.
     """
-    spark, file = docs.sparkSession, tokenizer or tokens.default_path()
-    common.small_batches(spark)
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("tie", F.xxhash64("doc_id", F.substring("text", 1, 64), F.length("text")))
-    cuts = bounds(keyed, parts)
+    file = tokenizer or tokens.default_path()
+    # the row's number sets repeated rows apart
+    tie = F.xxhash64("doc_id", F.length("text"), F.monotonically_increasing_id())
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("tie", tie)
+    cuts = bounds(keyed, part_bytes)
+    parts = len(cuts) + 1
     cut_keys, cut_ties = np.array([k for k, _ in cuts], np.int64), np.array([t for _, t in cuts], np.int64)
 
     @F.pandas_udf("key long, part int")
@@ -108,7 +130,7 @@ def pack(docs: DataFrame, size: int = 1024, tokenizer: str | None = None, end_id
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, enc, at = TaskContext.get().partitionId(), tokens.encoder(file), 0
         tail = end_id.to_bytes(4, "little")
-        for b in batches:
+        for b in common.in_slices(batches):
             rows = []
             for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 raw = enc.encode(text) + tail
