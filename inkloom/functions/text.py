@@ -36,9 +36,10 @@ CONTRIBUTION = (
     "state-of-the-art", "outperform", "improves", "significantly",
 )
 GRAM_STOP = (
-    "and the of to in a is for on with that this we as by are was were it an at be or from can our their its has have not but so if than then also "
-    "such which these those using used based shown show results result data figure table"
-).split()
+    "and", "the", "of", "to", "in", "a", "is", "for", "on", "with", "that", "this", "we", "as", "by", "are", "was", "were", "it", "an", "at", "be", "or", "from",
+    "can", "our", "their", "its", "has", "have", "not", "but", "so", "if", "than", "then", "also", "such", "which", "these", "those", "using", "used", "based",
+    "shown", "show", "results", "result", "data", "figure", "table",
+)
 
 
 def text_of(c: str | Column) -> Column:

@@ -1,13 +1,17 @@
-"""What is done with findings: repair, scores, counts, rankings, plans and the comparison of two revisions."""
+"""What is done with findings: repair, scores, counts, rankings, plans and the comparison of two revisions.
+
+A document's findings are one array in its row (rules.checked()), so all of this runs inside the row: no shuffle, and the
+rules are evaluated once whatever is asked of them.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 # Label, weight, rank, scale and largest penalty of each severity.
 SEVERITIES = (("Critical", 40.0, 0, 60.0, 60.0), ("High", 20.0, 1, 150.0, 45.0), ("Medium", 8.0, 2, 300.0, 25.0), ("Low", 3.0, 3, 200.0, 18.0), ("Info", 0.0, 4, 1.0, 0.0))
+_f = "f"
 
 
 def of_severity(c: Column, place: int) -> Column:
@@ -25,51 +29,107 @@ def repaired(findings: DataFrame) -> DataFrame:
     return findings.withColumn("confidence", number).withColumn("severity", F.when(label.isin([s[0] for s in SEVERITIES]), label).otherwise("Low"))
 
 
-def readiness(docs: DataFrame, findings: DataFrame) -> DataFrame:
-    """doc_id, readiness: 100 less saturating penalties by severity, scaled by how clustered the categories are."""
-    tier = findings.groupBy("doc_id", "severity").agg(F.sum(of_severity(F.col("severity"), 1) * F.col("confidence")).alias("raw"))
-    penalty = of_severity(F.col("severity"), 4) * (1 - F.exp(-F.col("raw") / of_severity(F.col("severity"), 3)))
-    tier = tier.groupBy("doc_id").agg(F.sum(penalty).alias("penalty"))
-    category = findings.groupBy("doc_id", "category").agg(F.count("*").alias("n")).groupBy("doc_id").agg((F.count_if(F.col("n") >= 2) / F.count("*")).alias("ratio"))
-    score = F.bround(100 - F.col("penalty") * (0.7 + 0.3 * F.col("ratio")))
-    out = docs.select("doc_id").join(tier, "doc_id", "left").join(category, "doc_id", "left")
-    return out.select("doc_id", F.coalesce(F.greatest(F.least(score, F.lit(100.0)), F.lit(0.0)), F.lit(100.0)).cast("int").alias("readiness"))
+def gathered(docs: DataFrame, findings: DataFrame) -> DataFrame:
+    """doc_id, f: findings of any source (doc_id, seq, category, severity, title, confidence, action) as an array for each document."""
+    fields = ("seq", "category", "severity", "title", "confidence", "action")
+    f = findings.groupBy("doc_id").agg(F.collect_list(F.struct(*fields)).alias(_f))
+    none = F.array().cast("array<struct<seq:int,category:string,severity:string,title:string,confidence:double,action:string>>")
+    return docs.select("doc_id").join(f, "doc_id", "left").withColumn(_f, F.coalesce(_f, none))
+
+
+def ignored(checked: DataFrame, patterns: list[str]) -> DataFrame:
+    """checked() without the findings whose title matches any of the patterns (case is ignored)."""
+    if not patterns:
+        return checked
+    return checked.withColumn(_f, F.filter(_f, lambda x: ~x["title"].rlike("(?i)" + "|".join(f"(?:{p})" for p in patterns))))
+
+
+def percent(confidence: Column) -> Column:
+    """A confidence as it is printed: a rounded percentage, marked as uncertain under 50."""
+    p = F.bround(F.greatest(F.least(confidence, F.lit(1.0)), F.lit(0.0)) * 100).cast("int")
+    return F.concat(p.cast("string"), F.when(p < 50, "% (uncertain)").otherwise("%"))
+
+
+def readiness_of(f: Column) -> Column:
+    """100 less saturating penalties by severity, scaled by how clustered the categories are."""
+    penalty = F.lit(0.0)
+    for label, weight, _, scale, most in SEVERITIES:
+        raw = F.aggregate(F.filter(f, lambda x: x["severity"] == label), F.lit(0.0), lambda acc, x: acc + weight * x["confidence"])
+        penalty = penalty + most * (1 - F.exp(-raw / scale))
+    categories = F.transform(f, lambda x: x["category"])
+    distinct = F.array_distinct(categories)
+    clustered = F.size(F.filter(distinct, lambda c: F.size(F.filter(categories, lambda x: x == c)) >= 2))
+    score = F.bround(100 - penalty * (0.7 + 0.3 * clustered / F.greatest(F.size(distinct), F.lit(1))))
+    return F.when(F.size(f) == 0, 100).otherwise(F.greatest(F.least(score, F.lit(100.0)), F.lit(0.0)).cast("int"))
+
+
+def readiness(checked: DataFrame) -> DataFrame:
+    return checked.select("doc_id", readiness_of(F.col(_f)).alias("readiness"))
 
 
-def severity_counts(findings: DataFrame) -> DataFrame:
-    return findings.groupBy("doc_id").agg(*[F.count_if(F.col("severity") == s[0]).alias(s[0].lower()) for s in SEVERITIES], F.count("*").alias("findings"))
+def counts_of(f: Column) -> list[Column]:
+    each = [F.size(F.filter(f, lambda x: x["severity"] == s[0])).cast("long").alias(s[0].lower()) for s in SEVERITIES]
+    return [*each, F.size(f).cast("long").alias("findings")]
 
 
-def ranked(findings: DataFrame) -> DataFrame:
-    """Adds `place`: by severity, then confidence, then emission order."""
-    w = Window.partitionBy("doc_id").orderBy(of_severity(F.col("severity"), 2), F.desc("confidence"), "seq")
-    return findings.withColumn("place", F.row_number().over(w))
+def severity_counts(checked: DataFrame) -> DataFrame:
+    """doc_id, a count for each severity, findings."""
+    return checked.select("doc_id", *counts_of(F.col(_f)))
 
 
-def top_findings(findings: DataFrame, n: int = 3) -> DataFrame:
-    """doc_id, top_findings: the first n as "Severity: title", joined by bars."""
-    top = ranked(findings).where(F.col("place") <= n)
-    listed = F.array_sort(F.collect_list(F.struct("place", F.concat_ws(": ", "severity", "title").alias("s"))))
-    return top.groupBy("doc_id").agg(F.array_join(F.transform(listed, lambda x: x["s"]), " | ").alias("top_findings"))
+def ranked_of(f: Column) -> Column:
+    """The findings by severity, then confidence, then emission order."""
+    key = F.transform(f, lambda x: F.struct(of_severity(x["severity"], 2).alias("rank"), (-x["confidence"]).alias("less"), x["seq"].alias("seq"), x["severity"].alias("severity"), x["title"].alias("title"), x["action"].alias("action")))
+    return F.array_sort(key)
 
 
-def fix_plan(findings: DataFrame) -> DataFrame:
+def top_of(f: Column, n: int = 3) -> Column:
+    """The first n findings as "Severity: title", joined by bars."""
+    return F.array_join(F.transform(F.slice(ranked_of(f), 1, n), lambda x: F.concat_ws(": ", x["severity"], x["title"])), " | ")
+
+
+def batch(checked: DataFrame) -> DataFrame:
+    """doc_id, readiness, counts, top_findings: one row for each document."""
+    f = F.col(_f)
+    return checked.select("doc_id", readiness_of(f).alias("readiness"), *counts_of(f), top_of(f).alias("top_findings"))
+
+
+def minutes_of(action: Column) -> Column:
+    words = F.size(F.filter(F.split(action, r"\s+"), lambda w: w != ""))
+    act = F.lower(action)
+    return F.when(words <= 12, 30).when(act.rlike("add|state|include|declare|provide|register|deposit|report"), 30).when(act.rlike("rewrite|restructure|expand|re-analy|collect|conduct"), 150).otherwise(90)
+
+
+def fix_plan(checked: DataFrame) -> DataFrame:
     """doc_id, step, title, minutes: findings of distinct normalised titles in order, with an estimate of the work."""
-    key = F.regexp_replace(F.lower("title"), "[^a-z0-9]+", "")
-    first = ranked(findings).withColumn("key", key).withColumn("copy", F.row_number().over(Window.partitionBy("doc_id", "key").orderBy("place"))).where("copy = 1")
-    words = F.size(F.filter(F.split("action", r"\s+"), lambda w: w != ""))
-    act = F.lower("action")
-    minutes = F.when(words <= 12, 30).when(act.rlike("add|state|include|declare|provide|register|deposit|report"), 30).when(act.rlike("rewrite|restructure|expand|re-analy|collect|conduct"), 150).otherwise(90)
-    return first.select("doc_id", F.row_number().over(Window.partitionBy("doc_id").orderBy("place")).alias("step"), "title", minutes.alias("minutes"))
+    ranked = checked.select("doc_id", ranked_of(F.col(_f)).alias("r")).withColumn("k", F.transform("r", lambda x: F.regexp_replace(F.lower(x["title"]), "[^a-z0-9]+", "")))
+    first = F.filter("r", lambda x, i: F.array_position(F.col("k"), F.get("k", i)) == i + 1)
+    steps = ranked.select("doc_id", F.posexplode_outer(first).alias("step", "x")).where(F.col("x").isNotNull())
+    return steps.select("doc_id", (F.col("step") + 1).alias("step"), F.col("x.title").alias("title"), minutes_of(F.col("x.action")).alias("minutes"))
+
+
+def plan_totals(checked: DataFrame) -> DataFrame:
+    """doc_id, steps, minutes, hours: the whole plan's work."""
+    plan = fix_plan(checked).groupBy("doc_id").agg(F.count("*").alias("steps"), F.sum("minutes").alias("minutes"))
+    return plan.withColumn("hours", F.round(F.col("minutes") / 60, 1))
 
 
 def revision_diff(before: DataFrame, after: DataFrame) -> DataFrame:
     """doc_id, category, title, state: fixed, still open or new, by category and normalised title."""
-    def keyed(f: DataFrame) -> DataFrame:
-        f = f.withColumn("key", F.trim(F.regexp_replace(F.lower("title"), "[^a-z0-9]+", " ")))
-        return f.groupBy("doc_id", "category", "key").agg(F.min_by("title", "seq").alias("title"))
-
-    on = ["doc_id", "category", "key"]
-    a, b = keyed(before), keyed(after)
-    parts = [b.join(a, on, "left_anti").withColumn("state", F.lit("new")), b.join(a, on, "left_semi").withColumn("state", F.lit("still open")), a.join(b, on, "left_anti").withColumn("state", F.lit("fixed"))]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2]).select("doc_id", "category", "title", "state")
+    def keyed(checked: DataFrame, name: str) -> DataFrame:
+        key = lambda x: F.struct(x["category"].alias("category"), F.trim(F.regexp_replace(F.lower(x["title"]), "[^a-z0-9]+", " ")).alias("key"), x["title"].alias("title"))
+        each = F.transform(F.array_sort(F.transform(_f, lambda x: F.struct(x["seq"].alias("seq"), key(x).alias("x")))), lambda y: y["x"])
+        # the first finding of each category and key
+        return checked.select("doc_id", F.filter(each, lambda x, i: ~F.exists(F.slice(each, F.lit(1), i), lambda y: (y["category"] == x["category"]) & (y["key"] == x["key"]))).alias(name))
+
+    both = keyed(before, "a").join(keyed(after, "b"), "doc_id", "full")
+    none = F.array().cast("array<struct<category:string,key:string,title:string>>")
+    a, b = F.coalesce("a", none), F.coalesce("b", none)
+    has = lambda other, x: F.exists(other, lambda y: (y["category"] == x["category"]) & (y["key"] == x["key"]))
+    row = lambda x, state: F.struct(x["category"].alias("category"), x["title"].alias("title"), F.lit(state).alias("state"))
+    out = F.concat(
+        F.transform(F.filter(b, lambda x: ~has(a, x)), lambda x: row(x, "new")),
+        F.transform(F.filter(b, lambda x: has(a, x)), lambda x: row(x, "still open")),
+        F.transform(F.filter(a, lambda x: ~has(b, x)), lambda x: row(x, "fixed")),
+    )
+    return both.select("doc_id", F.explode_outer(out).alias("x")).where(F.col("x").isNotNull()).select("doc_id", "x.*")

@@ -67,7 +67,7 @@ def passive_ratio(docs: DataFrame) -> DataFrame:
 def repeated_grams(docs: DataFrame, least: int = 4, most: int = 6, count: int = 2) -> DataFrame:
     """doc_id, gram, n: runs of `least` to `most` words without a stop word that a document has `count` times or more."""
     # stop words become bars, so a text falls into runs without any, and only these are cut into grams
-    barred = F.array_join(F.transform(T.lower_words("text"), lambda w: F.when(w.isin(T.GRAM_STOP), "|").otherwise(w)), " ")
+    barred = F.array_join(F.transform(T.lower_words("text"), lambda w: F.when(w.isin(list(T.GRAM_STOP)), "|").otherwise(w)), " ")
     runs = docs.select("doc_id", F.explode_outer(F.split(barred, r"\|")).alias("run"))
     runs = runs.select("doc_id", F.filter(F.split("run", " "), lambda w: w != "").alias("w")).where(F.size("w") >= least)
     each = F.concat(*[T.grams(F.col("w"), n) for n in range(least, most + 1)])

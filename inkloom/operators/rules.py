@@ -1,11 +1,16 @@
-"""Checks as data: a rule fires when all its `need` patterns are found in the lower-cased text and none of its `lack` ones.
+"""Checks as data: a rule fires when its patterns are found, or aren't, as it says.
 
-All rules are compiled into one array expression, so a text is read once, whatever the number of rules.
+All rules of a run are evaluated together. Each distinct first pattern of a rule is searched once for each text, and the
+others only in texts where it was found. Before a regular expression is tried, the text is searched for the literals of
+which every match must hold one: a plain substring search, many times faster than a regular expression that fails.
 """
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterable, Sequence
 from dataclasses import dataclass
+from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -13,8 +18,23 @@ from pyspark.sql import functions as F
 from inkloom.functions import text as T
 
 
+class OnLow(str):
+    """A pattern for the lower-cased text, capitals and all: one with a capital is never found there. It decides results."""
+
+
+class OnText(str):
+    """A pattern for the text as it is. A plain string is a pattern that ignores case."""
+
+
 @dataclass(frozen=True)
 class Rule:
+    """Fires when all of `need` and none of `lack` are found, and all further conditions hold.
+
+    unless: pairs (found, missing): a text with the first and without the second is let off. counts: pairs (patterns,
+    least): so many matches in all; count_most and per_1000 (matches for 1000 words, more than) bound the first pair.
+    distinct, fewer: of these patterns fewer than so many are found. {n} in the title is the first pair's count.
+    """
+
     category: str
     severity: str
     title: str
@@ -23,46 +43,51 @@ class Rule:
     confidence: float
     action: str
     least_words: int = 0
+    least_tokens: int = 0
+    unless: tuple[tuple[str, str], ...] = ()
+    counts: tuple[tuple[tuple[str, ...], int], ...] = ()
+    count_most: int | None = None
+    per_1000: float | None = None
+    distinct: tuple[str, ...] = ()
+    fewer: int = 0
 
 
 # Patterns, titles, severities and confidences that results are defined by.
-_STATS = r"statistical\s+analysis|analy(?:zed|sis)|\bp\s*[<>=]|regression|t[- ]test|anova|chi-?square|mean|median|sd|ci\b"
+_STATS = OnLow(r"statistical\s+analysis|analy(?:zed|sis)|\bp\s*[<>=]|regression|t[- ]test|ANOVA|chi-?square|mean|median|SD|CI\b")
 _ML = r"neural\s+network|deep\s+learning|machine\s+learning|trained\s+(?:our|the)\s+model|dataset|benchmark"
-_REPO = r"zenodo|figshare|dryad|github|gitlab|kaggle|osf\.io|ieee\s+dataport|mendeley|data\s+in\s+brief|4tu"
-_SUPPLEMENT = r"supplementary|supporting\s+(?:information|material)|supplemental|si\s*(?:section|material)|e-?component|additional\s+(?:figures|files)"
+_REPO = OnLow(r"zenodo|figshare|dryad|github|gitlab|kaggle|osf\.io|ieee\s+dataport|mendeley|data\s+in\s+brief|4TU")
+_SUPPLEMENT = OnLow(r"supplementary|supporting\s+(?:information|material)|supplemental|SI\s*(?:section|material)|e-?component|additional\s+(?:figures|files)")
 _LIVING = r"participants?|patients?|subjects?|cohort|clinical|women|men|animals?|mice|rats?"
 _SEX = r"\b(?:sex|gender)\b|male|female|\bf\b|\bm\b|men and women|boys and girls"
 _TRIAL = r"clinical\s+trial|randomized|intervention|drug|vaccine|dos"
-_RCT = r"randomized\s+controlled\s+trial|randomised\s+controlled\s+trial|\brct\b|randomly\s+assigned"
 _TOOLS = r"chatgpt|gpt-?4|gpt-?5|claude|gemini|bard|copilot|llama|mistral|deepseek|midjourney|dall-?e|stable\s+diffusion|grammarly|quillbot|writefull|elicit|consensus|scite|epsilon"
-_REVIEW = r"systematic\s+review|meta-?analysis|\bprisma\b"
 
 RULES = (
     Rule("Stats Plan", "Medium", "Missing-data handling not described", (_STATS, r"participants?|patients?|subjects?|survey|questionnaire"), (r"missing\s+data|incomplete\s+data|non-?response|loss\s+to\s+follow-?up|attrition|imputation|multiple\s+imputation|complete-?case",), 0.70, "Describe how missing data were handled"),
-    Rule("Stats Plan", "Low", "Outlier handling not described", (_STATS, r"mean|regression|t[- ]test|anova|outlier"), (r"outlier|extreme\s+value|trimmed|winsor|robust\s+(?:estimat|regression)",), 0.55, "State the definition and treatment of outliers"),
+    Rule("Stats Plan", "Low", "Outlier handling not described", (_STATS, OnLow(r"mean|regression|t[- ]test|ANOVA|outlier")), (r"outlier|extreme\s+value|trimmed|winsor|robust\s+(?:estimat|regression)",), 0.55, "State the definition and treatment of outliers"),
     Rule("Stats Plan", "Low", "No pre-specified analysis plan evident", (_STATS, r"explor|post-?hoc|secondary\s+analys"), (r"pre-?specified|pre-?registered|analysis\s+plan|primary\s+outcome|secondary\s+outcome|hypothes[ei]s\s+(?:was|were)\s+stated",), 0.55, "State which analyses were planned"),
     Rule("Safety Ethics", "High", "Pathogen/infectious work without biosafety level", (r"pathogen|virus|bacteria|culture|infectious|bsl-?\d",), (r"bsl-?\d|biosafety\s+level|institutional\s+biosafety",), 0.80, "State the biosafety level and its approval"),
-    Rule("Safety Ethics", "Medium", "Trial without safety-monitoring statement", (_TRIAL,), (r"data\s+safety\s+monitoring|dsmb|safety\s+committee|adverse\s+event",), 0.65, "Describe safety oversight"),
+    Rule("Safety Ethics", "Medium", "Trial without safety-monitoring statement", (_TRIAL,), (OnLow(r"data\s+safety\s+monitoring|DSMB|safety\s+committee|adverse\s+event"),), 0.65, "Describe safety oversight"),
     Rule("Safety Ethics", "Medium", "No adverse-event reporting", (_TRIAL,), (r"adverse\s+(?:event|effect)|side\s+effect|complication",), 0.60, "Add a paragraph on adverse events"),
     Rule("Supplementary", "High", "Data reported as 'not shown'", (r"data\s+(?:not\s+shown|not\s+presented|omitted)|results?\s+(?:not\s+shown|not\s+presented)|figure\s+not\s+shown|not\s+shown\s+here",), (), 0.85, "Move these data into the supplement"),
     Rule("Supplementary", "Medium", "No supplementary material section", (), (_SUPPLEMENT,), 0.65, "Add a section or state that there is none"),
-    Rule("Supplementary", "Low", "Supplementary items not numbered", (_SUPPLEMENT,), (r"(?:supplementary|supporting|supplemental|additional)\s+(?:figure|table|fig|tab)\.?\s*[a-z]?\d|fig\.?\s*s\d|table\s*s\d|figure\s*s\d",), 0.70, "Number the items and cite each"),
+    Rule("Supplementary", "Low", "Supplementary items not numbered", (_SUPPLEMENT,), (r"(?:supplementary|supporting|supplemental|additional)\s+(?:figure|table|fig|tab)\.?\s*[A-Z]?\d|Fig\.?\s*S\d|Table\s*S\d|Figure\s*S\d",), 0.70, "Number the items and cite each"),
     Rule("Repro Env", "Medium", "ML paper without code-availability statement", (_ML,), (r"code\s+(?:is|are|will\s+be)?\s*(?:publicly\s+)?available|github\.com|gitlab\.com|zenodo|software\s+availability|code\s+repository|open\s+source",), 0.75, "Release the code and say where"),
     Rule("Repro Env", "Low", "No computational-environment specification", (_ML,), (r"docker|conda|pip\s+install|environment\.yml|requirements\.txt|virtual\s+environment|python\s+\d",), 0.60, "Pin the versions of all dependencies"),
-    Rule("Repro Env", "Medium", "Study protocol not registered", (r"clinical\s+trial|randomized|protocol",), (r"registered|registration\s+number|clinicaltrials\.gov|prospero|osf",), 0.70, "Register the study and include the number"),
+    Rule("Repro Env", "Medium", "Study protocol not registered", (r"clinical\s+trial|randomized|protocol",), (OnLow(r"registered|registration\s+number|ClinicalTrials\.gov|PROSPERO|OSF"),), 0.70, "Register the study and include the number"),
     Rule("Repro Env", "Low", "Train/test split not described", (_ML, r"train(?:ed|ing)\b.{0,80}(?:test|validation)|(?:test|validation)\s+set"), (r"hold-?out|cross-?validation|split|leakage|stratified",), 0.55, "Describe how the data were split"),
     Rule("SAGER", "Medium", "Sex/gender not reported", (_LIVING,), (_SEX,), 0.65, "Report the composition of the sample"),
     Rule("SAGER", "Low", "Sex reported but results not disaggregated", (_LIVING, _SEX, r"\b(?:male|female)\b"), (r"by (?:sex|gender)|sex-?stratified|stratified by|per (?:sex|gender)|separately for (?:male|female)|in (?:men|women)\b|in (?:males|females)\b",), 0.55, "Add stratified results or say why not"),
     Rule("Data License", "Medium", "No data availability or sharing statement", (), (r"data\s+availability|availability\s+of\s+data|data\s+sharing", _REPO), 0.75, "Add a statement that names the repository"),
-    Rule("Data License", "Low", "Shared data without an open license", (_REPO,), (r"creative\s+commons|cc[- ]?by|cc0|open\s+license|license[d]?\s+under|public\s+domain|open\s+(?:access|data)",), 0.65, "State the licence"),
+    Rule("Data License", "Low", "Shared data without an open license", (_REPO,), (OnLow(r"creative\s+commons|CC[- ]?BY|CC0|open\s+license|license[d]?\s+under|public\s+domain|open\s+(?:access|data)"),), 0.65, "State the licence"),
     Rule("Data License", "Low", "Dataset without version indication", (_REPO,), (r"version|v\d+(?:\.\d+)?|released\s+(?:on|in)|updated",), 0.55, "Cite the version and its date"),
     Rule("Data License", "Medium", "Proprietary or protected data format mentioned", (r"proprietary\s+format|password-?protected|encrypted\s+file|licensed\s+software\s+(?:format|file)",), (), 0.70, "Convert the data to open formats"),
     Rule("Figure Quality", "High", "Western blots without markers/controls", (r"western\s+blot|immunoblot",), (r"molecular\s+(?:weight|mass)\s+marker|protein\s+ladder|kda\s+marker|loading\s+control|actin|gapdh|tubulin",), 0.80, "Show markers and loading controls"),
     Rule("Figure Quality", "Medium", "Cropped blots without uncropped originals", (r"western\s+blot|immunoblot",), (r"cropped|uncropped|full-?length\s+blot|original\s+blot",), 0.65, "Supply the uncropped images"),
-    Rule("Figure Quality", "Medium", "Microscopy images without scale bar/magnification", (r"microscop|histolog|immunofluoresc|confocal|staining|stained",), (r"scale\s+bar|magnification|objective\s+(?:lens|\d+x)|nan?ometer|micron|micrometer|µm|um\b",), 0.70, "State the scale"),
-    Rule("Figure Quality", "Medium", "Box plots without individual data points", (r"box[- ]?plot|box-?whisker",), (r"individual\s+(?:data\s+)?points|scatter|raw\s+data|all\s+points|overlay(?:ed)?\s+points|notches?\b",), 0.60, "Overlay the data points"),
-    Rule("Figure Quality", "Low", "Possible red-green color coding in figures", (r"red[- ]green|green[- ]red", r"figure|plot|graph|color"), (), 0.50, "Use a palette that all can read"),
-    Rule("Figure Quality", "Low", "Error bars not defined in captions", (r"error\s+bars?",), (r"(?:represent|show|indicate|denote)s?\s+(?:the\s+)?(?:standard\s+)?(?:deviation|error)|\b(?:sd|sem|se)\b|95%\s*ci",), 0.60, "Define the bars"),
+    Rule("Figure Quality", "Medium", "Microscopy images without scale bar/magnification", (r"microscop|histolog|immunofluoresc|confocal|staining|stained",), (r"scale\s+bar|magnification|objective\s+(?:lens|\d+x)|nan?ometer|micron|micrometer|µm|um\b",), 0.75, "State the scale"),
+    Rule("Figure Quality", "Medium", "Box plots without individual data points", (r"box[- ]?plot|box-?whisker",), (r"individual\s+(?:data\s+)?points|scatter|raw\s+data|all\s+points|overlay(?:ed)?\s+points|notches?\b",), 0.65, "Overlay the data points"),
+    Rule("Figure Quality", "Low", "Possible red-green color coding in figures", (r"red[- ]green|green[- ]red", r"figure|plot|graph|color"), (), 0.55, "Use a palette that all can read"),
+    Rule("Figure Quality", "Low", "Error bars not defined in captions", (r"error\s+bars?",), (OnLow(r"(?:represent|show|indicate|denote)s?\s+(?:the\s+)?(?:standard\s+)?(?:deviation|error)|\b(?:SD|SEM|SE)\b|95%\s*CI"),), 0.60, "Define the bars"),
     Rule("Submission", "Medium", "No Limitations section", (), (r"limitations?",), 0.80, "Add a section on threats to validity", 100),
     Rule("Submission", "Low", "No Future Work mentioned", (), (r"future\s+work|future\s+direction|future\s+research|conclusion",), 0.60, "Add an outlook", 100),
     Rule("Submission", "Low", "No ORCID iD found", (), (r"orcid|0000[- ]000[0-9][- ]000[0-9]",), 0.60, "Add the ids of all authors", 100),
@@ -70,25 +95,76 @@ RULES = (
     Rule("Submission", "High", "No corresponding author email", (), (r"[a-z0-9._%+-]+@[a-z0-9.-]+\.[a-z]{2,}",), 0.95, "Add an address", 100),
     Rule("Submission", "High", "No explicit contribution statement", (), (r"contribut|novelty|what\s+this|we\s+(?:propose|present|introduce|develop)|our\s+(?:contribut|key)",), 0.85, "State what is new", 100),
     Rule("Submission", "High", "Clinical research without trial registration", (r"clinical\s+trial|patient\s+s?|cohort\s+study|randomiz",), (r"clinicaltrials\.gov|isrctn|registered|registration\s+(?:number|no)",), 0.80, "Register the trial", 100),
-    Rule("AI Disclosure", "High", "AI tool named without disclosure statement", (_TOOLS,), (r"disclos|declared|decline|we\s+used\s+.+for\s+(?:language|grammar|writing)|assisted\s+(?:the\s+)?(?:drafting|writing|language)",), 0.75, "Say how the tool was used"),
-    Rule("AI Disclosure", "High", "AI-generated figures without disclosure", (r"midjourney|dall-?e|stable\s+diffusion|ai-?generated\s+(?:image|figure)",), (r"disclos|declar|noted\s+that",), 0.80, "Disclose the images"),
-    Rule("Reporting Guidelines", "Medium", "Heterogeneity (I2) not reported", (_REVIEW, r"meta-?analysis|pooled|effect\s+size|forest\s+plot"), (r"i\s*2|i-squared|heterogeneity|tau",), 0.75, "Report the heterogeneity and the model"),
-    Rule("Reporting Guidelines", "Medium", "Publication bias not assessed", (_REVIEW, r"meta-?analysis|pooled|effect\s+size|forest\s+plot"), (r"funnel\s+plot|publication\s+bias|egger|trim-and-fill",), 0.70, "Add a funnel plot or a test"),
-)
-
-#: Reporting guidelines: (family, trigger, items that must be found (pattern, name)).
-GUIDELINES = (
-    ("SPIRIT", r"protocol\s+(?:paper|article)|this\s+(?:study\s+)?protocol|we\s+(?:present|describe|report)\s+(?:the\s+)?(?:study\s+)?protocol|\bspirit\b|the\s+trial\s+protocol", ((r"\bnct\d+|clinicaltrials\.gov|registered|registration", "prospective registration"), (r"eligibility\s+criteria|inclusion\s+criteria|exclusion\s+criteria", "eligibility criteria"), (r"primary\s+outcome|co-?primary|secondary\s+outcomes?", "outcome definitions"), (r"ethics\s+approval|irb|institutional\s+review|ethical\s+(?:committee|clearance)", "ethics approval"))),
-    ("PRISMA", _REVIEW, ((r"prospero|registered|protocol", "protocol registration (PROSPERO)"), (r"search(?:ed)?\s+(?:the|in|across)|database(?:s)?\s+search|pubmed|scopus|web\s+of\s+science|embase|cochrane", "search strategy"), (r"risk\s+of\s+bias|rob|newcastle|nos|quadas|grade|cochrane", "risk-of-bias assessment"), (r"flow\s+diagram|prisma\s+flow|study\s+selection|screening|excluded", "PRISMA flow diagram"))),
-    ("ARRIVE 2.0", r"\bmice\b|\brats\b|zebrafish|animal\s+(?:model|study)|rodents?\b", ((r"iacuc|ethics\s+(?:approval|committee)|animal\s+(?:care|welfare)|arrive", "ethics approval (IACUC/ARRIVE)"), (r"random(?:ization|ly|ized)", "randomization"), (r"blind(?:ed|ing)?|mask(?:ed|ing)?", "blinding"), (r"sample\s+size|power\s+(?:calculation|analysis)", "sample-size justification"))),
-    ("CARE", r"case\s+report|single\s+case|we\s+report\s+a\s+(?:case|patient)", ((r"informed\s+consent|written\s+consent|consent\s+(?:was|form)|patient\s+consent", "patient consent"), (r"de-?identif|anonymi[sz]|initials\s+of|pseudonym", "de-identification"), (r"timeline|fig\.?\s*1|figure\s+1|course\s+of\s+(?:the\s+)?(?:illness|treatment)", "clinical timeline"))),
-    ("SRQR/COREQ", r"qualitative\s+(?:study|research|interview)|semi-?structured\s+interviews?|focus\s+groups?|thematic\s+analysis|ethnograph", ((r"theoretical\s+framework|grounded\s+theory|phenomenolog|narrative\s+analysis|framework\s+analysis", "theoretical framework"), (r"saturation|no\s+(?:new\s+)?(?:themes?\s+(?:were|emerged)|further\s+(?:codes?|themes?))", "data saturation"), (r"coding\s+(?:process|scheme)|open\s+coding|axial\s+coding|double[- ]coding|inter-?coder|codebook", "coding process"))),
+    Rule("AI Disclosure", "High", "AI tool named without disclosure statement", (_TOOLS,), (r"disclos|declared|decline|we\s+used\s+.+for\s+(?:language|grammar|writing)|assisted\s+(?:the\s+)?(?:drafting|writing|language)",), 0.85, "Say how the tool was used"),
+    Rule("AI Disclosure", "High", "AI-generated figures without disclosure", (r"midjourney|dall-?e|stable\s+diffusion|ai-?generated\s+(?:image|figure)",), (r"disclos|declar|noted\s+that",), 0.90, "Disclose the images"),
+    Rule("Safety Ethics", "Medium", "HIPAA data without de-identification statement", (OnText(r"hipaa|protected\s+health\s+information|PHI\b"),), (OnLow(r"de-?identif|anonymiz|limited\s+data\s+set|waiver"),), 0.70, "State the de-identification method (Safe Harbor/Expert Determination)"),
+    Rule("Safety Ethics", "Medium", "EU personal data without GDPR safeguards", (OnText(r"GDPR|personal\s+data|EU\s+patients|european\s+patients"),), (OnLow(r"consent|anonymiz|pseudonymiz|ethical\s+approval|data\s+protection"),), 0.70, "State the lawful basis, consent, and data-protection measures"),
+    Rule("SAGER", "Low", "Possible sex/gender terminology confusion", (_LIVING, _SEX, OnLow(r"\bgender\b"), OnLow(r"biological|hormon|chromosom|XX|XY")), (), 0.50, "Check that 'sex' and 'gender' are used correctly per SAGER"),
+    Rule("Data License", "Low", "Data DOI present but not cited", (OnLow(r"doi\s*[:/]|https?://doi\.org|data\.dryad|zenodo\.org/records"),), (OnLow(r"cite(?:d| this| the)|citation:\s*\[?\d|please\s+cite"),), 0.55, "Add the recommended citation for the dataset"),
+    Rule("Data License", "Low", "No raw data or format description", (OnLow(r"dataset|collected\s+data|our\s+data"),), (OnLow(r"raw\s+data|original\s+measurements|underlying\s+data|source\s+data|individual\s+(?:participant|patient)\s+data|\.(?:csv|tsv|json|xml|parquet|hdf5?|mat|npy|nc)|machine-?readable|open\s+format"),), 0.60, "Describe the raw data and file formats"),
+    Rule("AI Disclosure", "Medium", "AI-assisted analysis without human-verification statement", (OnLow(r"(?:machine|deep)\s+learning.{0,40}(?:analyz|classif|predict)"), OnLow(r"chatgpt|gpt-?4|gpt-?5|llm")), (OnLow(r"validat|manual(?:ly)?\s+(?:verif|review|check)|human\s+(?:review|verification)"),), 0.65, "State that humans verified all AI-assisted outputs"),
+    Rule("AI Disclosure", "Low", "EU-context paper without EU AI Act note", (OnText(r"european|EU\s+funder|Horizon"), OnLow(r"chatgpt|gpt-?4|gpt-?5|claude|gemini|llm")), (OnText(r"EU\s+AI\s+Act"),), 0.50, "Check EU AI Act transparency duties for AI-generated content"),
+    Rule("AI Disclosure", "Critical", "AI appears to be listed as an author", (OnLow(r"(?:chatgpt|gpt-?4|gpt-?5|claude|gemini|llm)\s*(?:,|\band\b)?\s*[A-Z]?\s*[a-z]*\s*et\s+al|\bAI\b\s+(?:as\s+)?(?:co-?)?author"),), (), 0.80, "Remove any AI attribution from the author list; disclose tool use in Methods/Acknowledgments instead"),
 )
 
 
+@lru_cache(maxsize=1)
 def all_rules() -> tuple[Rule, ...]:
-    items = [Rule("Reporting Guidelines", "High", f"{family}: {name}", (trigger,), (pattern,), 0.80, f"Report {name}") for family, trigger, listed in GUIDELINES for pattern, name in listed]
-    return (*RULES, *items)
+    from inkloom.operators import engines, guidelines
+
+    return (*RULES, *guidelines.RULES, *engines.RULES)
+
+
+def lowered(pattern: str) -> str:
+    """The pattern with its literals in lower case; escapes such as \\S keep their case."""
+    return re.sub(r"\\.|[A-Z]", lambda m: m[0] if m[0][0] == "\\" else m[0].lower(), pattern)
+
+
+def subject(pattern: str) -> tuple[str, str]:
+    """(column, pattern to search there): "low" or "text"."""
+    if isinstance(pattern, OnText):
+        return "text", str(pattern)
+    return "low", str(pattern) if isinstance(pattern, OnLow) else lowered(pattern)
+
+
+@lru_cache(maxsize=None)
+def literals(pattern: str) -> tuple[str, ...]:
+    """Strings of which every match holds at least one; none: nothing is known (or too little to be of use)."""
+    from re import _constants as C
+    from re import _parser as parser
+
+    def rarity(s: str) -> int:
+        """0 for what nearly every text holds."""
+        return min(len(s), 3) if len(s) > 1 else 2 * (not s.isalnum() and s not in " .,-\n\t")
+
+    def better(x: frozenset | None, y: frozenset | None) -> frozenset | None:
+        if not x or not y:
+            return x or y
+        return max(x, y, key=lambda s: (min(map(rarity, s)), -len(s), min(map(len, s))))
+
+    def of(items: Iterable) -> frozenset | None:
+        best, run = None, ""
+        for op, value in items:
+            if op is C.LITERAL:
+                run += chr(value)
+                continue
+            if op is C.AT:
+                continue
+            best, run = better(best, frozenset([run]) if run else None), ""
+            if op is C.BRANCH:
+                parts = [of(x) for x in value[1]]
+                if all(parts):
+                    best = better(best, frozenset().union(*parts))
+            elif op is C.IN and all(o is C.LITERAL for o, _ in value):
+                best = better(best, frozenset(chr(x) for _, x in value))
+            elif op is C.SUBPATTERN:
+                best = better(best, of(value[-1]))
+            elif op in (C.MAX_REPEAT, C.MIN_REPEAT) and value[0] > 0:
+                best = better(best, of(value[2]))
+        return better(best, frozenset([run]) if run else None)
+
+    found = of(parser.parse(pattern)) or frozenset()
+    return tuple(sorted(found)) if found and min(map(rarity, found)) and len(found) <= 40 else ()
 
 
 def unicode_bounds(pattern: str) -> str:
@@ -96,24 +172,75 @@ def unicode_bounds(pattern: str) -> str:
     return f"(?U){pattern}" if r"\b" in pattern else pattern
 
 
-def compiled(low: Column, n_words: Column, rules: tuple[Rule, ...]) -> Column:
-    """array<struct> of the rules that fire on a lower-cased text of n_words words."""
-    def one(seq: int, r: Rule) -> Column:
-        hit = F.length(low) > 0
-        if r.least_words:
-            hit = hit & (n_words >= r.least_words)
-        for p in r.need:
-            hit = hit & low.rlike(unicode_bounds(p))
-        for p in r.lack:
-            hit = hit & ~low.rlike(unicode_bounds(p))
-        return F.when(hit, F.struct(F.lit(seq).alias("seq"), F.lit(r.category).alias("category"), F.lit(r.severity).alias("severity"), F.lit(r.title).alias("title"), F.lit(r.confidence).alias("confidence"), F.lit(r.action).alias("action")))
+def quoted(s: str) -> str:
+    """A string literal of Spark's SQL."""
+    return "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def any_literal(column: str, pattern: str) -> str:
+    return " or ".join(f"contains({column}, {quoted(x)})" for x in literals(pattern))
+
+
+def found(pattern: str) -> str:
+    """SQL: whether a pattern is found in a row with the columns low and text."""
+    column, p = subject(pattern)
+    hit, some = f"{column} rlike {quoted(unicode_bounds(p))}", any_literal(column, p)
+    return f"(({some}) and {hit})" if some else f"({hit})"
+
+
+def matches(patterns: Sequence[str]) -> str:
+    """SQL: matches of all patterns together."""
+    out = []
+    for pattern in patterns:
+        column, p = subject(pattern)
+        n, some = f"regexp_count({column}, {quoted(unicode_bounds(p))})", any_literal(column, p)
+        out.append(f"case when {some} then {n} else 0 end" if some else n)
+    return f"({' + '.join(out)})"
+
+
+def condition(r: Rule, first: dict[str, int]) -> str:
+    """SQL: whether a rule fires on a row with low, text, n_words, n_tokens and `first`, the first patterns' hits."""
+    hit = ["length(low) > 0"]
+    hit += [f"n_words >= {r.least_words}"] * bool(r.least_words) + [f"n_tokens >= {r.least_tokens}"] * bool(r.least_tokens)
+    hit += [f"first[{first[p]}]" for p in r.need[:1]] + [found(p) for p in r.need[1:]]
+    hit += [f"not {found(p)}" for p in r.lack] + [f"not ({found(a)} and not {found(b)})" for a, b in r.unless]
+    for k, (patterns, least) in enumerate(r.counts):
+        n = matches(patterns)
+        hit.append(f"{n} >= {least}")
+        if k == 0 and r.count_most is not None:
+            hit.append(f"{n} <= {r.count_most}")
+        if k == 0 and r.per_1000 is not None:
+            hit.append(f"{n} * 1000.0D > n_words * {r.per_1000}D")
+    if r.distinct:
+        hit.append(f"({' + '.join(f'cast({found(p)} as int)' for p in r.distinct)}) < {r.fewer}")
+    return " and ".join(hit)
+
+
+def compiled(rules: Sequence[Rule], first: dict[str, int]) -> Column:
+    """array<struct> of the rules that fire. It is parsed from SQL, as thousands of calls to the JVM take far longer."""
+    def one(seq: int, r: Rule) -> str:
+        title = quoted(r.title)
+        if "{n}" in r.title:
+            a, b = r.title.split("{n}")
+            title = f"concat({quoted(a)}, cast({matches(r.counts[0][0])} as string), {quoted(b)})"
+        fields = f"'seq', {seq}, 'category', {quoted(r.category)}, 'severity', {quoted(r.severity)}, 'title', {title}, 'confidence', {r.confidence}D, 'action', {quoted(r.action)}"
+        return f"case when {condition(r, first)} then named_struct({fields}) end"
+
+    return F.expr(f"array_compact(array({', '.join(one(k, r) for k, r in enumerate(rules))}))")
+
 
-    return F.filter(F.array(*[one(k, r) for k, r in enumerate(rules)]), lambda x: x.isNotNull())
+def checked(docs: DataFrame, rules: Sequence[Rule] | None = None) -> DataFrame:
+    """doc_id, f: one row for each of docs, with the array of its findings (seq, category, severity, title, confidence, action)."""
+    rules = rules or all_rules()
+    first = {p: k for k, p in enumerate(dict.fromkeys(r.need[0] for r in rules if r.need))}
+    d = docs.select("doc_id", T.text_of("text").alias("text")).select("doc_id", "text", F.lower("text").alias("low"))
+    tokens = F.size(F.filter(F.split("low", r"\s+"), lambda w: w != ""))
+    hits = F.expr(f"array({', '.join(found(p) for p in first)})")
+    d = d.select("doc_id", "text", "low", F.size(T.words("low")).alias("n_words"), tokens.alias("n_tokens"), hits.alias("first"))
+    return d.select("doc_id", compiled(rules, first).alias("f"))
 
 
-def findings(docs: DataFrame, rules: tuple[Rule, ...] | None = None) -> DataFrame:
+def findings(docs: DataFrame, rules: Sequence[Rule] | None = None) -> DataFrame:
     """doc_id, seq, category, severity, title, confidence, action: a row for each rule that fires."""
-    d = docs.select("doc_id", F.lower(T.text_of("text")).alias("low"))
-    d = d.select("doc_id", "low", F.size(T.words("low")).alias("n_words"))
-    d = d.select("doc_id", compiled(F.col("low"), F.col("n_words"), rules or all_rules()).alias("f"))
-    return d.select("doc_id", F.explode_outer("f").alias("f")).where(F.col("f").isNotNull()).select("doc_id", "f.*")
+    d = checked(docs, rules).select("doc_id", F.explode_outer("f").alias("f")).where(F.col("f").isNotNull())
+    return d.select("doc_id", "f.*")

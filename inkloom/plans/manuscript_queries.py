@@ -13,10 +13,15 @@ from inkloom.sources import manuscripts as sources
 from inkloom.streaming import rolling
 
 NOTES = (
-    "", "We report a case. Informed consent was obtained.", "A systematic review and meta-analysis. We searched PubMed.", "A clinical trial of a drug in patients; the mean was analyzed.",
-    "Mice were studied in an animal study with blinding.", "Our dataset was trained on a test set; code is available on GitHub, CC-BY, version 2.", "Data not shown. Supplementary Table S1.",
-    "Bacteria culture at BSL-2. Data availability: Zenodo.", "This protocol has eligibility criteria and is registered.", "Semi-structured interviews with participants; male and female.",
-    "Supplementary material in a proprietary format. Regression, outlier, post-hoc.", "Machine learning benchmark, conda, cross-validation, neural network.",
+    "", "We report a case. Informed consent was obtained.", "A systematic review and meta-analysis of cohort studies. We searched PubMed; a scoping review and a network meta-analysis with IPD.", "A clinical trial of a drug in patients; the mean was analyzed. The patients were enrolled; approved by the Example University IRB.",
+    "Mice were studied in an animal study with blinding.", "Our dataset was trained on a test set; code is available on GitHub, CC-BY, version 2.", "Data not shown. Supplementary Table S1. Adapted from [3]. Funded by NIH and the Wellcome Trust, grant number R01AB12.",
+    "Bacteria culture at BSL-2. Data availability: Zenodo. CRISPR. Presented at a conference; see the preprint on arXiv.", "This protocol has eligibility criteria and is registered. AI as intervention.", "Semi-structured interviews with participants; male and female, transcripts of audio recordings, gender and XX hormones.",
+    "Supplementary material in a proprietary format. Regression, outlier, post-hoc. Bayesian posterior with a confidence interval, Kaplan-Meier, hazard ratio.", "Machine learning benchmark, conda, cross-validation, neural network. Our proposed method: grid search and hyperparameter tuning, 97% accuracy under class imbalance.",
+    "A randomized controlled trial of AI, cluster randomized, a pragmatic trial. The intervention had training sessions. p < 0.05, highly significant, significantly different, marginally significant.", "A cohort study, observational, with electronic health records, GWAS and SNP, heritability, and a biomarker exposure; smoking causes harm.",
+    "Diagnostic accuracy by deep learning; a prediction model; cost-effectiveness with QALY and a Markov simulation model.", "qPCR and digital PCR, RNA-seq, cell lines, tumor marker, quality improvement by PDSA, thematic synthesis.",
+    "Theorem 1. Obviously trivially true; it is easy to see. The proof is clearly omitted; in order to optimize normalization, optimization and generalization.", "Finite element solver with material properties. Horizon Europe, KAKENHI, NSFC, UGC, National Research Foundation of Korea.",
+    "Conflict of interest: no conflict. Supported by a grant; patent. Methodology, software. ChatGPT et al. It is worth noting that we delve into placeholder text. References: doi: none.", "Novel, novel and novel; unique, unique, unique. We propose and we proposed. Guaranteed acceptance; you are invited to submit. This may, might, could, possibly seem likely.",
+    "N = 12 participants were surveyed, robust; n = 12; statistical power. GDPR and PHI. machine learning to classify with an llm, european.",
 )
 
 
@@ -26,21 +31,12 @@ def manuscripts(spark: SparkSession, sf_dir: str, shift: int = 0) -> DataFrame:
     return d.select("doc_id", F.concat(F.coalesce("text", F.lit("")), F.lit("\n"), note).alias("text"))
 
 
-def found(spark: SparkSession, sf_dir: str, shift: int = 0) -> DataFrame:
-    return rules.findings(manuscripts(spark, sf_dir, shift))
+def checked(spark: SparkSession, sf_dir: str, shift: int = 0) -> DataFrame:
+    return rules.checked(manuscripts(spark, sf_dir, shift))
 
 
 def rule_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return found(spark, sf_dir).select("doc_id", "category", "severity", "title", "confidence")
-
-
-def readiness_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.readiness(manuscripts(spark, sf_dir), found(spark, sf_dir))
-
-
-def batch_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = found(spark, sf_dir)
-    return R.readiness(manuscripts(spark, sf_dir), f).join(R.severity_counts(f), "doc_id", "left").join(R.top_findings(f), "doc_id", "left").na.fill(0).na.fill("")
+    return rules.findings(manuscripts(spark, sf_dir)).select("doc_id", "category", "severity", "title", "confidence")
 
 
 def lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,28 +67,51 @@ QUERIES = {
     "event_windows": lambda s, d: rolling.window_counts(events(s, d)),
     "event_sessions": lambda s, d: rolling.sessions(events(s, d)),
     "rule_findings": rule_findings,
-    "severity_counts": lambda s, d: R.severity_counts(found(s, d)),
-    "readiness_score": readiness_score,
-    "batch_report": batch_report,
-    "fix_plan": lambda s, d: R.fix_plan(found(s, d)),
-    "revision_diff": lambda s, d: R.revision_diff(found(s, d), found(s, d, 1)),
+    "severity_counts": lambda s, d: R.severity_counts(checked(s, d)),
+    "readiness_score": lambda s, d: R.readiness(checked(s, d)),
+    "batch_report": lambda s, d: R.batch(checked(s, d)),
+    "fix_plan": lambda s, d: R.fix_plan(checked(s, d)),
+    "plan_totals": lambda s, d: R.plan_totals(checked(s, d)),
+    "revision_diff": lambda s, d: R.revision_diff(checked(s, d), checked(s, d, 1)),
+    "ignored_findings": lambda s, d: R.severity_counts(R.ignored(checked(s, d), IGNORED)),
     "first_digits": lambda s, d: numbers.first_digits(lineitem(s, d), "l_extendedprice", "l_returnflag"),
     "last_digits": lambda s, d: numbers.last_digits(lineitem(s, d), "l_extendedprice", "l_returnflag"),
     "orcid_checksum": orcid_checksum,
 }
 
 
-def _text(s: str) -> str:
-    return "'" + s.replace("'", "''") + "'"
+#: Titles that ignored_findings leaves out.
+IGNORED = ["^no .* mentioned", "orcid", "reporting|missing"]
+
+
+def _condition(r: rules.Rule) -> str:
+    tests = ["length(low) > 0"]
+    tests += [f"n_words >= {r.least_words}"] * bool(r.least_words) + [f"n_tokens >= {r.least_tokens}"] * bool(r.least_tokens)
+    tests += [S.found(p) for p in r.need] + [f"not {S.found(p)}" for p in r.lack] + [f"not ({S.found(a)} and not {S.found(b)})" for a, b in r.unless]
+    for k, (patterns, least) in enumerate(r.counts):
+        tests.append(f"{S.matches(patterns)} >= {least}")
+        if k == 0 and r.count_most is not None:
+            tests.append(f"{S.matches(patterns)} <= {r.count_most}")
+        if k == 0 and r.per_1000 is not None:
+            tests.append(f"({S.matches(patterns)}) * 1000.0::double > n_words * {r.per_1000}::double")
+    if r.distinct:
+        tests.append(f"({' + '.join(S.found(p) + '::int' for p in r.distinct)}) < {r.fewer}")
+    return " and ".join(tests)
+
+
+def _title(r: rules.Rule) -> str:
+    return S.text(r.title) if "{n}" not in r.title else "replace(" + S.text(r.title) + ", '{n}', (" + S.matches(r.counts[0][0]) + ")::varchar)"
 
 
 def _findings(shift: int = 0) -> str:
-    m = f"select doc_id, lower(coalesce(text, '') || chr(10) || {S.quoted(NOTES)}[1 + (doc_id + {shift}) % {len(NOTES)}]) as low from documents"
-    parts = []
-    for k, r in enumerate(rules.all_rules()):
-        tests = ["length(low) > 0", *([f"n_words >= {r.least_words}"] if r.least_words else []), *[f"regexp_matches(low, {_text(S.plain_bounds(p))})" for p in r.need], *[f"not regexp_matches(low, {_text(S.plain_bounds(p))})" for p in r.lack]]
-        parts.append(f"select doc_id, {k} as seq, {_text(r.category)} as category, {_text(r.severity)} as severity, {_text(r.title)} as title, {r.confidence}::double as confidence, {_text(r.action)} as action from m where {' and '.join(tests)}")
-    return f"(with t as ({m}), m as materialized (select doc_id, low, len({S.words('low')}) as n_words from t) {' union all '.join(parts)})"
+    m = f"select doc_id, coalesce(text, '') || chr(10) || {S.quoted(NOTES)}[1 + (doc_id + {shift}) % {len(NOTES)}] as text from documents"
+    each = rules.all_rules()
+    cases = ", ".join(f"case when {_condition(r)} then {{'seq': {k}, 'title': {_title(r)}}} end" for k, r in enumerate(each))
+    known = ", ".join(f"({k}, {S.text(r.category)}, {S.text(r.severity)}, {r.confidence}::double, {S.text(r.action)})" for k, r in enumerate(each))
+    return f"""(with t as ({m}), l as (select doc_id, text, lower(text) as low from t),
+        m as materialized (select *, {S.PLAIN.format('low')} as low_plain, {S.PLAIN.format('text')} as text_plain, len({S.words('low')}) as n_words, len(list_filter(string_split_regex(low, '\\s+'), lambda w: w <> '')) as n_tokens from l),
+        c as (select doc_id, unnest(list_filter([{cases}], lambda x: x is not null)) as x from m)
+        select doc_id, x.seq as seq, category, severity, x.title as title, confidence, action from c join (values {known}) k(seq, category, severity, confidence, action) on x.seq = k.seq)"""
 
 
 _DIM = "(values " + ", ".join(f"('{s}', {w}::double, {r}, {c}::double, {m}::double)" for s, w, r, c, m in R.SEVERITIES) + ") v(severity, weight, rank, scale, most)"
@@ -100,8 +119,13 @@ _READY = f"""tier as (select doc_id, severity, sum(weight * confidence) as raw,
     pen as (select doc_id, sum(most * (1 - exp(-raw / scale))) as penalty from tier group by doc_id),
     cat as (select doc_id, count(*) filter (n >= 2) / count(*) as ratio from (select doc_id, category, count(*) as n from f group by all) group by doc_id),
     ready as (select d.doc_id, coalesce(greatest(least(round_even(100 - penalty * (0.7::double + 0.3::double * ratio), 0), 100), 0), 100)::int as readiness from documents d left join pen using (doc_id) left join cat using (doc_id))"""
-_COUNTS = "select doc_id, " + ", ".join(f"count(*) filter (severity = '{s[0]}') as {s[0].lower()}" for s in R.SEVERITIES) + ", count(*) as findings from f group by doc_id"
+_COUNTS = "select d.doc_id, " + ", ".join(f"count(*) filter (severity = '{s[0]}') as {s[0].lower()}" for s in R.SEVERITIES) + ", count(severity) as findings from documents d left join f using (doc_id) group by d.doc_id"
 _RANKED = f"select f.*, row_number() over (partition by doc_id order by rank, confidence desc, seq) as place from f join {_DIM} using (severity)"
+_PLAN = f"""r as ({_RANKED}),
+    k as (select *, row_number() over (partition by doc_id, regexp_replace(lower(title), '[^a-z0-9]+', '', 'g') order by place) as copy from r),
+    plan as (select doc_id, row_number() over (partition by doc_id order by place)::int as step, title,
+        case when len(list_filter(string_split_regex(action, '\\s+'), lambda w: w <> '')) <= 12 then 30 when regexp_matches(lower(action), 'add|state|include|declare|provide|register|deposit|report') then 30
+             when regexp_matches(lower(action), 'rewrite|restructure|expand|re-analy|collect|conduct') then 150 else 90 end::int as minutes from k where copy = 1)"""
 
 ORACLES = {
     "impossible_means": """with d as (select doc_id, '3.' || lpad((doc_id % 100)::varchar, 2, '0') as mean, (doc_id % 40 + 10)::int as n from documents),
@@ -115,16 +139,14 @@ ORACLES = {
         select user_id, min(ts) as start, count(*) as n from s group by user_id, k""",
     "rule_findings": f"select doc_id, category, severity, title, confidence from {_findings()}",
     "severity_counts": f"with f as {_findings()} {_COUNTS}",
+    "ignored_findings": f"with f as (select * from {_findings()} where not regexp_matches(lower(title), {S.text('|'.join(f'(?:{p})' for p in IGNORED))})) {_COUNTS}",
     "readiness_score": f"with f as {_findings()}, {_READY} select * from ready",
     "batch_report": f"""with f as {_findings()}, {_READY}, c as ({_COUNTS}), r as ({_RANKED}),
         t as (select doc_id, string_agg(severity || ': ' || title, ' | ' order by place) as top_findings from r where place <= 3 group by doc_id)
         select doc_id, readiness, {', '.join(f'coalesce({s[0].lower()}, 0) as {s[0].lower()}' for s in R.SEVERITIES)}, coalesce(findings, 0) as findings, coalesce(top_findings, '') as top_findings
         from ready left join c using (doc_id) left join t using (doc_id)""",
-    "fix_plan": f"""with f as {_findings()}, r as ({_RANKED}),
-        k as (select *, row_number() over (partition by doc_id, regexp_replace(lower(title), '[^a-z0-9]+', '', 'g') order by place) as copy from r)
-        select doc_id, row_number() over (partition by doc_id order by place)::int as step, title,
-               case when len(list_filter(string_split_regex(action, '\\s+'), lambda w: w <> '')) <= 12 then 30 when regexp_matches(lower(action), 'add|state|include|declare|provide|register|deposit|report') then 30
-                    when regexp_matches(lower(action), 'rewrite|restructure|expand|re-analy|collect|conduct') then 150 else 90 end::int as minutes from k where copy = 1""",
+    "fix_plan": f"""with f as {_findings()}, {_PLAN} select * from plan""",
+    "plan_totals": f"""with f as {_findings()}, {_PLAN} select doc_id, count(*) as steps, sum(minutes)::bigint as minutes, round(sum(minutes) / 60, 1) as hours from plan group by doc_id""",
     "revision_diff": f"""with x as {_findings()}, y as {_findings(1)},
         a as (select doc_id, category, trim(regexp_replace(lower(title), '[^a-z0-9]+', ' ', 'g')) as key, min_by(title, seq) as title from x group by all),
         b as (select doc_id, category, trim(regexp_replace(lower(title), '[^a-z0-9]+', ' ', 'g')) as key, min_by(title, seq) as title from y group by all)

@@ -5,6 +5,8 @@ from __future__ import annotations
 import re
 from collections.abc import Sequence
 
+from inkloom.operators import rules
+
 WORDS = r"regexp_extract_all({0}, '[A-Za-z0-9][A-Za-z0-9''\-]*')"
 
 
@@ -43,7 +45,25 @@ def quoted(items: Sequence[str]) -> str:
     return "[" + ", ".join("'" + s.replace("'", "''") + "'" for s in items) + "]"
 
 
-def plain_bounds(pattern: str) -> str:
-    """The pattern with word bounds spelt out, as RE2 takes ASCII letters only; for tests of a match, not for its text."""
-    out = re.sub(r"\\b(?=[A-Za-z(])", r"(?:^|[^\\p{L}\\p{N}_])", pattern)
-    return out.replace(r"\b", r"(?:[^\p{L}\p{N}_]|$)")
+#: Text whose accented letters are underscores: RE2's word bounds know ASCII only, and so find the same bounds as others.
+PLAIN = "regexp_replace({0}, '[À-ÖØ-öø-ʯ]', '_', 'g')"
+
+
+def text(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+def _subject(pattern: str) -> tuple[str, str]:
+    column, p = rules.subject(pattern)
+    return (f"{column}_plain" if r"\b" in p else column), p
+
+
+def found(pattern: str) -> str:
+    """Whether a rule's pattern is found in a row with low, text, low_plain and text_plain."""
+    column, p = _subject(pattern)
+    return f"regexp_matches({column}, {text(p)})"
+
+
+def matches(patterns: Sequence[str]) -> str:
+    each = [(column, p) for column, p in map(_subject, patterns)]
+    return " + ".join(f"len(regexp_extract_all({c}, {text(p)}))" for c, p in each)

@@ -55,7 +55,7 @@ def test_whole_titles_are_screened(spark, tmp_path):
 
 def score(spark, rows):
     f = spark.createDataFrame([(1, i, c, s, "t", p, "a") for i, (c, s, p) in enumerate(rows)], "doc_id long, seq int, category string, severity string, title string, confidence double, action string")
-    return findings.readiness(spark.createDataFrame([(1,)], "doc_id long"), f).first().readiness
+    return findings.readiness(findings.gathered(spark.createDataFrame([(1,)], "doc_id long"), f)).first().readiness
 
 
 def test_readiness(spark):
@@ -74,7 +74,76 @@ def test_every_rule_has_a_silent_and_a_firing_text(spark):
     df = spark.createDataFrame([(1, ""), (2, "Bacteria culture."), (3, "Bacteria culture at biosafety level 2."), (4, "We did a systematic review.")], "doc_id long, text string")
     got = {(r.doc_id, r.title) for r in rules.findings(df).collect()}
     title = "Pathogen/infectious work without biosafety level"
-    assert (2, title) in got and (3, title) not in got and (4, "PRISMA: search strategy") in got and not any(d == 1 for d, _ in got)
+    assert (2, title) in got and (3, title) not in got and (4, "PRISMA: missing search strategy") in got and not any(d == 1 for d, _ in got)
+
+
+#: (text, title, severity, confidence, whether it fires): written by hand, not from the rule tables.
+EXPECTED = (
+    ("Western blots were made.", "Western blots without markers/controls", "High", 0.80, True),
+    ("Western blots with GAPDH as loading control.", "Western blots without markers/controls", "High", 0.80, False),
+    ("Confocal microscopy.", "Microscopy images without scale bar/magnification", "Medium", 0.75, True),
+    ("A box plot is shown.", "Box plots without individual data points", "Medium", 0.65, True),
+    ("red-green map in the figure", "Possible red-green color coding in figures", "Low", 0.55, True),
+    ("We wrote it with ChatGPT.", "AI tool named without disclosure statement", "High", 0.85, True),
+    ("We disclose that ChatGPT was used.", "AI tool named without disclosure statement", "High", 0.85, False),
+    ("An image from Midjourney.", "AI-generated figures without disclosure", "High", 0.90, True),
+    ("Words of wisdom on Tuesday for subjects.", "Missing-data handling not described", "Medium", 0.70, False),
+    ("The mean of all subjects.", "Missing-data handling not described", "Medium", 0.70, True),
+    ("A randomized controlled trial.", "CONSORT: missing flow diagram", "High", 0.80, True),
+    ("A randomized controlled trial with a flow diagram.", "CONSORT: missing flow diagram", "High", 0.80, False),
+    ("An observational cohort.", "STROBE: missing confounding adjustment", "High", 0.80, True),
+    ("An observational cohort in a systematic review.", "STROBE: missing confounding adjustment", "High", 0.80, False),
+    ("A prediction model.", "TRIPOD: missing discrimination and calibration", "High", 0.80, True),
+    ("A previously validated prediction model.", "TRIPOD: missing discrimination and calibration", "High", 0.80, False),
+    ("A randomized controlled trial of an algorithm.", "DECIDE-AI: missing real-world setting", "High", 0.80, True),
+    ("A randomized controlled trial of a pill.", "DECIDE-AI: missing real-world setting", "High", 0.80, False),
+    ("The hospital survey.", "No informed-consent statement", "High", 0.85, True),
+    ("A survey in silico, a computer simulation.", "No informed-consent statement", "High", 0.85, False),
+    ("A survey in silico of recruited people.", "No informed-consent statement", "High", 0.85, True),
+    ("The trial in a hospital.", "No ethics approval statement (IRB/IEC)", "Critical", 0.88, True),
+    ("Funded by a grant. Software, validation.", "Thin CRediT coverage", "Low", 0.60, True),
+    ("Funded by a grant. Software, validation, supervision, resources.", "Thin CRediT coverage", "Low", 0.60, False),
+    ("Work under Horizon Europe.", "cOAlition S funder without open-access mention", "Medium", 0.65, True),
+    ("a horizon europe away", "cOAlition S funder without open-access mention", "Medium", 0.65, False),
+    ("Novel, novel, novel.", "Frequent use of 'novel' (3 times)", "Medium", 0.80, True),
+    ("Clearly, obviously and basically.", "Weasel words overused (3 instances)", "Medium", 0.85, False),
+    ("In order to see.", "Filler phrases (1 instances)", "Medium", 0.90, True),
+    ("Smoking causes harm in a cohort.", "Causal claims from observational data", "High", 0.85, True),
+    ("p = .041, p = .044, p = .049, p = .20, p = .30", "Suspicious p-value clustering near 0.05", "Medium", 0.60, True),
+    ("p = .041, p = .044, p = .20, p = .30, p = .40", "Suspicious p-value clustering near 0.05", "Medium", 0.60, False),
+    ("finite element " + "word " * 200, "Boundary conditions not specified", "Medium", 0.80, True),
+    ("finite element " + "word " * 100, "Boundary conditions not specified", "Medium", 0.80, False),
+    ("Lorem ipsum dolor.", "Placeholder text left in manuscript", "High", 0.95, True),
+)
+
+
+def test_rules_against_values_written_by_hand(spark):
+    df = spark.createDataFrame([(i, x[0]) for i, x in enumerate(EXPECTED)], "doc_id long, text string")
+    got = {(r.doc_id, r.title): (r.severity, r.confidence) for r in rules.findings(df).collect()}
+    for i, (text, title, severity, confidence, fires) in enumerate(EXPECTED):
+        assert got.get((i, title)) == ((severity, confidence) if fires else None), (text, title)
+
+
+def test_literals_never_hide_a_match():
+    import re
+
+    texts = [x[0] for x in EXPECTED] + ["randomised trial, h-index p<.05 mean (n = 3) dmp qc; Hardy-Weinberg, GRADE, i2 50%", "Horizon 2020, R01AB12, NWO grant"]
+    patterns = {p for r in rules.all_rules() for p in (*r.need, *r.lack, *r.distinct)}
+    assert len(patterns) > 400
+    for p in patterns:
+        column, pattern = rules.subject(p)
+        for t in texts:
+            t = t if column == "text" else t.lower()
+            if re.search(pattern, t) and rules.literals(pattern):
+                assert any(x in t for x in rules.literals(pattern)), (pattern, t)
+
+
+def test_ignored_and_printed(spark):
+    df = spark.createDataFrame([(1, "Lorem ipsum in order to see.")], "doc_id long, text string")
+    titles = {x.title for x in findings.ignored(rules.checked(df), ["placeholder"]).first().f}
+    assert "Filler phrases (1 instances)" in titles and "Placeholder text left in manuscript" not in titles
+    p = spark.createDataFrame([(0.5,), (0.456,), (7.0,), (-1.0,)], "c double").select(findings.percent(F.col("c")).alias("p"))
+    assert [r.p for r in p.collect()] == ["50%", "46% (uncertain)", "100%", "0% (uncertain)"]
 
 
 def test_metrics_on_odd_texts(spark):
