@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -44,6 +44,39 @@ def reference_rows(docs: DataFrame) -> DataFrame:
     return r.where(F.length("raw") > 15)
 
 
+def citation_check(docs: DataFrame) -> DataFrame:
+    """doc_id, ref, state: numbers that are cited but not listed (where a list exists), and entries that are never cited."""
+    cited = cited_numbers(docs).select("doc_id", "ref").distinct()
+    listed = reference_rows(docs).select("doc_id", F.col("ref_no").alias("ref")).distinct()
+    both = cited.withColumn("c", F.lit(True)).join(listed.withColumn("l", F.lit(True)), ["doc_id", "ref"], "full")
+    has = F.max("l").over(Window.partitionBy("doc_id"))
+    state = F.when(F.col("c").isNull(), "never cited").when(F.col("l").isNull() & F.col("has"), "not listed")
+    return both.withColumn("has", has).select("doc_id", "ref", state.alias("state")).where(F.col("state").isNotNull())
+
+
+def citation_clusters(docs: DataFrame, least: int = 3) -> DataFrame:
+    """doc_id, n_clusters, largest: connected components of `least` references or more of a text's co-citation graph.
+
+    A text's graph has at most 999 nodes, so its components are found inside its row: every node takes the least label
+    among its neighbours', as many times as halving paths needs.
+    """
+    e = cocitations(docs)
+    both = e.unionAll(e.select("doc_id", F.col("b").alias("a"), F.col("a").alias("b")))
+    near = both.groupBy("doc_id", "a").agg(F.collect_set("b").alias("near"))
+    graph = near.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("a", "near"))).alias("g"))
+
+    def spread(labels: Column, _: Column) -> Column:
+        # the least label of a node and its neighbours, then the label that this one has itself
+        one = F.transform_values(labels, lambda k, v: F.least(v, F.array_min(F.transform(F.col("g")[k], lambda x: labels[x]))))
+        return F.transform_values(one, lambda k, v: F.least(v, one[v]))
+
+    first = F.transform_values("g", lambda k, v: k)
+    rounds = F.sequence(F.lit(1), F.greatest(F.size(F.map_keys("g")), F.lit(1)))
+    labels = F.map_values(F.aggregate(rounds, first, spread))
+    rows = graph.select("doc_id", F.explode(labels).alias("cluster")).groupBy("doc_id", "cluster").agg(F.count("*").alias("size"))
+    return rows.where(F.col("size") >= least).groupBy("doc_id").agg(F.count("*").alias("n_clusters"), F.max("size").alias("largest"))
+
+
 def reference_flags(docs: DataFrame, as_of_year: int = 2026) -> DataFrame:
     """doc_id, ref_no and flags of a reference: a year in the future, pages that run backwards, no year, a repeated DOI."""
     r = reference_rows(docs).withColumn("doi", F.lower(F.regexp_extract("raw", r"(10\.\d{4,9}/[^\s,;]+)", 1)))

@@ -82,8 +82,13 @@ def sentence_jaccard(docs: DataFrame, corpus: DataFrame, similarity: float = 0.5
     return close.select("doc_id", "s_doc_id").distinct().groupBy("doc_id").agg(F.count("*").alias("n_matched"))
 
 
-def tfidf_cosine(docs: DataFrame, corpus: DataFrame, least: float = 0.3) -> DataFrame:
-    """doc_id, item_id, cosine of L2-normalised term counts times ln(N / df) + 1, over tokens of 4 letters or more."""
+def tfidf_cosine(docs: DataFrame, corpus: DataFrame, least: float = 0.55) -> DataFrame:
+    """doc_id, item_id, cosine of L2-normalised term counts times ln(N / df) + 1, over tokens of 4 letters or more.
+
+    A prefix filter keeps the join small: an item's tokens, rarest first, are kept until the rest of its vector is shorter
+    than `least`. A text without any of these tokens can't reach it, so common words make no pairs; the pairs found are
+    then summed over all tokens.
+    """
     def counts(rows: DataFrame, key: str) -> DataFrame:
         t = rows.select(key, F.explode_outer(T.lower_words("text")).alias("tok")).where(F.length("tok") >= 4)
         return t.groupBy(key, "tok").agg(F.count("*").alias("tf"))
@@ -91,14 +96,16 @@ def tfidf_cosine(docs: DataFrame, corpus: DataFrame, least: float = 0.3) -> Data
     d, c = counts(docs, "doc_id"), counts(corpus, "item_id")
     df = d.select("tok").unionAll(c.select("tok")).groupBy("tok").agg(F.count("*").alias("df"))
     size = docs.agg(F.count("*").alias("a")).join(corpus.agg(F.count("*").alias("b"))).select((F.col("a") + F.col("b")).alias("big_n"))
-    idf = df.join(F.broadcast(size)).select("tok", (F.ln(F.col("big_n") / F.col("df")) + 1).alias("idf"))
-
-    def norms(rows: DataFrame, key: str) -> DataFrame:
-        return rows.groupBy(key).agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias(f"norm_{key}"))
-
-    d = d.join(idf, "tok").select("doc_id", "tok", (F.col("tf") * F.col("idf")).alias("x"))
-    c = c.join(idf, "tok").select("item_id", "tok", (F.col("tf") * F.col("idf")).alias("x"))
-    dot = d.withColumnRenamed("x", "y").join(c, "tok").groupBy("doc_id", "item_id").agg(F.sum(F.col("x") * F.col("y")).alias("dot"))
-    out = dot.join(norms(d, "doc_id"), "doc_id").join(norms(c, "item_id"), "item_id")
-    cosine = F.col("dot") / (F.col("norm_doc_id") * F.col("norm_item_id"))
-    return out.where(cosine >= least).select("doc_id", "item_id", F.round(cosine, 6).alias("cosine"))
+    idf = df.join(F.broadcast(size)).select("tok", (F.ln(F.col("big_n") / F.col("df")) + 1).alias("idf"))  # one row
+
+    def units(rows: DataFrame, key: str) -> DataFrame:
+        x = rows.join(idf, "tok").select(key, "tok", "idf", (F.col("tf") * F.col("idf")).alias("x"))
+        return x.withColumn("x", F.col("x") / F.sqrt(F.sum(F.col("x") * F.col("x")).over(Window.partitionBy(key))))
+
+    d, c = units(d, "doc_id"), units(c, "item_id")
+    rest = F.sum(F.col("x") * F.col("x")).over(Window.partitionBy("item_id").orderBy("idf", "tok").rowsBetween(Window.unboundedPreceding, 0))
+    first = c.withColumn("rest", rest).where(F.col("rest") >= least * least - 1e-9).select("item_id", "tok")
+    pairs = d.select("doc_id", "tok").join(first, "tok").select("doc_id", "item_id").distinct()
+    dot = pairs.join(d.select("doc_id", "tok", F.col("x").alias("y")), "doc_id").join(c.select("item_id", "tok", "x"), ["item_id", "tok"])
+    out = dot.groupBy("doc_id", "item_id").agg(F.sum(F.col("x") * F.col("y")).alias("cosine"))
+    return out.where(F.col("cosine") >= least).select("doc_id", "item_id", F.round("cosine", 6).alias("cosine"))

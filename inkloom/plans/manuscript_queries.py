@@ -52,7 +52,7 @@ def orcid_checksum(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stated(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole texts, each followed by statements of tests and means with numbers made from doc_id."""
     d, k = spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")), F.col("doc_id").cast("string")
-    said = F.concat(F.lit("t("), F.pmod("doc_id", F.lit(60)) + 10, F.lit(") = 2."), F.pmod("doc_id", F.lit(10)), F.lit(", p = .04. N = "), F.pmod("doc_id", F.lit(40)) + 10, F.lit(". M = 3."), F.lpad(F.pmod(k.cast("long"), F.lit(100)).cast("string"), 2, "0"), F.lit("."))
+    said = F.concat(F.lit("t("), F.pmod("doc_id", F.lit(60)) + 10, F.lit(") = 2."), F.pmod("doc_id", F.lit(10)), F.lit(", p = .04. N = "), F.pmod("doc_id", F.lit(40)) + 10, F.lit(". M = 3."), F.lpad(F.pmod(k.cast("long"), F.lit(100)).cast("string"), 2, "0"), F.lit("; mean = 4."), F.lpad(F.pmod(k.cast("long") * 7, F.lit(100)).cast("string"), 2, "0"), F.lit("."))
     return d.select("doc_id", F.concat(F.coalesce("text", F.lit("")), F.lit("\n"), said).alias("text"))
 
 
@@ -128,7 +128,14 @@ _PLAN = f"""r as ({_RANKED}),
              when regexp_matches(lower(action), 'rewrite|restructure|expand|re-analy|collect|conduct') then 150 else 90 end::int as minutes from k where copy = 1)"""
 
 ORACLES = {
-    "impossible_means": """with d as (select doc_id, '3.' || lpad((doc_id % 100)::varchar, 2, '0') as mean, (doc_id % 40 + 10)::int as n from documents),
+    # Student's distribution has a closed form for whole degrees of freedom
+    "reported_tests": """with d as (select doc_id, (doc_id % 60 + 10)::int as df, 2 + (doc_id % 10) / 10 as v from documents), w as (select *, unnest([0, -0.05, 0.05]) as h from d),
+        a as (select *, atan((v + h) / sqrt(df)) as a from w),
+        s as (select doc_id, df, v, h, a, list_sum(list_transform(range(0, (df - df % 2) // 2), lambda k:
+            case when df % 2 = 0 then exp(lgamma(k + 0.5) - lgamma(k + 1)) / sqrt(pi()) * pow(cos(a), 2 * k) else exp(lgamma(k + 1) - lgamma(k + 1.5)) * sqrt(pi()) / 2 * pow(cos(a), 2 * k + 1) end)) as s from a),
+        p as (select doc_id, df, v, h, 1 - case when df % 2 = 0 then sin(a) * s else 2 / pi() * (a + sin(a) * s) end as p from s)
+        select doc_id, 't' as kind, df::double as df1, null::double as df2, v::double as value, '=' as sign, 0.04::double as reported, round(max(p) filter (h = 0), 6) as p, max(p) filter (h > 0) > 0.05 as decision_error from p group by doc_id, df, v""",
+    "impossible_means": """with e as (select doc_id, unnest(['3.' || lpad((doc_id % 100)::varchar, 2, '0'), '4.' || lpad((doc_id * 7 % 100)::varchar, 2, '0')]) as mean, (doc_id % 40 + 10)::int as n from documents), d as (select * from e),
         k as (select *, round_even(mean::double * n, 0)::bigint as k from d)
         select doc_id, mean, n, printf('%.2f', (k - 1) / n) = mean or printf('%.2f', k / n) = mean or printf('%.2f', (k + 1) / n) = mean as possible from k""",
     "conversation_word_count": f"""with c as (select conv_id as doc_id, string_agg(coalesce(text, ''), chr(10) order by turn) as text from conversations group by conv_id)

@@ -70,6 +70,9 @@ def _counts(table: str, key: str) -> str:
 
 
 ORACLES = {
+    "passive_ratio": rf"""with p as (select doc_id, lower({S.PLAIN.format(_T)}) as p from documents),
+        c as (select doc_id, len(regexp_extract_all(p, '\b(am|is|are|was|were|been|being|be)\s+(?:\w+\s+){{0,3}}(\w+ed|\w+en)\b')) as be, len(regexp_extract_all(p, '\b\w+(?:ed|ing|es|s)\b')) as verbs from p)
+        select doc_id, case when be > 0 then round(be / greatest(verbs, 1), 6) else 0.0::double end as passive_ratio from c""",
     "word_count": f"select doc_id, len({S.words(_T)})::int as word_count, len({S.sentences(_T)})::int as sentence_count from documents",
     "sentence_length_stats": f"""with n as (select doc_id, {_LENGTHS} as n from documents)
         select doc_id, len(n)::int as sentences, round(coalesce(list_avg(n), 0), 6) as mean_words,
@@ -130,6 +133,6 @@ ORACLES = {
         dx as (select doc_id, tok, tf * idf as y from d join idf using (tok)), cx as (select item_id, tok, tf * idf as x from c join idf using (tok)),
         dn as (select doc_id, sqrt(sum(y * y)) as a from dx group by doc_id), cn as (select item_id, sqrt(sum(x * x)) as b from cx group by item_id),
         o as (select doc_id, item_id, sum(x * y) / (any_value(a) * any_value(b)) as cosine from dx join cx using (tok) join dn using (doc_id) join cn using (item_id) group by all)
-        select doc_id, item_id, round(cosine, 6) as cosine from o where cosine >= 0.3""",
+        select doc_id, item_id, round(cosine, 6) as cosine from o where cosine >= 0.55""",
 }
 ORACLES["repeated_phrase_density"] = f"with g as ({ORACLES['repeated_ngrams']}) select doc_id, round((sum(n) - count(*)) / sum(n), 6) as density from g group by doc_id"
