@@ -26,6 +26,7 @@ MASKS = ((0, 1, 2, 4, 5), (0, 1, 3, 6, 8))
 LEAST = min(m[-1] for m in MASKS) + 1  # tokens of the shortest item that has a window
 WORD = r"[\p{L}\p{N}]+"
 BROADCAST_SEEDS = 1_000_000  # rows of 32 bytes
+BROADCAST_DOCS = 2_000_000  # rows of 16 bytes
 
 
 def token_hashes(text: Column) -> Column:
@@ -85,7 +86,11 @@ def scored(docs: DataFrame, items: DataFrame) -> DataFrame:
 
     places = F.flatten(F.transform(F.collect_list(F.struct("p", "q")), between))
     pairs = lines.groupBy("doc_id", "item_id", "item_key").agg(F.array_sort(F.array_distinct(places)).alias("shifts"), F.sum(F.size("p").cast("long") * F.size("q")).alias("n_hits"))
-    some = lines.select(F.col("doc_id").alias("_d")).distinct()
+    pairs = common.written(pairs, "shifts")
+    common.release(lines)
+    some = common.written(pairs.select(F.col("doc_id").alias("_d")).distinct(), "found")
+    # 16 bytes a row; without the broadcast all texts would be shuffled
+    some = F.broadcast(some) if some.count() <= BROADCAST_DOCS else some
     texts = docs.select("doc_id", "text").join(some, F.col("doc_id").eqNullSafe(F.col("_d")), "left_semi")
     texts = texts.select(F.col("doc_id").alias("_d"), token_hashes(F.col("text")).alias("t"))
     words = item_tokens(items).select("item_key", F.col("t").alias("it"), F.size("t").alias("n_item")).dropDuplicates(["item_key"])
