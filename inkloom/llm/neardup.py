@@ -14,8 +14,8 @@ number of shingles has it. Each shingle that only one of two texts has flips one
 never differ in more bits than in shingles. So a bucket of many near copies costs about as many comparisons as it has
 members, and no link between different components is lost.
 
-A bucket of more than CROWD members that stay apart (texts that share a long passage, and little else) isn't compared one
-to one. Its members are joined by prefixes instead, which is exact: of the shingles of two similar texts, ordered by
+So a bucket costs each member as many comparisons as members stand apart from its main component. Where these are more
+than CROWD (texts that share a long passage, and little else), it isn't compared one to one. Its members are joined by prefixes instead, which is exact: of the shingles of two similar texts, ordered by
 their number of texts, rarest first, the first n - ceil(similarity * n) + 1 have one in common. The passage's shingles
 are the frequent ones, so they stand last and make no pairs.
 
@@ -41,7 +41,7 @@ SKETCH = 16  # longs of the parity sketch
 #: Sets this small can't reach the similarity unless they are equal.
 TINY = 3
 KEPT_COPIES = 20_000
-CROWD, HUB_PAIRS = 64, 2000
+CROWD, HUB_PAIRS = 1000, 2000
 GOLD, SILVER, MASK = 0x9E3779B97F4A7C15, 0xD1B54A32D192ED03, (1 << 64) - 1
 
 
@@ -224,8 +224,8 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY, rows: int = ROWS, b
 
     Null text is empty. Texts without a word are only alike if equal; a text of fewer than five words is one shingle.
     Rows that share a doc_id count as one document. Null doc_ids: kept; a class of null doc_ids alone has a negative or
-    positive hash of its text as class_id. An empty table gives no rows; other columns are ignored. `crowd`: members from
-    which on a bucket is compared by prefixes; it changes the work, not the links.
+    positive hash of its text as class_id. An empty table gives no rows; other columns are ignored. `crowd`: members apart
+    from a bucket's main component from which on it is compared by prefixes; it changes the work, not the links.
     """
     every = signed(docs, rows, bands)
     # exact copies are one node: the least doc_id
@@ -243,20 +243,25 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY, rows: int = ROWS, b
     links = common.written(verified(pairs, sets, similarity), "links")
     label = components(links)
     labelled = full.select("bucket", "node", "n").join(label, "node", "left").withColumn("label", F.coalesce("least", "node")).drop("least")
-    mixed = labelled.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("size")).where("lo <> hi").select("bucket", "size")
+    mixed = labelled.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("bucket")
+    rest = common.written(labelled.join(mixed, "bucket"), "mixed")
+    # a bucket's main component needs no pairs inside; all others meet every member of another component
+    parts = rest.groupBy("bucket", "label").agg(F.count("*").alias("c"))
+    main = parts.groupBy("bucket").agg(F.max(F.struct("c", "label")).alias("x"), F.sum("c").alias("size")).select("bucket", F.col("x.label").alias("main"), (F.col("size") - F.col("x.c")).alias("apart"))
     sketch = nodes.select("node", F.slice("bands", bands + 1, SKETCH).alias("sketch"))
-    rest = common.written(labelled.join(mixed, "bucket").join(sketch, "node"), "mixed")
-    small = rest.where(F.col("size") <= crowd)
-    one = small.select("bucket", F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("label").alias("label_a"), F.col("sketch").alias("sketch_a"))
-    two = small.select("bucket", F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("label").alias("label_b"), F.col("sketch").alias("sketch_b"))
-    fits = (F.col("label_a") != F.col("label_b")) & (F.col("a") < F.col("b")) & size_fits(F.col("n_a"), F.col("n_b"), similarity)
-    other = one.join(two, (one["bucket"] == two["bucket"]) & fits & sketches_fit(F.col("sketch_a"), F.col("sketch_b"), F.col("n_a") + F.col("n_b"), similarity)).select("a", "b")
-    large = rest.where(F.col("size") > crowd).select("node", "n", "label", "sketch").dropDuplicates(["node"])
+    rest = rest.join(main, "bucket").join(sketch, "node")
+    small = rest.where(F.col("apart") <= crowd)
+    one = small.where("label <> main").select("bucket", F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("label").alias("label_a"), F.col("sketch").alias("sketch_a"))
+    two = small.select("bucket", F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("label").alias("label_b"), F.col("sketch").alias("sketch_b"), (F.col("label") == F.col("main")).alias("in_main"))
+    fits = (F.col("label_a") != F.col("label_b")) & (F.col("in_main") | (F.col("a") < F.col("b"))) & size_fits(F.col("n_a"), F.col("n_b"), similarity)
+    other = one.join(two, (one["bucket"] == two["bucket"]) & fits & sketches_fit(F.col("sketch_a"), F.col("sketch_b"), F.col("n_a") + F.col("n_b"), similarity))
+    other = other.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    large = rest.where(F.col("apart") > crowd).select("node", "n", "label", "sketch").dropDuplicates(["node"])
     met = prefix_pairs(large, sets, similarity) if large.limit(1).count() else None
     other = (other if met is None else other.unionAll(met)).distinct().join(pairs, ["a", "b"], "left_anti")
     more = common.written(verified(common.written(other, "others"), sets, similarity), "more")
     final = components(links.unionAll(more)) if more.limit(1).count() else label
-    common.release(full, pairs, sets, rest, *([] if met is None else [met]))
+    common.release(full, pairs, sets, *([] if met is None else [met]))
     by_key = nodes.select("key", "node").join(final, "node", "left").select("key", F.coalesce("least", "node").alias("class_id"))
     return every.select("doc_id", "key").join(by_key, "key").select("doc_id", "class_id")
 
