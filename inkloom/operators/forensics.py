@@ -8,6 +8,7 @@ from functools import lru_cache
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType
 
 from inkloom.functions import text as T
 
@@ -95,12 +96,12 @@ def consistent_deviation(mean: str, sd: str, n: int) -> bool | None:
     return False
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(BooleanType())
 def sprite(mean: pd.Series, sd: pd.Series, n: pd.Series, low: pd.Series, high: pd.Series) -> pd.Series:
     return pd.Series([reachable(*x) for x in zip(mean, sd, n.astype(int), low.astype(int), high.astype(int))], dtype=bool)
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(BooleanType())
 def grimmer(mean: pd.Series, sd: pd.Series, n: pd.Series) -> pd.Series:
     return pd.Series([consistent_deviation(m, s, int(k)) for m, s, k in zip(mean, sd, n)], dtype=object)
 

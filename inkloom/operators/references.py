@@ -9,9 +9,13 @@ from pyspark.sql.window import Window
 from inkloom.functions import text as T
 
 
-def cited_numbers(docs: DataFrame) -> DataFrame:
-    """doc_id, p (place of the paragraph), ref: every number in a [n] or [n, m] citation, once for a paragraph."""
+def cited_numbers(docs: DataFrame, body_only: bool = False) -> DataFrame:
+    """doc_id, p (place of the paragraph), ref: every number in a [n] or [n, m] citation, once for a paragraph.
+
+    body_only: not the lines of a reference list.
+    """
     p = docs.select("doc_id", F.posexplode_outer(T.lines("text")).alias("p", "x")).where(F.col("x").isNotNull())
+    p = p.where(~F.col("x").rlike(r"^\[\d+\]\s+\S")) if body_only else p
     c = p.select("doc_id", "p", F.explode_outer(F.regexp_extract_all("x", F.lit(r"\[(\d{1,3}(?:\s*,\s*\d{1,3})*)\]"), F.lit(1))).alias("c")).where(F.col("c").isNotNull())
     return c.select("doc_id", "p", F.explode(F.split("c", r"\s*,\s*")).alias("ref")).select("doc_id", "p", F.col("ref").try_cast("int").alias("ref")).distinct()
 
@@ -46,7 +50,7 @@ def reference_rows(docs: DataFrame) -> DataFrame:
 
 def citation_check(docs: DataFrame) -> DataFrame:
     """doc_id, ref, state: numbers that are cited but not listed (where a list exists), and entries that are never cited."""
-    cited = cited_numbers(docs).select("doc_id", "ref").distinct()
+    cited = cited_numbers(docs, body_only=True).select("doc_id", "ref").distinct()
     listed = reference_rows(docs).select("doc_id", F.col("ref_no").alias("ref")).distinct()
     both = cited.withColumn("c", F.lit(True)).join(listed.withColumn("l", F.lit(True)), ["doc_id", "ref"], "full")
     has = F.max("l").over(Window.partitionBy("doc_id"))

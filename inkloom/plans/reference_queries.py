@@ -55,7 +55,7 @@ ORACLES = {
         select doc_id, missing from g anti join (select doc_id, ref as missing from n) using (doc_id, missing)""",
     "cocitation_edges": f"with {_EDGES} select * from e",
     "cocitation_triangles": f"with {_EDGES} select x.doc_id, count(*) as n_triangles from e x join e y on x.doc_id = y.doc_id and x.b = y.a join e z on z.doc_id = x.doc_id and z.a = x.a and z.b = y.b group by x.doc_id",
-    "citation_check": f"""with {_NUMBERS}, u as (select distinct doc_id, ref from n), {_LISTED.replace('x as', 'y as', 1).replace(' from x ', ' from y ')}, l as (select distinct doc_id, ref_no as ref from refs)
+    "citation_check": f"""with {_NUMBERS}, u as (select distinct n.doc_id, ref from n join p z on z.doc_id = n.doc_id and z.p = n.p where not regexp_matches(z.x, '^\\[\\d+\\]\\s+\\S')), {_LISTED.replace('x as', 'y as', 1).replace(' from x ', ' from y ')}, l as (select distinct doc_id, ref_no as ref from refs)
         select doc_id, ref, 'not listed' as state from u anti join l using (doc_id, ref) where doc_id in (select doc_id from l) union all select doc_id, ref, 'never cited' from l anti join u using (doc_id, ref)""",
     "citation_clusters": f"""with recursive {_EDGES}, b as (select doc_id, a, b from e union select doc_id, b, a from e),
         r(doc_id, node, seen) as (select distinct doc_id, a, a from b union select r.doc_id, r.node, b.b from r join b on r.doc_id = b.doc_id and r.seen = b.a),

@@ -39,7 +39,7 @@ def test_statements_are_read_from_whole_texts(spark, tmp_path):
     df = spark.createDataFrame([(1, "x " * 50_000 + "F(2, 57) = 3.16, p = .05; N = 20, M = 3.48, M = 4.11")], "doc_id long, text string")
     df.write.parquet(f"{tmp_path}/documents.parquet")
     assert sorted(r.kind for r in M.QUERIES["reported_tests"](spark, str(tmp_path)).collect()) == ["F", "t"]
-    assert sorted(r.mean for r in M.QUERIES["impossible_means"](spark, str(tmp_path)).collect()) == ["3.01", "3.48", "4.11"]
+    assert sorted(r.mean for r in M.QUERIES["impossible_means"](spark, str(tmp_path)).collect()) == ["3.01", "3.48", "4.07", "4.11"]
 
 
 def test_whole_titles_are_screened(spark, tmp_path):
@@ -156,6 +156,86 @@ def test_metrics_on_odd_texts(spark):
         f(df, items).collect()
 
 
+def test_bounded_integers():
+    """Published cases, and every sample of three numbers by brute force."""
+    from itertools import product
+
+    from inkloom.operators import forensics as X
+
+    assert X.reachable("4.0", "1.0", 20, 1, 7) and not X.reachable("3.0", "5.0", 10, 1, 5) and X.reachable("3.48", "1.0", 20, 1, 7)
+    real = set()
+    for sample in product(range(1, 5), repeat=4):
+        m = sum(sample) / 4
+        real.add((f"{m:.2f}", f"{(sum((x - m) ** 2 for x in sample) / 3) ** 0.5:.2f}"))
+    for mean in sorted({m for m, _ in real}):
+        for sd in (f"{k / 100:.2f}" for k in range(0, 200)):
+            assert X.reachable(mean, sd, 4, 1, 4) == ((mean, sd) in real), (mean, sd)
+    assert X.consistent_deviation("3.50", "0.58", 4) is True and X.consistent_deviation("3.50", "0.60", 4) is False and X.consistent_deviation("3.49", "0.60", 4) is None
+
+
+def test_reported_means_take_what_is_nearest(spark):
+    from inkloom.operators import forensics as X
+
+    text = "On a 1 to 5 point scale, N = 99. M = 3.20, SD = 1.10, N = 30. Later mean = 2.50 without one. " + "x " * 200 + "M = 4.00, SD = 0.50"
+    got = [tuple(r)[1:] for r in X.reported_means(spark.createDataFrame([(1, text), (2, None)], "doc_id long, text string")).collect()]
+    assert got == [("3.20", "1.10", 30, 1, 5)]
+    pairs = "randomised: " + "40.1 (5.0) vs 40.2 (5.0), " * 8 + "40.1 (1.0) vs 90.2 (1.0). " + "word " * 200
+    r = X.baseline_balance(spark.createDataFrame([(1, pairs)], "doc_id long, text string")).first()
+    assert (r.n_pairs, r.n_alike, r.implausible, r.too_even) == (9, 8, True, True)
+    p = X.p_curve(spark.createDataFrame([(1, "p = 0.04 " * 8 + "word " * 200), (2, "p < 0.01 " * 8 + "word " * 200), (3, "p = .04 " * 8 + "word " * 200)], "doc_id long, text string"))
+    assert {r.doc_id: r.verdict for r in p.collect()} == {1: "suspicious", 2: "healthy"}
+
+
+def test_dictionaries(spark):
+    from inkloom.operators import dictionaries as D
+
+    pad = "plain " * 150
+    df = spark.createDataFrame([(1, pad + "Profound learning, irregular woods and colossal information"), (2, pad + "bosom disease; translated from German"), (3, "profound learning"), (4, None)], "doc_id long, text string")
+    assert sorted(map(tuple, D.tortured_phrases(df, D.phrases(spark)).collect())) == [(1, 3, 3, "High", 0.8), (2, 1, 1, "Low", 0.35)]
+    df = spark.createDataFrame([(1, "Cell culture of MCF_7 and HT 29 cells"), (2, "MCF-7 in a poem"), (3, "in vitro, K562, STR profiling")], "doc_id long, text string")
+    assert sorted((r.doc_id, r.line, r.authenticated) for r in D.cell_lines(df).collect() if r.line != "kb") == [(1, "ht-29", False), (1, "mcf7", False), (3, "k562", True)]
+
+
+def test_lookups_have_three_states(spark):
+    from inkloom.operators import lookups as L
+
+    df = spark.createDataFrame([(1, "10.1234/AB1. 10.1234/ab2, 10.1234/ab3 and NCT00000001"), (2, None)], "doc_id long, text string")
+    snap = spark.createDataFrame([("doi", "10.1234/ab1", "present", {"retracted": "true"}), ("doi", "10.1234/ab2", "absent", None), ("trial", "NCT00000001", "timeout", None)], L.SNAPSHOT)
+    got = {r.key: r.status for r in L.looked_up(L.identifiers(df), snap).collect()}
+    assert got == {"10.1234/ab1": "present", "10.1234/ab2": "absent", "10.1234/ab3": "unknown", "nct00000001": "unknown"}
+    assert L.lookup_summary(df, snap).where("kind = 'doi'").first().retracted == 1
+
+
+def test_style_and_reports(spark):
+    import json
+
+    from inkloom.operators import prose
+    from inkloom.sources import reports
+
+    text = "The the cat sat!It don't matter  at all. " + "Short one. " * 5 + "word " * 60 + "."
+    df = spark.createDataFrame([(1, text), (2, None), (3, "too short")], "doc_id long, text string")
+    got = {r.doc_id: {x.title for x in r.f} for r in prose.style_findings(df).collect()}
+    assert {"Repeated words (typos)", "Missing space after punctuation", "Informal / conversational language", "Double spaces detected", "Sentence fragments detected", "Exclamation marks in academic text"} <= got[1]
+    assert got[2] == got[3] == set()
+    assert prose.style_signals(df).count() == 0
+    checked = prose.style_findings(df)
+    page = {r.doc_id: r.report for r in reports.markdown(checked).collect()}
+    assert page[2] == "# Report on 2\n\nReadiness: 100/100\n\nNo findings." and "- **Medium** Repeated words (typos) (90%)" in page[1]
+    data = json.loads({r.doc_id: r.report for r in reports.as_json(checked, "acm").collect()}[1])
+    assert set(data) == {"document", "venue", "readiness_score", "stats", "findings"} and data["findings"][0]["severity"].isupper() and set(data["findings"][0]) == {"category", "severity", "title", "detail", "evidence", "action", "confidence", "location", "source"}
+    entry = reports.bibtex(spark.createDataFrame([(1, 2, "Smith, A. On things. Journal, 2011")], "doc_id long, ref_no int, raw string")).first().entry
+    assert entry.startswith("@article{") and "year = {2011}" in entry
+
+
+def test_citations(spark):
+    from inkloom.operators import references as R
+
+    df = spark.createDataFrame([(1, "See [1, 2] and [2, 3].\nAlso [7, 8].\n[1] A. Author, On things, 2001\n[2] B. Author, On things, 2002\n[5] C. Author, On things, 2003"), (2, "See [4]."), (3, None)], "doc_id long, text string")
+    got = {(r.doc_id, r.ref, r.state) for r in R.citation_check(df).collect()}
+    assert got == {(1, 3, "not listed"), (1, 7, "not listed"), (1, 8, "not listed"), (1, 5, "never cited")}
+    assert [tuple(r) for r in R.citation_clusters(df).collect()] == [(1, 1, 3)]
+
+
 def test_checksum(spark):
     df = spark.createDataFrame([("000000021825009",), ("000000015109370",)], "d string")
     assert [r.c for r in df.select(numbers.mod11_check(F.col("d")).alias("c")).collect()] == ["7", "0"]
