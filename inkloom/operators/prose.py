@@ -33,9 +33,9 @@ def measured(docs: DataFrame) -> DataFrame:
         F.regexp_count("low", F.lit(r"(?U)\b(\w+)[ \t]+\1\b")).alias("repeated_words"),
         F.size(F.filter(F.array(*[F.lit(t) for t in T.INFORMAL]), lambda t: F.contains("low", t))).alias("informal"),
         T.term_count("text", T.HEDGES).alias("hedges"), T.term_count("text", T.TEMPLATES).alias("templates"),
-        F.when(F.size("real") >= 8, T.stdev(F.col("real"), m) / m).otherwise(0.0).alias("burst"),
-        F.when(F.size("w") >= 50, F.size(F.array_distinct("w")) / F.size("w")).otherwise(0.0).alias("ttr"),
-        T.mean(F.col("all_n")).alias("mean_words"), F.size("all_n").alias("n_sentences"),
+        F.when(F.size("real") >= 8, F.round(T.stdev(F.col("real"), m) / m, 6)).otherwise(0.0).alias("burst"),
+        F.when(F.size("w") >= 50, F.round(F.size(F.array_distinct("w")) / F.size("w"), 6)).otherwise(0.0).alias("ttr"),
+        F.round(T.mean(F.col("all_n")), 6).alias("mean_words"), F.size("all_n").alias("n_sentences"),
     )
 
 
