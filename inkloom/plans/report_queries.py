@@ -89,5 +89,10 @@ ORACLES = {
         select doc_id, '# Report on ' || doc_id || chr(10) || chr(10) || 'Readiness: ' || readiness || '/100' || chr(10) || chr(10) || coalesce(body, 'No findings.') as report from ready left join l using (doc_id)""",
     "report_html": f"""with f as {M._findings()}, {M._READY}, r as ({M._RANKED}), l as (select doc_id, string_agg('<tr><td>' || severity || '</td><td>' || replace(replace(replace(title, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') || '</td></tr>', '' order by place) as body from r group by doc_id)
         select doc_id, '<h1>Report on ' || doc_id || '</h1><p>' || readiness || '/100</p><table>' || coalesce(body, '') || '</table>' as report from ready left join l using (doc_id)""",
+    "report_json": f"""with f as {M._findings()}, {M._READY}, c as ({M._COUNTS}), l as (select doc_id, list({{'category': category, 'severity': upper(severity), 'title': title, 'detail': '', 'evidence': '', 'action': action, 'confidence': round(confidence, 2), 'location': '', 'source': ''}} order by seq) as l from f group by doc_id)
+        select doc_id, to_json({{'document': doc_id::varchar, 'venue': 'generic', 'readiness_score': readiness, 'stats': {{{', '.join(f"'{x[0].lower()}': {x[0].lower()}" for x in R.SEVERITIES)}, 'findings': findings}}, 'findings': coalesce(l, [])}})::varchar as report from ready join c using (doc_id) left join l using (doc_id)""",
+    "bibtex": rf"""with {reference_queries._ROWS}, a as (select doc_id, ref_no, raw, trim(regexp_extract(raw, '^([^,.(]+(?:,\s*[A-Z]\.?)*)', 1)) as author, regexp_extract(raw, '((?:19|20)\d{{2}})', 1) as year from refs),
+        n as (select *, lower(regexp_replace(string_split_regex(author, '\s+')[-1], '[^A-Za-z0-9]', '', 'g')) as name from a)
+        select doc_id, ref_no, '@article{{' || case when name = '' then 'ref' || ref_no else name end || case when year = '' then 'nd' else year end || '_' || ref_no || ',' || chr(10) || '  author = {{' || author || '}},' || chr(10) || '  title = {{' || trim(raw) || '}},' || chr(10) || '  year = {{' || year || '}}' || chr(10) || '}}' as entry from n""",
     "batch_lines": f"select doc_id, readiness, {_LINE} as line from ({M.ORACLES['batch_report']})",
 }
