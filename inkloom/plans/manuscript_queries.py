@@ -22,6 +22,7 @@ NOTES = (
     "Theorem 1. Obviously trivially true; it is easy to see. The proof is clearly omitted; in order to optimize normalization, optimization and generalization.", "Finite element solver with material properties. Horizon Europe, KAKENHI, NSFC, UGC, National Research Foundation of Korea.",
     "Conflict of interest: no conflict. Supported by a grant; patent. Methodology, software. ChatGPT et al. It is worth noting that we delve into placeholder text. References: doi: none.", "Novel, novel and novel; unique, unique, unique. We propose and we proposed. Guaranteed acceptance; you are invited to submit. This may, might, could, possibly seem likely.",
     "N = 12 participants were surveyed, robust; n = 12; statistical power. GDPR and PHI. machine learning to classify with an llm, european.",
+    "Response to reviewers. Reviewer 1: the reviewer is wrong. Regression, r = 1.4, p = 0.000, see Fig. ?? and Error! Reference source not found. TODO: add your repo here.",
 )
 
 
