@@ -50,8 +50,12 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages on the table documents; every stage's rows are written to the shared folder and read again."""
+    """All stages on the table documents; every stage's rows are written to the shared folder and read again.
+
+    A stage's table is deleted when the next one's is written.
+    """
     docs = common.table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = common.written(stage(spark, docs, sf_dir), f"stage-{name}")
+        before, docs = docs, common.written(stage(spark, docs, sf_dir), f"stage-{name}")
+        common.release(before)
     return docs
