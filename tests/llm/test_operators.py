@@ -544,7 +544,7 @@ def test_repeated_words_and_short_items(spark):
     began = time.time()
     got = {(r.doc_id, r.item_id): (r.score, r.n_item) for r in decontaminate.overlaps(df, bench).collect()}
     assert got == {(1, 1): (200, 200), (2, 2): (2, 2), (4, 3): (4, 4), (4, 4): (1, 1)}
-    assert time.time() - began < 120
+    assert time.time() - began < 300
 
 
 def test_decontamination_odd_tables(spark, odd):
