@@ -1,8 +1,10 @@
 """Checks as data: a rule fires when its patterns are found, or aren't, as it says.
 
-All rules of a run are evaluated together. Each distinct first pattern of a rule is searched once for each text, and the
-others only in texts where it was found. Before a regular expression is tried, the text is searched for the literals of
-which every match must hold one: a plain substring search, many times faster than a regular expression that fails.
+All rules of a run are evaluated together. A text is read once for the strings that matches of their patterns must hold
+(one regular expression, a trie of them all). After that a pattern is searched for one alternative at a time: one that is
+a few plain strings is decided by the strings found, any other by its regular expression, in texts that hold all strings
+that a match must hold. Each distinct first pattern of a rule is searched once for each text, and the others only in texts
+where it was found.
 """
 
 from __future__ import annotations
@@ -177,54 +179,226 @@ def quoted(s: str) -> str:
     return "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def any_literal(column: str, pattern: str) -> str:
-    return " or ".join(f"contains({column}, {quoted(x)})" for x in literals(pattern))
+def any_of(column: str, strings: Iterable[str], known: Sequence[str]) -> str:
+    """SQL: whether the column holds any of the strings. `hits` holds, for each place of the lower-cased text where one of
+    the `known` strings starts, the longest of them; so a string is there where it or a longer one that starts with it is.
+    """
+    strings = tuple(strings)
+    low = tuple(s.lower() for s in strings)
+    longer = [k for k in known if k.startswith(low)]
+    there = f"array_contains(hits, {quoted(longer[0])})" if len(longer) == 1 else f"arrays_overlap(hits, array({', '.join(map(quoted, longer))}))"
+    if column == "low":
+        return there
+    return f"({there} and ({' or '.join(f'contains({column}, {quoted(x)})' for x in strings)}))"
+
+
+def trie(strings: Iterable[str]) -> str:
+    """A regular expression for the longest of the strings that starts at a place."""
+    def of(group: list[str]) -> str:
+        heads: dict[str, list[str]] = {}
+        for s in group:
+            if s:
+                heads.setdefault(s[0], []).append(s[1:])
+        each = [(c, re.escape(c) + of(rest)) for c, rest in sorted(heads.items())]
+        if not each:
+            return ""
+        if len(each) > 8:  # first the character's part of the alphabet: alternatives are tried one after another
+            parts = [each[k : k + 6] for k in range(0, len(each), 6)]
+            body = "|".join(f"(?=[{''.join(re.escape(c) for c, _ in part)}])(?:{'|'.join(x for _, x in part)})" for part in parts)
+        else:
+            body = "|".join(x for _, x in each)
+        return f"(?:{body})?" if "" in group else f"(?:{body})" if len(each) > 1 else body
+
+    return of(sorted(set(strings)))
+
+
+def alternatives(pattern: str) -> list[str]:
+    """Patterns of which one is found in exactly the texts where this one is: its outermost alternatives."""
+    if re.search(r"\\[1-9]|\(\?(?:P|[a-zA-Z]+[:)])", pattern):
+        return [pattern]  # groups are referred to, or flags set
+    parts, depth, start, k = [], 0, 0, 0
+    while k < len(pattern):
+        c = pattern[k]
+        if c == "\\":
+            k += 1
+        elif c == "[":
+            k += 2 if pattern[k + 1] == "^" else 1
+            while pattern[k + 1] != "]":  # a bracket that comes first stands for itself
+                k += 2 if pattern[k + 1] == "\\" else 1
+            k += 1
+        elif c in "()":
+            depth += 1 if c == "(" else -1
+        elif c == "|" and depth == 0:
+            parts.append(pattern[start:k])
+            start = k + 1
+        k += 1
+    return [*parts, pattern[start:]]
+
+
+def shortest(strings: Iterable[str]) -> list[str]:
+    """Those of the strings that hold no other of them: a text holds one of these if it holds one of all."""
+    out = []
+    for s in sorted(set(strings), key=lambda s: (len(s), s)):
+        if not any(x in s for x in out):
+            out.append(s)
+    return out
+
+
+def spelled(items: Iterable, most: int = 24) -> set[str] | None:
+    """All strings that a parsed pattern matches; None: more than `most`, or not known."""
+    from re import _constants as C
+
+    out = {""}
+    for op, value in items:
+        if op is C.LITERAL:
+            each = {chr(value)}
+        elif op is C.IN and all(o is C.LITERAL for o, _ in value):
+            each = {chr(x) for _, x in value}
+        elif op is C.BRANCH:
+            parts = [spelled(x, most) for x in value[1]]
+            each = None if None in parts else set().union(*parts)
+        elif op is C.SUBPATTERN:
+            each = spelled(value[-1], most)
+        elif op in (C.MAX_REPEAT, C.MIN_REPEAT) and value[:2] == (0, 1):
+            each = spelled(value[2], most)
+            each = None if each is None else {"", *each}
+        else:
+            return None
+        if each is None or len(out) * len(each) > most:
+            return None
+        out = {a + b for a in out for b in each}
+    return out
+
+
+def held(items: Iterable, most: int = 24) -> list[set[str]]:
+    """Sets of strings: every match of a parsed pattern holds one of each set."""
+    from re import _constants as C
 
+    out, run = [], {""}
+    for op, value in items:
+        if op in (C.AT, C.ASSERT, C.ASSERT_NOT):
+            continue
+        each = spelled([(op, value)], most)
+        if each is not None and len(run) * len(each) <= most:
+            run = {a + b for a in run for b in each}
+            continue
+        out.append(run)
+        run = each or {""}
+        if each is not None:
+            continue
+        if op is C.BRANCH:
+            parts = [best(held(x, most)) for x in value[1]]
+            out += [set().union(*parts)] if all(parts) else []
+        elif op is C.SUBPATTERN:
+            out += held(value[-1], most)
+        elif op in (C.MAX_REPEAT, C.MIN_REPEAT) and value[0] > 0:
+            out += held(value[2], most)
+    return [x for x in (*out, run) if x and "" not in x]
+
+
+def rarity(strings: Iterable[str]) -> float:
+    """The higher, the fewer texts are likely to hold one of the strings."""
+    return min((min(len(s), 6) + 2 * (not (s.isalnum() and s.isascii()) and s not in " .,-\n\t") for s in strings), default=0) - 0.05 * len(list(strings))
+
+
+def best(sets: list[set[str]]) -> set[str]:
+    return max(sets, key=rarity, default=set())
+
+
+@lru_cache(maxsize=None)
+def pieces(pattern: str, lower: bool) -> tuple[tuple[str, ...], tuple[tuple[tuple[tuple[str, ...], ...], str], ...]]:
+    """(strings, ((sets, regular expression), ...)): the pattern is found in a text that holds one of the strings, or one of
+    each of the sets and a match of the expression besides. lower: the text is in lower case, so no capital is found.
+    """
+    from re import _constants as C
+    from re import _parser as parser
 
-def found(pattern: str) -> str:
-    """SQL: whether a pattern is found in a row with the columns low and text."""
+    plain, others = set(), []
+    for part in alternatives(pattern):
+        items = list(parser.parse(part))
+        for end in (0, -1):  # what may be missing at an end makes no difference
+            while items and items[end][0] in (C.MAX_REPEAT, C.MIN_REPEAT) and items[end][1][0] == 0:
+                items.pop(end)
+        possible = lambda strings: {s for s in strings if not (lower and re.search("[A-Z]", s))}
+        strings = spelled(items)
+        if strings is not None:
+            plain |= possible(strings)
+            continue
+        sets = [possible(x) for x in held(items)]
+        if all(sets):
+            sets = sorted(filter(lambda x: rarity(x) > 2, map(shortest, sets)), key=rarity, reverse=True)[:3]
+            others.append((tuple(map(tuple, sets)), part))
+    strings = tuple(shortest(plain))
+    implied = lambda sets: any(all(any(s in x for s in strings) for x in each) for each in sets)
+    return strings, tuple(x for x in others if not implied(x[0]))
+
+
+def hits(known: Sequence[str]) -> Column:
+    """The column `hits` that any_of() asks, of the column low."""
+    return F.array_distinct(F.regexp_extract_all("low", F.lit(f"(?=({trie(known)}))"), F.lit(1)))
+
+
+def known_strings(rules: Sequence[Rule]) -> tuple[str, ...]:
+    """All strings, in lower case, that found() and matches() ask for."""
+    out = set()
+    for r in rules:
+        for pattern in (*r.need, *r.lack, *r.distinct, *(p for u in r.unless for p in u)):
+            column, p = subject(pattern)
+            strings, others = pieces(p, column == "low")
+            out |= {*strings, *(s for sets, _ in others for x in sets for s in x)}
+        for pattern in (p for c in r.counts for p in c[0]):
+            out |= set(literals(subject(pattern)[1]))
+    return tuple(sorted({s.lower() for s in out}))
+
+
+def found(pattern: str, known: Sequence[str]) -> str:
+    """SQL: whether a pattern is found in a row with the columns low, text and hits."""
     column, p = subject(pattern)
-    hit, some = f"{column} rlike {quoted(unicode_bounds(p))}", any_literal(column, p)
-    return f"(({some}) and {hit})" if some else f"({hit})"
+    strings, others = pieces(p, column == "low")
+    flags = unicode_bounds(p)[: -len(p)]  # those of the whole pattern hold for each part
+    each = [any_of(column, strings, known)] if strings else []
+    for sets, part in others:
+        each.append("(" + " and ".join([*(any_of(column, x, known) for x in sets), f"{column} rlike {quoted(flags + part)}"]) + ")")
+    return f"({' or '.join(each) or 'false'})"
 
 
-def matches(patterns: Sequence[str]) -> str:
+def matches(patterns: Sequence[str], known: Sequence[str]) -> str:
     """SQL: matches of all patterns together."""
     out = []
     for pattern in patterns:
         column, p = subject(pattern)
-        n, some = f"regexp_count({column}, {quoted(unicode_bounds(p))})", any_literal(column, p)
-        out.append(f"case when {some} then {n} else 0 end" if some else n)
+        n, some = f"regexp_count({column}, {quoted(unicode_bounds(p))})", literals(p)
+        out.append(f"case when {any_of(column, some, known)} then {n} else 0 end" if some else n)
     return f"({' + '.join(out)})"
 
 
-def condition(r: Rule, first: dict[str, int]) -> str:
-    """SQL: whether a rule fires on a row with low, text, n_words, n_tokens and `first`, the first patterns' hits."""
-    hit = ["length(low) > 0"]
+def condition(r: Rule, first: dict[str, int], known: Sequence[str]) -> str:
+    """SQL: whether a rule fires on a row with low, text, hits, filled, n_words, n_tokens and `first`, the first patterns' hits."""
+    hit = ["filled"]
     hit += [f"n_words >= {r.least_words}"] * bool(r.least_words) + [f"n_tokens >= {r.least_tokens}"] * bool(r.least_tokens)
-    hit += [f"first[{first[p]}]" for p in r.need[:1]] + [found(p) for p in r.need[1:]]
-    hit += [f"not {found(p)}" for p in r.lack] + [f"not ({found(a)} and not {found(b)})" for a, b in r.unless]
+    hit += [f"first[{first[p]}]" for p in r.need[:1]] + [found(p, known) for p in r.need[1:]]
+    hit += [f"not {found(p, known)}" for p in r.lack] + [f"not ({found(a, known)} and not {found(b, known)})" for a, b in r.unless]
     for k, (patterns, least) in enumerate(r.counts):
-        n = matches(patterns)
+        n = matches(patterns, known)
         hit.append(f"{n} >= {least}")
         if k == 0 and r.count_most is not None:
             hit.append(f"{n} <= {r.count_most}")
         if k == 0 and r.per_1000 is not None:
             hit.append(f"{n} * 1000.0D > n_words * {r.per_1000}D")
     if r.distinct:
-        hit.append(f"({' + '.join(f'cast({found(p)} as int)' for p in r.distinct)}) < {r.fewer}")
+        hit.append(f"({' + '.join(f'cast({found(p, known)} as int)' for p in r.distinct)}) < {r.fewer}")
     return " and ".join(hit)
 
 
-def compiled(rules: Sequence[Rule], first: dict[str, int]) -> Column:
+def compiled(rules: Sequence[Rule], first: dict[str, int], known: Sequence[str]) -> Column:
     """array<struct> of the rules that fire. It is parsed from SQL, as thousands of calls to the JVM take far longer."""
     def one(seq: int, r: Rule) -> str:
         title = quoted(r.title)
         if "{n}" in r.title:
             a, b = r.title.split("{n}")
-            title = f"concat({quoted(a)}, cast({matches(r.counts[0][0])} as string), {quoted(b)})"
+            title = f"concat({quoted(a)}, cast({matches(r.counts[0][0], known)} as string), {quoted(b)})"
         fields = f"'seq', {seq}, 'category', {quoted(r.category)}, 'severity', {quoted(r.severity)}, 'title', {title}, 'confidence', {r.confidence}D, 'action', {quoted(r.action)}"
-        return f"case when {condition(r, first)} then named_struct({fields}) end"
+        return f"case when {condition(r, first, known)} then named_struct({fields}) end"
 
     return F.expr(f"array_compact(array({', '.join(one(k, r) for k, r in enumerate(rules))}))")
 
@@ -233,11 +407,12 @@ def checked(docs: DataFrame, rules: Sequence[Rule] | None = None) -> DataFrame:
     """doc_id, f: one row for each of docs, with the array of its findings (seq, category, severity, title, confidence, action)."""
     rules = rules or all_rules()
     first = {p: k for k, p in enumerate(dict.fromkeys(r.need[0] for r in rules if r.need))}
+    known = known_strings(rules)
     d = docs.select("doc_id", T.text_of("text").alias("text")).select("doc_id", "text", F.lower("text").alias("low"))
-    tokens = F.size(F.filter(F.split("low", r"\s+"), lambda w: w != ""))
-    hits = F.expr(f"array({', '.join(found(p) for p in first)})")
-    d = d.select("doc_id", "text", "low", F.size(T.words("low")).alias("n_words"), tokens.alias("n_tokens"), hits.alias("first"))
-    return d.select("doc_id", compiled(rules, first).alias("f"))
+    counts = (F.col("low") != "").alias("filled"), F.regexp_count("low", F.lit(T.WORD)).alias("n_words"), F.regexp_count("low", F.lit(r"\S+")).alias("n_tokens")
+    d = d.select("doc_id", "text", "low", *counts, hits(known).alias("hits"))
+    d = d.select("*", F.expr(f"array({', '.join(found(p, known) for p in first)})").alias("first"))
+    return d.select("doc_id", compiled(rules, first, known).alias("f"))
 
 
 def findings(docs: DataFrame, rules: Sequence[Rule] | None = None) -> DataFrame:

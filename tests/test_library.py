@@ -255,3 +255,23 @@ def test_stream_equals_batch(spark, tmp_path):
     q = rolling.window_counts(spark.readStream.schema(events.schema).parquet(str(tmp_path / "in"))).writeStream.format("memory").queryName("windows").outputMode("complete").trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert sorted(map(tuple, spark.table("windows").collect())) == sorted(map(tuple, rolling.window_counts(events).collect()))
+
+
+def test_patterns_found_by_pieces_are_found_by_their_expressions(spark):
+    texts = [x[0] for x in EXPECTED] + ["randomised trial, h-index p<.05 mean (n = 3) dmp qc; Hardy-Weinberg, GRADE, i2 50%", "Horizon 2020, R01AB12, NWO grant. MRC funds SPSS 26", "no data\n sharing; clinical  trials of mice", "Ünïcode gender fluid, η2 = .3, µm, Straße SEX", "(?:a|b) [x] \\d", ""]
+    patterns = sorted({p for r in rules.all_rules() for p in (*r.need, *r.lack, *r.distinct, *(x for u in r.unless for x in u))})
+    known = rules.known_strings(rules.all_rules())
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id long, text string").withColumn("low", F.lower("text")).withColumn("hits", rules.hits(known)).cache()
+    for k in range(0, len(patterns), 60):
+        some = patterns[k : k + 60]
+        each = [(p, *rules.subject(p)) for p in some]
+        whole = [f"{column} rlike {rules.quoted(rules.unicode_bounds(p))}" for _, column, p in each]
+        for r in df.selectExpr("text", f"array({', '.join(rules.found(p, known) for p in some)}) as a", f"array({', '.join(whole)}) as b").collect():
+            assert r.a == r.b, [(p, r.text) for p, x, y in zip(some, r.a, r.b) if x != y]
+
+
+def test_patterns_are_split_only_at_their_outermost_bars():
+    assert rules.alternatives(r"a|(?:b|c)d|[|\]|]e|\|f") == ["a", r"(?:b|c)d", r"[|\]|]e", r"\|f"]
+    assert rules.alternatives(r"(a)|\1b") == [r"(a)|\1b"] and rules.alternatives("[]|]x|[^]|]y") == ["[]|]x", "[^]|]y"]
+    assert rules.pieces(r"participants?|CI\b|analy(?:zed|sis)|statistical\s+analysis", True) == (("analysis", "analyzed", "participant"), ())
+    assert rules.pieces("clinical trials?|p\\s*<", False)[1] == (((("<",),), "p\\s*<"),)
