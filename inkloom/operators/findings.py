@@ -119,8 +119,8 @@ def revision_diff(before: DataFrame, after: DataFrame) -> DataFrame:
     def keyed(checked: DataFrame, name: str) -> DataFrame:
         key = lambda x: F.struct(x["category"].alias("category"), F.trim(F.regexp_replace(F.lower(x["title"]), "[^a-z0-9]+", " ")).alias("key"), x["title"].alias("title"))
         each = F.transform(F.array_sort(F.transform(_f, lambda x: F.struct(x["seq"].alias("seq"), key(x).alias("x")))), lambda y: y["x"])
-        # the first finding of each category and key
-        return checked.select("doc_id", F.filter(each, lambda x, i: ~F.exists(F.slice(each, F.lit(1), i), lambda y: (y["category"] == x["category"]) & (y["key"] == x["key"]))).alias(name))
+        # the first finding of each category and key; the array is a column of its own, or it would be made again for each item
+        return checked.select("doc_id", each.alias("e")).select("doc_id", F.filter("e", lambda x, i: ~F.exists(F.slice("e", F.lit(1), i), lambda y: (y["category"] == x["category"]) & (y["key"] == x["key"]))).alias(name))
 
     both = keyed(before, "a").join(keyed(after, "b"), "doc_id", "full")
     none = F.array().cast("array<struct<category:string,key:string,title:string>>")
