@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from inkloom.functions import text as T
@@ -64,15 +64,36 @@ def passive_ratio(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.when(be > 0, F.round(be / F.greatest(verbs, F.lit(1)), 6)).otherwise(0.0).alias("passive_ratio"))
 
 
-def repeated_grams(docs: DataFrame, least: int = 4, most: int = 6, count: int = 2) -> DataFrame:
-    """doc_id, gram, n: runs of `least` to `most` words without a stop word that a document has `count` times or more."""
+def ids_of_several(docs: DataFrame) -> Column:
+    """Whether several rows have the row's doc_id; seldom true of others too, as ids are marked in a bitmap by their hash."""
+    bits = 8 * 4096
+    twice = docs.groupBy("doc_id").agg(F.count("*").alias("rows")).where("rows > 1").select(F.bitmap_construct_agg(F.pmod(F.xxhash64("doc_id"), F.lit(bits))).alias("bitmap"))
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(bits)).cast("int")
+    byte = F.conv(F.hex(F.substring(twice.scalar(), (F.shiftright(place, 3) + 1), F.lit(1))), 16, 10).cast("int")
+    return F.coalesce(byte.bitwiseAND(F.expr("shiftleft(1, cast(pmod(xxhash64(doc_id), 8) as int))")) != 0, F.lit(True))
+
+
+def repeated_grams(docs: DataFrame, least: int = 4, most: int = 6, count: int = 2, in_row: int = 1_000_000) -> DataFrame:
+    """doc_id, gram, n: runs of `least` to `most` words without a stop word that a document has `count` times or more.
+
+    A text of up to `in_row` signs whose doc_id no other row has is sorted out inside its row: only what it repeats is
+    shuffled. What other rows hold only once may be repeated in another row, so all of it is counted.
+    """
     # stop words become bars, so a text falls into runs without any, and only these are cut into grams
     barred = F.array_join(F.transform(T.lower_words("text"), lambda w: F.when(w.isin(list(T.GRAM_STOP)), "|").otherwise(w)), " ")
-    runs = docs.select("doc_id", F.explode_outer(F.split(barred, r"\|")).alias("run"))
-    runs = runs.select("doc_id", F.filter(F.split("run", " "), lambda w: w != "").alias("w")).where(F.size("w") >= least)
-    each = F.concat(*[T.grams(F.col("w"), n) for n in range(least, most + 1)])
-    g = runs.select("doc_id", F.explode_outer(each).alias("gram")).where(F.col("gram").isNotNull())
-    return g.groupBy("doc_id", "gram").agg(F.count("*").alias("n")).where(F.col("n") >= count)
+    words = lambda run: F.filter(F.split(run, " "), lambda w: w != "")
+    each = lambda w: F.concat(*[T.grams(w, n) for n in range(least, most + 1)])
+    alone = (F.length(T.text_of("text")) <= in_row) & ~ids_of_several(docs) if count > 1 else F.lit(False)
+
+    runs = docs.where(~alone).select("doc_id", F.explode_outer(F.split(barred, r"\|")).alias("run"))
+    runs = runs.select("doc_id", words(F.col("run")).alias("w")).where(F.size("w") >= least)
+    every = runs.select("doc_id", F.explode_outer(each(F.col("w"))).alias("gram")).where(F.col("gram").isNotNull())
+
+    own = docs.where(alone).select("doc_id", F.filter(F.transform(F.split(barred, r"\|"), words), lambda w: F.size(w) >= least).alias("w"))
+    own = own.where(F.size("w") > 0).select("doc_id", F.sort_array(F.flatten(F.transform("w", each))).alias("g"))
+    again = F.filter("g", lambda x, i: (x == F.get("g", i - 1)) | (x == F.get("g", i + 1)))
+    own = own.select("doc_id", F.explode_outer(again).alias("gram")).where(F.col("gram").isNotNull())
+    return every.unionByName(own).groupBy("doc_id", "gram").agg(F.count("*").alias("n")).where(F.col("n") >= count)
 
 
 def repetition_density(docs: DataFrame) -> DataFrame:

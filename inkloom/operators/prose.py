@@ -25,8 +25,10 @@ def measured(docs: DataFrame) -> DataFrame:
     be = F.regexp_count("text", F.lit(r"(?iU)\b(am|is|are|was|were|been|being|be)\s+(?:\w+\s+){0,3}(\w+ed|\w+en)\b"))
     verbs = F.regexp_count("text", F.lit(r"(?iU)\b\w+(?:ed|ing|es|s)\b"))
     m = T.mean(F.col("real"))
+    # numbers only, no arrays: the rows are shuffled where a density is joined
+    prose_n, runs, short = F.size("n").alias("prose_n"), F.size(F.filter("n", lambda x: x > 45)).alias("runs"), F.size(F.filter("n", lambda x: (x >= 1) & (x <= 3))).alias("short")
     return d.select(
-        "doc_id", "words", "n", (206.835 - 1.015 * F.col("ps") - 84.6 * F.col("pw")).alias("ease"), (0.39 * F.col("ps") + 11.8 * F.col("pw") - 15.59).alias("grade"),
+        "doc_id", "words", prose_n, runs, short, (206.835 - 1.015 * F.col("ps") - 84.6 * F.col("pw")).alias("ease"), (0.39 * F.col("ps") + 11.8 * F.col("pw") - 15.59).alias("grade"),
         F.when(be > 0, be / F.greatest(verbs, F.lit(1))).otherwise(0.0).alias("passive"),
         T.occurrences(F.col("text"), "!").alias("exclamation"), T.occurrences(F.col("text"), ";").alias("semicolon"),
         F.regexp_count("text", F.lit("[.!?][A-Za-z]")).alias("glued"), F.regexp_count("text", F.lit("[^ ]  +[^ ]")).alias("double_space"),
@@ -52,11 +54,10 @@ def with_density(numbers: DataFrame, density: DataFrame | None) -> DataFrame:
 def style_findings(docs: DataFrame, density: DataFrame | None = None) -> DataFrame:
     """doc_id, f: findings of texts of 30 words or more; density: metrics.repetition_density() of the same documents."""
     d = with_density(measured(docs), density)
-    runs, short = F.size(F.filter("n", lambda x: x > 45)), F.size(F.filter("n", lambda x: (x >= 1) & (x <= 3)))
     # Thresholds, severities and confidences.
     rules = (
         ("Medium", "Prose is very hard to read", 0.60, (F.col("grade") > 14) | (F.col("ease") < 25)), ("Low", "Heavy passive voice", 0.50, F.col("passive") > 0.35),
-        ("Medium", "Excessive run-on sentences", 0.70, (F.size("n") > 0) & (runs / F.greatest(F.size("n"), F.lit(1)) > 0.12)), ("Low", "Sentence fragments detected", 0.50, short > 3),
+        ("Medium", "Excessive run-on sentences", 0.70, (F.col("prose_n") > 0) & (F.col("runs") / F.greatest(F.col("prose_n"), F.lit(1)) > 0.12)), ("Low", "Sentence fragments detected", 0.50, F.col("short") > 3),
         ("Low", "Exclamation marks in academic text", 0.90, F.col("exclamation") > 0), ("Medium", "Missing space after punctuation", 0.90, F.col("glued") > 0),
         ("Low", "Double spaces detected", 0.90, F.col("double_space") > 0), ("Medium", "Repeated words (typos)", 0.90, F.col("repeated_words") > 0),
         ("Medium", "Informal / conversational language", 0.85, F.col("informal") > 0), ("Info", "Frequent hedging language", 0.60, F.col("hedges") > 0),

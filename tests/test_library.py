@@ -275,3 +275,39 @@ def test_patterns_are_split_only_at_their_outermost_bars():
     assert rules.alternatives(r"(a)|\1b") == [r"(a)|\1b"] and rules.alternatives("[]|]x|[^]|]y") == ["[]|]x", "[^]|]y"]
     assert rules.pieces(r"participants?|CI\b|analy(?:zed|sis)|statistical\s+analysis", True) == (("analysis", "analyzed", "participant"), ())
     assert rules.pieces("clinical trials?|p\\s*<", False)[1] == (((("<",),), "p\\s*<"),)
+
+
+def test_repeated_runs_are_counted_in_and_across_rows(spark):
+    from collections import Counter
+
+    a, b = "alpha beta gamma delta epsilon zeta eta", "one two three four five the one two three four five"
+    rows = [(1, a), (2, f"{a} and {a}"), (3, a), (3, f"the {a}"), (None, b), (None, a), (4, None), (5, ""), (6, "word " * 300), (7, a), (8, b)]
+    stop = set(metrics.T.GRAM_STOP)
+    counts = Counter()
+    for doc_id, text in rows:
+        w = (text or "").split()
+        counts.update((doc_id, " ".join(w[i : i + n])) for n in (4, 5, 6) for i in range(len(w) - n + 1) if not stop & set(w[i : i + n]))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for k in (1_000_000, 10):
+        got = {(r.doc_id, r.gram): r.n for r in metrics.repeated_grams(df, in_row=k).collect()}
+        assert got == {x: n for x, n in counts.items() if n >= 2}
+    assert {(r.doc_id, r.gram): r.n for r in metrics.repeated_grams(df, count=1).collect()} == dict(counts)
+    marked = {r.doc_id for r in df.where(metrics.ids_of_several(df)).collect()}
+    assert marked == {None, 3}
+
+
+def test_only_repeated_runs_are_shuffled(spark):
+    many = spark.range(400).select(F.col("id").alias("doc_id"), F.concat_ws(" ", F.transform(F.sequence(F.lit(0), F.lit(200)), lambda i: F.concat(F.lit("w"), F.col("id"), F.lit("x"), i))).alias("text"))
+    df = metrics.repeated_grams(many.union(spark.createDataFrame([(1000, "alpha beta gamma delta and alpha beta gamma delta")], "doc_id long, text string")))
+    assert [tuple(r) for r in df.collect()] == [(1000, "alpha beta gamma delta", 2)]
+    plan = df._jdf.queryExecution().executedPlan()
+    written = []
+
+    def walk(p):
+        for x in (*(p.children().apply(k) for k in range(p.children().size())), *([p.finalPhysicalPlan()] if p.nodeName() == "AdaptiveSparkPlan" else []), *([p.plan()] if p.nodeName().endswith("QueryStage") else [])):
+            walk(x)
+        if p.nodeName() == "Exchange":
+            written.append(p.metrics().apply("shuffleRecordsWritten").value())
+
+    walk(plan)
+    assert written and 1 <= sum(written) <= 2
