@@ -23,7 +23,6 @@ DEFAULT_FILE = "byte_bpe_50k.json"
 BYTE_LEVEL = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}
 #: The byte-level pre-tokenizer's pattern, in the syntax of the regex module (a fixed value).
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-SPACES = re.compile(r"\s ")
 SIMPLE_TAILS = frozenset(".,;:!?")
 MOST_PIECES, MOST_WORDS = 600_000, 300_000
 
@@ -46,6 +45,10 @@ def _byte_letters() -> dict[int, str]:
     return out
 
 
+class _Uncuttable(Exception):
+    """A space stands after other white space."""
+
+
 class _Memo(dict):
     """At most `most` entries; it starts anew when full."""
 
@@ -90,7 +93,9 @@ class Encoder:
         return array("I", [t.id for t in self.model.tokenize(letters)]).tobytes()
 
     def _piece(self, rest: str) -> bytes:
-        """Ids of a space and `rest`."""
+        """Ids of a space and `rest`, before which and after which the text may be cut."""
+        if not rest or rest[-1].isspace():
+            raise _Uncuttable
         if rest.isalpha():
             return self.words[" " + rest]
         if rest[-1:] in SIMPLE_TAILS and rest[:-1].isalpha():
@@ -107,10 +112,18 @@ class Encoder:
     def encode(self, text: str | None) -> bytes:
         if not text:
             return b""
-        if not self.cuttable or SPACES.search(text) or self.added and self.added(text):
+        if not self.cuttable or self.added and self.added(text):
             return self.whole(text)
         first, *rest = text.split(" ")
-        return self._cut(first) + b"".join(map(self.pieces.__getitem__, rest))
+        if not rest:
+            return self._cut(first)
+        last = rest.pop()
+        if first[-1:].isspace():
+            return self.whole(text)
+        try:
+            return self._cut(first) + b"".join(map(self.pieces.__getitem__, rest)) + (self._cut(f" {last}") if not last or last[-1].isspace() else self.pieces[last])
+        except _Uncuttable:
+            return self.whole(text)
 
 
 @lru_cache(maxsize=2)
