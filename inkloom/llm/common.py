@@ -7,6 +7,7 @@ No operator changes a setting of the caller's session. Spark bounds an Arrow bat
 from __future__ import annotations
 
 import atexit
+import sys
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -38,6 +39,13 @@ def in_slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iter
             yield b.slice(k, rows)
 
 
+def let_go() -> None:
+    """Drops the encoders (and their memos) that tokenising stages have left in a Python worker which is used again."""
+    tokens = sys.modules.get("inkloom.llm.tokens")
+    if tokens:
+        tokens.encoder.cache_clear()
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """A column name that df doesn't have yet (case doesn't matter): `name`, with as many underscores as it takes."""
     taken = {c.lower() for c in df.columns}

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from inkloom.llm import textvec
+from inkloom.llm import common, textvec
 
 
 def sigmoid(x):
@@ -48,6 +48,7 @@ class Space:
         return ids(text)
 
     def _pairs(self, block: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        common.let_go()
         tokens = textvec.Tokens(block, shapes=bool(self.shape_orders), words_only=self.words_only)
         return textvec.features(tokens, self.orders, self.shape_orders, self.bits, self.prefixes)
 

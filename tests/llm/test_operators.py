@@ -746,3 +746,24 @@ def test_deep_and_broken_pages():
     for page_ in ("<div>" * 20_000 + "deep", "<p>" * 5000 + "x", "<a href='x", "<!-- open", "</p></p>a<b", "<table><tr><td>1<td>2<tr><td>3</table>"):
         html.main_text(page_)
     assert text("<table><tr><td>1<td>2<tr><td>3</table>") == "1\n\n2\n\n3"
+
+
+def test_encoder_cuts_only_before_single_spaces():
+    from inkloom.llm import tokens
+
+    enc = tokens.Encoder(tokens.default_path())
+    called, whole = [], enc.whole
+    enc.whole = lambda t: called.append(t) or whole(t)
+    for t in ("", " ", " a", "a ", "a\n", "\n", "don't  ", " a b ", "a b\t", "a b.", "  ", "a  b", "a\n b", " \n x", "x\t y z ", "a\u3000 b", "a b  ", "\n a"):
+        assert enc.encode(t) == (whole(t) if t else b""), repr(t)
+    assert called[-7:] == ["a  b", "a\n b", " \n x", "x\t y z ", "a\u3000 b", "a b  ", "\n a"]
+    assert not {" a", "a ", "a\n", "a b\t", "a b."} & set(called)
+
+
+def test_features_drop_the_encoders_of_a_reused_worker():
+    from inkloom.llm import tokens
+    from inkloom.llm.linear import Space
+
+    tokens.encoder(tokens.default_path())
+    Space().rows(["some words"])
+    assert tokens.encoder.cache_info().currsize == 0
