@@ -1,10 +1,10 @@
 """Checks as data: a rule fires when its patterns are found, or aren't, as it says.
 
-All rules of a run are evaluated together. A text is read once for the strings that matches of their patterns must hold
-(one regular expression, a trie of them all). After that a pattern is searched for one alternative at a time: one that is
-a few plain strings is decided by the strings found, any other by its regular expression, in texts that hold all strings
-that a match must hold. Each distinct first pattern of a rule is searched once for each text, and the others only in texts
-where it was found.
+All rules of a run are evaluated together. A batch of texts is read once for the strings that matches of their patterns
+must hold, and for words and tokens (strings.summary(), a numeric kernel). After that a pattern is searched for one
+alternative at a time: one that is a few plain strings is decided by the strings found, any other by its regular expression,
+in texts that hold all strings that a match must hold. Each distinct first pattern of a rule is searched once for each text,
+and the others only in texts where it was found.
 """
 
 from __future__ import annotations
@@ -14,9 +14,13 @@ from collections.abc import Iterable, Sequence
 from dataclasses import dataclass
 from functools import lru_cache
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from inkloom.functions import strings as S
 from inkloom.functions import text as T
 
 
@@ -179,37 +183,27 @@ def quoted(s: str) -> str:
     return "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
+@lru_cache(maxsize=8)
+def _places(known: tuple[str, ...]) -> dict[str, int]:
+    return {s: k for k, s in enumerate(known)}
+
+
+def masks(strings: Iterable[str], known: Sequence[str]) -> list[tuple[int, int]]:
+    """(number, bits): where strings.summary() marks the strings."""
+    place, out = _places(tuple(known)), {}
+    for s in strings:
+        k = place[s.lower()]
+        out[k // S.BITS] = out.get(k // S.BITS, 0) | 1 << k % S.BITS
+    return sorted(out.items())
+
+
 def any_of(column: str, strings: Iterable[str], known: Sequence[str]) -> str:
-    """SQL: whether the column holds any of the strings. `hits` holds, for each place of the lower-cased text where one of
-    the `known` strings starts, the longest of them; so a string is there where it or a longer one that starts with it is.
-    """
+    """SQL: whether the column holds any of the strings, all of which are among the `known` ones (in lower case)."""
     strings = tuple(strings)
-    low = tuple(s.lower() for s in strings)
-    longer = [k for k in known if k.startswith(low)]
-    there = f"array_contains(hits, {quoted(longer[0])})" if len(longer) == 1 else f"arrays_overlap(hits, array({', '.join(map(quoted, longer))}))"
+    there = " or ".join(f"(hits[{2 + n}] & {mask}L) != 0" for n, mask in masks(strings, known))
     if column == "low":
-        return there
-    return f"({there} and ({' or '.join(f'contains({column}, {quoted(x)})' for x in strings)}))"
-
-
-def trie(strings: Iterable[str]) -> str:
-    """A regular expression for the longest of the strings that starts at a place."""
-    def of(group: list[str]) -> str:
-        heads: dict[str, list[str]] = {}
-        for s in group:
-            if s:
-                heads.setdefault(s[0], []).append(s[1:])
-        each = [(c, re.escape(c) + of(rest)) for c, rest in sorted(heads.items())]
-        if not each:
-            return ""
-        if len(each) > 8:  # first the character's part of the alphabet: alternatives are tried one after another
-            parts = [each[k : k + 6] for k in range(0, len(each), 6)]
-            body = "|".join(f"(?=[{''.join(re.escape(c) for c, _ in part)}])(?:{'|'.join(x for _, x in part)})" for part in parts)
-        else:
-            body = "|".join(x for _, x in each)
-        return f"(?:{body})?" if "" in group else f"(?:{body})" if len(each) > 1 else body
-
-    return of(sorted(set(strings)))
+        return f"({there})"
+    return f"(({there}) and ({' or '.join(f'contains({column}, {quoted(x.strip(S.EDGE))})' for x in strings)}))"
 
 
 def alternatives(pattern: str) -> list[str]:
@@ -296,6 +290,18 @@ def held(items: Iterable, most: int = 24) -> list[set[str]]:
     return [x for x in (*out, run) if x and "" not in x]
 
 
+def whole(items: Sequence) -> set[str] | None:
+    """All strings that a parsed pattern matches, word bounds at its ends marked by strings.EDGE; None: not known."""
+    from re import _constants as C
+
+    bound = [items[k][0] is C.AT and items[k][1] is C.AT_BOUNDARY for k in (0, -1)] if len(items) > 1 else [False, False]
+    inner = spelled(items[bound[0] : len(items) - bound[1]])
+    if not any(bound) or inner is None:
+        return None
+    sign = lambda c: re.fullmatch("[A-Za-z0-9_]", c)
+    return {S.EDGE * bool(bound[0] and sign(x[0])) + x + S.EDGE * bool(bound[1] and sign(x[-1])) for x in inner if x} if "" not in inner else None
+
+
 def rarity(strings: Iterable[str]) -> float:
     """The higher, the fewer texts are likely to hold one of the strings."""
     return min((min(len(s), 6) + 2 * (not (s.isalnum() and s.isascii()) and s not in " .,-\n\t") for s in strings), default=0) - 0.05 * len(list(strings))
@@ -324,7 +330,8 @@ def pieces(pattern: str, lower: bool) -> tuple[tuple[str, ...], tuple[tuple[tupl
         if strings is not None:
             plain |= possible(strings)
             continue
-        sets = [possible(x) for x in held(items)]
+        bounded = whole(items)
+        sets = [possible(x) for x in held(items)] if bounded is None else [possible(bounded)]
         if all(sets):
             sets = sorted(filter(lambda x: rarity(x) > 2, map(shortest, sets)), key=rarity, reverse=True)[:3]
             others.append((tuple(map(tuple, sets)), part))
@@ -334,21 +341,27 @@ def pieces(pattern: str, lower: bool) -> tuple[tuple[str, ...], tuple[tuple[tupl
 
 
 def hits(known: Sequence[str]) -> Column:
-    """The column `hits` that any_of() asks, of the column low."""
-    return F.array_distinct(F.regexp_extract_all("low", F.lit(f"(?=({trie(known)}))"), F.lit(1)))
+    """The column `hits` that any_of() asks, of the column low: its words, its tokens, and a bit for each known string."""
+    strings = tuple(known)
+
+    @F.arrow_udf("array<long>")
+    def summary(low: pa.Array) -> pa.Array:
+        return S.summary(low, strings)
+
+    return summary("low")
 
 
 def known_strings(rules: Sequence[Rule]) -> tuple[str, ...]:
-    """All strings, in lower case, that found() and matches() ask for."""
-    out = set()
+    """All strings, in lower case, that found() and matches() ask for. Those asked for together stand together."""
+    out = {}
     for r in rules:
-        for pattern in (*r.need, *r.lack, *r.distinct, *(p for u in r.unless for p in u)):
+        for pattern in _asked(r):
             column, p = subject(pattern)
             strings, others = pieces(p, column == "low")
-            out |= {*strings, *(s for sets, _ in others for x in sets for s in x)}
+            out |= dict.fromkeys(s.lower() for s in (*strings, *(s for sets, _ in others for x in sets for s in x)))
         for pattern in (p for c in r.counts for p in c[0]):
-            out |= set(literals(subject(pattern)[1]))
-    return tuple(sorted({s.lower() for s in out}))
+            out |= dict.fromkeys(s.lower() for s in literals(subject(pattern)[1]))
+    return tuple(out)
 
 
 def found(pattern: str, known: Sequence[str]) -> str:
@@ -362,57 +375,177 @@ def found(pattern: str, known: Sequence[str]) -> str:
     return f"({' or '.join(each) or 'false'})"
 
 
-def matches(patterns: Sequence[str], known: Sequence[str]) -> str:
-    """SQL: matches of all patterns together."""
-    out = []
-    for pattern in patterns:
+class Evaluation:
+    """Rules as numeric kernels over a batch of texts: what strings leave open is asked of regular expressions in between."""
+
+    def __init__(self, rules: Sequence[Rule]):
+        self.rules, self.known = tuple(rules), known_strings(rules)
+        self.expressions: dict[str, dict[str, int]] = {"low": {}, "text": {}}
+        self.counted: dict[str, dict[str, int]] = {"low": {}, "text": {}}
+        self.patterns: dict[str, tuple] = {}
+        for r in self.rules:
+            for p in _asked(r):
+                self.patterns.setdefault((type(p), p), self._pattern(p))
+            for p in (p for c in r.counts for p in c[0]):
+                column, q = subject(p)
+                self.counted[column].setdefault(unicode_bounds(q), len(self.counted[column]))
+
+    def _pattern(self, pattern: str) -> tuple:
+        """(column, strings that decide, ((sets of strings, expression), ...)); strings are never enough for the text as it is."""
         column, p = subject(pattern)
-        n, some = f"regexp_count({column}, {quoted(unicode_bounds(p))})", literals(p)
-        out.append(f"case when {any_of(column, some, known)} then {n} else 0 end" if some else n)
-    return f"({' + '.join(out)})"
-
-
-def condition(r: Rule, first: dict[str, int], known: Sequence[str]) -> str:
-    """SQL: whether a rule fires on a row with low, text, hits, filled, n_words, n_tokens and `first`, the first patterns' hits."""
-    hit = ["filled"]
-    hit += [f"n_words >= {r.least_words}"] * bool(r.least_words) + [f"n_tokens >= {r.least_tokens}"] * bool(r.least_tokens)
-    hit += [f"first[{first[p]}]" for p in r.need[:1]] + [found(p, known) for p in r.need[1:]]
-    hit += [f"not {found(p, known)}" for p in r.lack] + [f"not ({found(a, known)} and not {found(b, known)})" for a, b in r.unless]
-    for k, (patterns, least) in enumerate(r.counts):
-        n = matches(patterns, known)
-        hit.append(f"{n} >= {least}")
-        if k == 0 and r.count_most is not None:
-            hit.append(f"{n} <= {r.count_most}")
-        if k == 0 and r.per_1000 is not None:
-            hit.append(f"{n} * 1000.0D > n_words * {r.per_1000}D")
-    if r.distinct:
-        hit.append(f"({' + '.join(f'cast({found(p, known)} as int)' for p in r.distinct)}) < {r.fewer}")
-    return " and ".join(hit)
-
-
-def compiled(rules: Sequence[Rule], first: dict[str, int], known: Sequence[str]) -> Column:
-    """array<struct> of the rules that fire. It is parsed from SQL, as thousands of calls to the JVM take far longer."""
-    def one(seq: int, r: Rule) -> str:
-        title = quoted(r.title)
-        if "{n}" in r.title:
-            a, b = r.title.split("{n}")
-            title = f"concat({quoted(a)}, cast({matches(r.counts[0][0], known)} as string), {quoted(b)})"
-        fields = f"'seq', {seq}, 'category', {quoted(r.category)}, 'severity', {quoted(r.severity)}, 'title', {title}, 'confidence', {r.confidence}D, 'action', {quoted(r.action)}"
-        return f"case when {condition(r, first, known)} then named_struct({fields}) end"
-
-    return F.expr(f"array_compact(array({', '.join(one(k, r) for k, r in enumerate(rules))}))")
+        strings, others = pieces(p, column == "low")
+        flags = unicode_bounds(p)[: -len(p)]
+        others = [(sets, flags + part) for sets, part in others]
+        if column == "text" and strings:
+            others.append(((strings,), "|".join(map(re.escape, strings))))
+        number = self.expressions[column]
+        parts = tuple((tuple(masks(x, self.known) for x in sets), number.setdefault(part, len(number))) for sets, part in others)
+        return column, masks(strings, self.known) if column == "low" else [], parts
+
+    def open(self, hits: np.ndarray, filled: np.ndarray) -> dict[str, np.ndarray]:
+        """For each text the expressions to search ("low", "text") and to count ("n_low", "n_text"): matrices of booleans."""
+        n = len(hits)
+        out = {c: np.zeros((n, len(x)), bool) for c, x in self.expressions.items()} | {f"n_{c}": np.zeros((n, len(x)), bool) for c, x in self.counted.items()}
+        seen: dict = {}
+        for r in self.rules:
+            may = self._may(r, hits, filled, seen)
+            if not may.any():
+                continue
+            for p in _asked(r):
+                column, sure, parts, _ = self._looked(p, hits, seen)
+                for guard, k in parts:
+                    out[column][:, k] |= may & guard & ~sure
+            for p in (p for c in r.counts for p in c[0]):
+                column, q = subject(p)
+                some = literals(q)
+                out[f"n_{column}"][:, self.counted[column][unicode_bounds(q)]] |= may & (_any(hits, masks(some, self.known)) if some else True)
+        return out
+
+    def _looked(self, p: str, hits: np.ndarray, seen: dict) -> tuple:
+        """(column, found for sure, ((guard, expression), ...), possibly found), by the strings alone."""
+        key = (type(p), p)
+        if key not in seen:
+            column, strings, parts = self.patterns[key]
+            sure = _any(hits, strings)
+            guards = [(np.logical_and.reduce([np.ones(len(hits), bool), *(_any(hits, x) for x in sets)]), k) for sets, k in parts]
+            seen[key] = column, sure, guards, np.logical_or.reduce([sure, *(g for g, _ in guards)])
+        return seen[key]
+
+    def _may(self, r: Rule, hits: np.ndarray, filled: np.ndarray, seen: dict) -> np.ndarray:
+        look = lambda p: self._looked(p, hits, seen)
+        may = filled & (hits[:, 0] >= r.least_words) & (hits[:, 1] >= r.least_tokens)
+        for p in r.need:
+            may = may & look(p)[3]
+        for p in r.lack:
+            may = may & ~look(p)[1]
+        for a, b in r.unless:
+            may = may & ~(look(a)[1] & ~look(b)[3])
+        return may
+
+    def fired(self, hits: np.ndarray, filled: np.ndarray, there: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """(texts x rules booleans, the first counts); there: results in the order of open()."""
+        seen, exact = {}, {}
+
+        def found(p: str) -> np.ndarray:
+            key = (type(p), p)
+            if key not in exact:
+                column, sure, parts, _ = self._looked(p, hits, seen)
+                exact[key] = np.logical_or.reduce([sure, *(there[column][:, k].astype(bool) for _, k in parts)])
+            return exact[key]
+
+        def matches(patterns: Sequence[str]) -> np.ndarray:
+            each = [subject(p) for p in patterns]
+            return sum(there[f"n_{column}"][:, self.counted[column][unicode_bounds(q)]] for column, q in each)
+
+        fires, first = np.zeros((len(hits), len(self.rules)), bool), np.zeros((len(hits), len(self.rules)), np.int64)
+        for k, r in enumerate(self.rules):
+            hit = self._may(r, hits, filled, seen)
+            if not hit.any():
+                continue
+            for p in r.need:
+                hit = hit & found(p)
+            for p in r.lack:
+                hit = hit & ~found(p)
+            for a, b in r.unless:
+                hit = hit & ~(found(a) & ~found(b))
+            for j, (patterns, least) in enumerate(r.counts):
+                n = matches(patterns)
+                hit = hit & (n >= least)
+                if j == 0:
+                    first[:, k] = n
+                    hit = hit & (n <= r.count_most) if r.count_most is not None else hit
+                    hit = hit & (n * 1000.0 > hits[:, 0] * r.per_1000) if r.per_1000 is not None else hit
+            if r.distinct:
+                hit = hit & (sum(found(p).astype(int) for p in r.distinct) < r.fewer)
+            fires[:, k] = hit
+        return fires, first
+
+
+def _asked(r: Rule) -> tuple[str, ...]:
+    return (*r.need, *r.lack, *r.distinct, *(p for u in r.unless for p in u))
+
+
+def _any(hits: np.ndarray, masks: Sequence[tuple[int, int]]) -> np.ndarray:
+    return np.logical_or.reduce([np.zeros(len(hits), bool), *((hits[:, 2 + n] & mask) != 0 for n, mask in masks)])
+
+
+@lru_cache(maxsize=8)
+def evaluation(rules: tuple[Rule, ...]) -> Evaluation:
+    return Evaluation(rules)
+
+
+def _lists(rows: np.ndarray, values: np.ndarray) -> pa.Array:
+    """A list for each row of a matrix of booleans: the values at its true places, in their order."""
+    return pa.ListArray.from_arrays(pa.array(np.append(0, rows.sum(1).cumsum()), pa.int32()), pa.array(values, pa.int32()))
+
+
+def _matrix(lists: pa.Array, width: int | None = None) -> np.ndarray:
+    return lists.flatten().to_numpy(zero_copy_only=False).reshape(len(lists), width or -1)
+
+
+_KINDS = ("low", "text", "n_low", "n_text")
 
 
 def checked(docs: DataFrame, rules: Sequence[Rule] | None = None) -> DataFrame:
     """doc_id, f: one row for each of docs, with the array of its findings (seq, category, severity, title, confidence, action)."""
-    rules = rules or all_rules()
-    first = {p: k for k, p in enumerate(dict.fromkeys(r.need[0] for r in rules if r.need))}
-    known = known_strings(rules)
+    rules = tuple(rules or all_rules())
+    ev = evaluation(rules)
+    width = 2 + -(-len(ev.known) // S.BITS)
+
+    @F.arrow_udf("hits array<long>, " + ", ".join(f"{k} array<int>" for k in _KINDS))
+    def look(low: pa.Array) -> pa.Array:
+        e = evaluation(rules)
+        hits = S.summary(low, e.known)
+        todo = e.open(_matrix(hits, width), pa.compute.binary_length(low).to_numpy(zero_copy_only=False) > 0)
+        return pa.StructArray.from_arrays([hits, *(_lists(todo[k], np.nonzero(todo[k])[1]) for k in _KINDS)], ["hits", *_KINDS])
+
+    @F.arrow_udf("array<struct<seq int, n long>>")
+    def decide(filled: pa.Array, looked: pa.Array, low: pa.Array, text: pa.Array, n_low: pa.Array, n_text: pa.Array) -> pa.Array:
+        e, there = evaluation(rules), {}
+        for k, results in zip(_KINDS, (low, text, n_low, n_text)):
+            numbers = looked.field(k)
+            there[k] = np.zeros((len(looked), len((e.counted if k.startswith("n_") else e.expressions)[k.removeprefix("n_")])), np.int64)
+            rows = np.repeat(np.arange(len(looked)), numbers.value_lengths().to_numpy(zero_copy_only=False))
+            there[k][rows, numbers.flatten().to_numpy(zero_copy_only=False)] = results.flatten().to_numpy(zero_copy_only=False)
+        fires, n = e.fired(_matrix(looked.field("hits"), width), filled.to_numpy(zero_copy_only=False), there)
+        at = np.nonzero(fires)
+        found = pa.StructArray.from_arrays([pa.array(at[1], pa.int32()), pa.array(n[at])], ["seq", "n"])
+        return pa.ListArray.from_arrays(pa.array(np.append(0, fires.sum(1).cumsum()), pa.int32()), found)
+
+    def asked(kind: str) -> Column:
+        column, counts = kind.removeprefix("n_"), kind.startswith("n_")
+        known = (ev.counted if counts else ev.expressions)[column]
+        each = F.array(*map(F.lit, known)) if known else F.array(F.lit(""))
+        one = lambda i: F.regexp_count(column, F.get(each, i)) if counts else F.rlike(F.col(column), F.get(each, i))
+        return F.transform(f"looked.{kind}", one).alias(kind + "_")
+
     d = docs.select("doc_id", T.text_of("text").alias("text")).select("doc_id", "text", F.lower("text").alias("low"))
-    counts = (F.col("low") != "").alias("filled"), F.regexp_count("low", F.lit(T.WORD)).alias("n_words"), F.regexp_count("low", F.lit(r"\S+")).alias("n_tokens")
-    d = d.select("doc_id", "text", "low", *counts, hits(known).alias("hits"))
-    d = d.select("*", F.expr(f"array({', '.join(found(p, known) for p in first)})").alias("first"))
-    return d.select("doc_id", compiled(rules, first, known).alias("f"))
+    d = d.select("doc_id", "text", "low", look("low").alias("looked"))
+    d = d.select("doc_id", (F.col("low") != "").alias("filled"), "looked", *map(asked, _KINDS))
+    d = d.select("doc_id", decide("filled", "looked", *(k + "_" for k in _KINDS)).alias("x"))
+    of = lambda name, x: F.get(F.array(*[F.lit(getattr(r, name)) for r in rules]), x["seq"]).alias(name)
+    title = lambda x: F.replace(of("title", x), F.lit("{n}"), x["n"].cast("string")).alias("title")
+    return d.select("doc_id", F.transform("x", lambda x: F.struct(x["seq"].alias("seq"), of("category", x), of("severity", x), title(x), of("confidence", x), of("action", x))).alias("f"))
 
 
 def findings(docs: DataFrame, rules: Sequence[Rule] | None = None) -> DataFrame:

@@ -311,3 +311,60 @@ def test_only_repeated_runs_are_shuffled(spark):
 
     walk(plan)
     assert written and 1 <= sum(written) <= 2
+
+
+def test_strings_words_and_tokens_are_found_in_whole_batches(monkeypatch):
+    import random
+    import re
+
+    import pyarrow as pa
+
+    from inkloom.functions import strings
+    from inkloom.functions.text import WORD
+
+    some, edge = random.Random(3), strings.EDGE
+    for chunk in (7, 64, 1 << 21):
+        monkeypatch.setattr(strings, "_CHUNK", chunk)
+        for _ in range(40):
+            make = lambda least, most: "".join(some.choice("ab-' é\n_1") for _ in range(some.randint(least, most)))
+            texts = [make(0, 60) for _ in range(some.randint(0, 12))]
+            known = tuple({some.choice(("", edge)) + make(1, 11) + some.choice(("", edge)) for _ in range(70)})
+            got = strings.summary(pa.array(["zz", *texts, "b"]).slice(1, len(texts)), known).to_pylist()
+            want = [[bool(re.search(("(?<![A-Za-z0-9_])" if s[0] == edge else "") + re.escape(s.strip(edge)) + ("(?![A-Za-z0-9_])" if s[-1] == edge else ""), t)) for s in known] for t in texts]
+            assert [[bool(g[2 + k // strings.BITS] >> k % strings.BITS & 1) for k in range(len(known))] for g in got] == want
+            assert [g[:2] for g in got] == [[len(re.findall(WORD, t)), len(re.findall(r"\S+", t))] for t in texts]
+
+
+def test_rules_fire_as_their_patterns_say_whatever_the_batch(spark):
+    """Every rule against its patterns, searched one by one in the texts; and a rule's expression costs no code per task."""
+    texts = [x[0] for x in EXPECTED] + [*manuscripts_notes(), "f. m; sex ci, R01AB12 K99CA. PHI", "novel " * 200, "we proposed x. p<.05", "", " "]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    checked = rules.checked(df)
+    got = {(r.doc_id, x.seq): x.title for r in checked.collect() for x in r.f}
+    each = rules.all_rules()
+    asked = sorted({(*rules.subject(p), type(p).__name__, p) for r in each for p in (*r.need, *r.lack, *r.distinct, *(x for u in r.unless for x in u), *(x for c in r.counts for x in c[0]))})
+    there = {}
+    for k in range(0, len(asked), 100):
+        some = asked[k : k + 100]
+        cols = [f"regexp_count({column}, {rules.quoted(rules.unicode_bounds(p))})" for column, p, _, _ in some]
+        for r in df.withColumn("low", F.lower("text")).selectExpr("doc_id", f"array({', '.join(cols)}) as n").collect():
+            there |= {(r.doc_id, kind, p): n for (_, _, kind, p), n in zip(some, r.n)}
+    sizes = {r.doc_id: r for r in df.selectExpr("doc_id", f"regexp_count(lower(text), {rules.quoted(rules.T.WORD)}) as w", r"regexp_count(text, '\\S+') as t").collect()}
+    want = {}
+    for i, t in enumerate(texts):
+        n = lambda p: there[i, type(p).__name__, p]  # noqa: B023, E731
+        for k, r in enumerate(each):
+            counts = [sum(map(n, ps)) for ps, _ in r.counts]
+            ok = t != "" and sizes[i].w >= r.least_words and sizes[i].t >= r.least_tokens and all(map(n, r.need)) and not any(map(n, r.lack)) and not any(n(a) and not n(b) for a, b in r.unless)
+            ok = ok and all(c >= least for c, (_, least) in zip(counts, r.counts)) and (r.count_most is None or counts[0] <= r.count_most)
+            ok = ok and (r.per_1000 is None or counts[0] * 1000.0 > sizes[i].w * r.per_1000) and (not r.distinct or sum(map(bool, map(n, r.distinct))) < r.fewer)
+            if ok:
+                want[i, k] = r.title.replace("{n}", str(counts[0] if counts else ""))
+    assert got == want
+    assert len(checked._jdf.queryExecution().optimizedPlan().toString()) < 400_000
+
+
+def manuscripts_notes():
+    from inkloom.plans.manuscript_queries import NOTES
+
+    return NOTES
