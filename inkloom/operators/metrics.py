@@ -64,41 +64,72 @@ def passive_ratio(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.when(be > 0, F.round(be / F.greatest(verbs, F.lit(1)), 6)).otherwise(0.0).alias("passive_ratio"))
 
 
-def ids_of_several(docs: DataFrame) -> Column:
-    """Whether several rows have the row's doc_id; seldom true of others too, as ids are marked in a bitmap by their hash."""
+def ids_where(docs: DataFrame, condition: Column) -> Column:
+    """Whether the rows of the row's doc_id fulfil a condition on their aggregates; seldom true of others too, as ids are
+    marked in a bitmap by their hash.
+    """
     bits = 8 * 4096
-    twice = docs.groupBy("doc_id").agg(F.count("*").alias("rows")).where("rows > 1").select(F.bitmap_construct_agg(F.pmod(F.xxhash64("doc_id"), F.lit(bits))).alias("bitmap"))
+    ids = docs.groupBy("doc_id").agg(condition.alias("so")).where("so").select(F.bitmap_construct_agg(F.pmod(F.xxhash64("doc_id"), F.lit(bits))).alias("bitmap"))
     place = F.pmod(F.xxhash64("doc_id"), F.lit(bits)).cast("int")
-    byte = F.conv(F.hex(F.substring(twice.scalar(), (F.shiftright(place, 3) + 1), F.lit(1))), 16, 10).cast("int")
+    byte = F.conv(F.hex(F.substring(ids.scalar(), (F.shiftright(place, 3) + 1), F.lit(1))), 16, 10).cast("int")
     return F.coalesce(byte.bitwiseAND(F.expr("shiftleft(1, cast(pmod(xxhash64(doc_id), 8) as int))")) != 0, F.lit(True))
 
 
-def repeated_grams(docs: DataFrame, least: int = 4, most: int = 6, count: int = 2, in_row: int = 1_000_000) -> DataFrame:
-    """doc_id, gram, n: runs of `least` to `most` words without a stop word that a document has `count` times or more.
+def ids_of_several(docs: DataFrame) -> Column:
+    """Whether several rows have the row's doc_id; seldom true of others too."""
+    return ids_where(docs, F.count("*") > 1)
+
 
-    A text of up to `in_row` signs whose doc_id no other row has is sorted out inside its row: only what it repeats is
-    shuffled. What other rows hold only once may be repeated in another row, so all of it is counted.
+def _grams_by_way(docs: DataFrame, least: int, most: int, count: int, in_row: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Of each document by one of three ways its runs: (doc_id, gram) one by one for documents over `in_row` signs; in the
+    row, as an array r of (gram, n) with n of `count` or more, for those of one row, and for those of several rows, whose
+    texts are first brought together.
     """
     # stop words become bars, so a text falls into runs without any, and only these are cut into grams
     barred = F.array_join(F.transform(T.lower_words("text"), lambda w: F.when(w.isin(list(T.GRAM_STOP)), "|").otherwise(w)), " ")
     words = lambda run: F.filter(F.split(run, " "), lambda w: w != "")
     each = lambda w: F.concat(*[T.grams(w, n) for n in range(least, most + 1)])
-    alone = (F.length(T.text_of("text")) <= in_row) & ~ids_of_several(docs) if count > 1 else F.lit(False)
+    small = ~ids_where(docs, F.sum(F.length(T.text_of("text"))) > in_row) if count > 1 else F.lit(False)
+    several = ids_of_several(docs)
 
-    runs = docs.where(~alone).select("doc_id", F.explode_outer(F.split(barred, r"\|")).alias("run"))
+    runs = docs.where(~small).select("doc_id", F.explode_outer(F.split(barred, r"\|")).alias("run"))
     runs = runs.select("doc_id", words(F.col("run")).alias("w")).where(F.size("w") >= least)
     every = runs.select("doc_id", F.explode_outer(each(F.col("w"))).alias("gram")).where(F.col("gram").isNotNull())
 
-    own = docs.where(alone).select("doc_id", F.filter(F.transform(F.split(barred, r"\|"), words), lambda w: F.size(w) >= least).alias("w"))
-    own = own.where(F.size("w") > 0).select("doc_id", F.sort_array(F.flatten(F.transform("w", each))).alias("g"))
-    again = F.filter("g", lambda x, i: (x == F.get("g", i - 1)) | (x == F.get("g", i + 1)))
-    own = own.select("doc_id", F.explode_outer(again).alias("gram")).where(F.col("gram").isNotNull())
-    return every.unionByName(own).groupBy("doc_id", "gram").agg(F.count("*").alias("n")).where(F.col("n") >= count)
+    def counted(rows: DataFrame) -> DataFrame:
+        w = rows.select("doc_id", F.filter(F.transform(F.split("runs", r"\|"), words), lambda w: F.size(w) >= least).alias("w")).where(F.size("w") > 0)
+        g = w.select("doc_id", F.sort_array(F.flatten(F.transform("w", each))).alias("g"))
+        first = F.array_compact(F.transform("g", lambda x, i: F.when((i == 0) | (x != F.get("g", i - 1)), i)))
+        n = lambda i, k: (F.coalesce(F.get("first", k + 1), F.size("g")) - i).cast("long").alias("n")
+        r = g.select("doc_id", "g", first.alias("first")).select("doc_id", F.transform("first", lambda i, k: F.struct(F.get("g", i).alias("gram"), n(i, k))).alias("r"))
+        return r.select("doc_id", F.filter("r", lambda x: x["n"] >= count).alias("r"))
+
+    long_runs = F.array_join(F.filter(F.split(barred, r"\|"), lambda run: F.size(words(run)) >= least), "|")
+    together = docs.where(small & several).select("doc_id", long_runs.alias("runs")).where("runs != ''").groupBy("doc_id").agg(F.array_join(F.collect_list("runs"), "|").alias("runs"))
+    return every, counted(docs.where(small & ~several).select("doc_id", barred.alias("runs"))), counted(together)
+
+
+def repeated_grams(docs: DataFrame, least: int = 4, most: int = 6, count: int = 2, in_row: int = 1_000_000) -> DataFrame:
+    """doc_id, gram, n: runs of `least` to `most` words without a stop word that a document has `count` times or more.
+
+    A document of up to `in_row` signs is sorted out inside one row: only what it repeats is shuffled, or its texts once if
+    several rows have its doc_id. Of longer documents every run is shuffled and counted.
+    """
+    every, alone, together = _grams_by_way(docs, least, most, count, in_row)
+    rows = lambda d: d.select("doc_id", F.explode_outer("r").alias("r")).where(F.col("r").isNotNull()).select("doc_id", "r.gram", "r.n")
+    summed = every.withColumn("n", F.lit(1).cast("long")).unionByName(rows(alone)).groupBy("doc_id", "gram").agg(F.sum("n").alias("n")).where(F.col("n") >= count)
+    return summed.unionByName(rows(together))
 
 
 def repetition_density(docs: DataFrame) -> DataFrame:
     """Share of surplus occurrences among repeated runs, for documents that have any."""
-    return repeated_grams(docs).groupBy("doc_id").agg(F.round((F.sum("n") - F.count("*")) / F.sum("n"), 6).alias("density"))
+    every, alone, together = _grams_by_way(docs, 4, 6, 2, 1_000_000)
+    summed = every.groupBy("doc_id", "gram").agg(F.count("*").alias("n")).where("n >= 2").groupBy("doc_id").agg(F.sum("n").alias("all"), F.count("*").alias("kinds"))
+    total = F.aggregate("r", F.lit(0).cast("long"), lambda a, x: a + x["n"])
+    sums = F.struct(total.alias("all"), F.size("r").cast("long").alias("kinds"))
+    # an outer explode: a condition on the array itself would be pushed down into it and evaluated for each item
+    in_row = alone.unionByName(together).select("doc_id", F.explode_outer(F.array(F.when(F.size("r") > 0, sums))).alias("s")).where(F.col("s").isNotNull()).select("doc_id", "s.*")
+    return summed.unionByName(in_row).select("doc_id", F.round((F.col("all") - F.col("kinds")) / F.col("all"), 6).alias("density"))
 
 
 def acronyms(docs: DataFrame) -> DataFrame:

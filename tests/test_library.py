@@ -368,3 +368,21 @@ def manuscripts_notes():
     from inkloom.plans.manuscript_queries import NOTES
 
     return NOTES
+
+
+def test_documents_of_several_rows_are_brought_together_before_they_are_cut_into_runs(spark):
+    text = lambda i: F.concat_ws(" ", F.transform(F.sequence(F.lit(0), F.lit(200)), lambda k: F.concat(F.lit("w"), i, F.lit("x"), k)))
+    docs = spark.range(40).select((F.col("id") % 20).alias("doc_id"), text(F.col("id")).alias("text"))
+    df = metrics.repeated_grams(docs.union(docs.where("doc_id = 3")))
+    assert {(r.doc_id, r.n) for r in df.collect()} == {(3, 2)} and df.count() == 2 * (198 + 197 + 196)
+    assert [tuple(r) for r in metrics.repetition_density(docs.union(docs.where("doc_id = 3"))).collect()] == [(3, 0.5)]
+    written = []
+
+    def walk(p):
+        for x in (*(p.children().apply(k) for k in range(p.children().size())), *([p.finalPhysicalPlan()] if p.nodeName() == "AdaptiveSparkPlan" else []), *([p.plan()] if p.nodeName().endswith("QueryStage") else [])):
+            walk(x)
+        if p.nodeName() == "Exchange":
+            written.append(p.metrics().apply("shuffleRecordsWritten").value())
+
+    walk(df._jdf.queryExecution().executedPlan())
+    assert 20 <= sum(written) <= 42
