@@ -7,6 +7,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 
 #: Marks an end of a string that no ASCII word sign may touch.
 EDGE = "\0"
@@ -52,24 +53,44 @@ class Finder:
                 likely[_hashed(codes)] = True
                 self.by_length.append((np.uint32((1 << 8 * size) - 1), likely, codes, np.append(first, len(own)), np.array([k for _, k in own])))
 
+        # whether a string of one or two bytes may start with two bytes, and a longer one with three (hashed)
+        self.short, self.long = np.zeros(1 << 16, bool), np.zeros(1 << 17, bool)
+        for b in filter(None, plain):
+            if len(b) > 2:
+                self.long[_hashed(np.array([_code(b[:3])], np.uint32))] = True
+            else:
+                self.short[np.arange(256) * 256 + b[0] if len(b) == 1 else b[0] + 256 * b[1]] = True
+
     def pairs(self, data: np.ndarray, ends: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """(text, string) for all places where a string starts; ends: where each text ends, and 0 before the first."""
         for a in range(0, len(data), _CHUNK):
+            n = min(_CHUNK, len(data) - a)
             part = data[a : a + _CHUNK + self.longest + 4]
-            part = np.concatenate([part, np.zeros(max(0, min(_CHUNK, len(data) - a) + self.longest + 4 - len(part)), np.uint8)]).astype(np.uint32)
-            here = part[:-3] | part[1:-2] << 8 | part[2:-1] << 16 | part[3:] << 24
-            starts = here[: min(_CHUNK, len(data) - a)]
+            part = np.concatenate([part, np.zeros(max(4, n + self.longest + 4 - len(part)), np.uint8)])
+            here = np.ndarray(len(part) - 3, "<u4", part, strides=(1,))
+            starts = here[:n].copy()
+            begun = {False: np.flatnonzero(self.short[np.ndarray(n, "<u2", part, strides=(1,))]), True: np.flatnonzero(self.long[_hashed(starts & np.uint32(0xFFFFFF))])}
             for mask, likely, codes, first, strings in self.by_length:
-                own = starts & mask
+                own = starts[begun[mask > 0xFFFF]] & mask
                 at = np.flatnonzero(likely[_hashed(own)])
-                k = np.minimum(np.searchsorted(codes, own[at]), len(codes) - 1)
-                same = codes[k] == own[at]
+                own, at = own[at], begun[mask > 0xFFFF][at]
+                if not len(at):
+                    continue
+                k = np.minimum(np.searchsorted(codes, own), len(codes) - 1)
+                same = codes[k] == own
                 at, k = at[same], k[same]
                 many = first[k + 1] - first[k]
                 at, s = np.repeat(at, many), strings[np.repeat(first[k], many) + np.arange(many.sum()) - np.repeat(many.cumsum() - many, many)]
-                for step in range(self.steps if len(at) else 0):
-                    keep = (self.n_steps[s] <= step) | (here[np.minimum(at + self.places[s, step], len(here) - 1)] == self.codes[s, step])
-                    at, s = at[keep], s[keep]
+                ready = []
+                for step in range(self.steps + 1):  # those whose last code was the one before are found
+                    more = self.n_steps[s] > step
+                    ready.append((at[~more], s[~more]))
+                    at, s = at[more], s[more]
+                    if not len(at):
+                        break
+                    same = here[np.minimum(at + self.places[s, step], len(here) - 1)] == self.codes[s, step]
+                    at, s = at[same], s[same]
+                at, s = (np.concatenate(x) for x in zip(*ready))
                 at = at + a
                 text = np.searchsorted(ends, at, "right") - 1
                 end = at + self.lengths[s]
@@ -118,6 +139,44 @@ def _by_text(marks: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return np.diff(np.searchsorted(np.flatnonzero(marks), ends))
 
 
+#: Any sign but those of which all engines of regular expressions think alike, given ASCII bounds and bounded(): printable ASCII,
+#: tabs and line feeds, Latin letters whose lower case is one of them too, punctuation.
+_UNLIKE = "[^\t\n -~¡-©«¬®-±´¶-¸»¿-įı-ſ‐-‧‰-‾€™−]"
+
+
+def plain(texts: pa.Array) -> np.ndarray:
+    """For each text whether it has only signs that all engines of regular expressions treat alike."""
+    return ~pa.compute.match_substring_regex(texts, _UNLIKE).to_numpy(zero_copy_only=False).astype(bool)
+
+
+def lower(texts: pa.Array, plain: np.ndarray) -> pa.Array:
+    """The texts in lower case; those that aren't plain by the rules for whole texts (a letter may become two)."""
+    low = pa.compute.utf8_lower(texts)
+    if plain.all():
+        return low
+    others = [texts[int(k)].as_py().lower() for k in np.flatnonzero(~plain)]
+    return pa.compute.replace_with_mask(low, pa.array(~plain), pa.array(others, texts.type))
+
+
+def bounded(texts: pa.Array) -> pa.Array:
+    """Plain texts whose accented letters are underscores, so that ASCII word bounds stand where they belong."""
+    data, ends = _bytes(texts)
+    letter = (data >= 0xC3) & (data <= 0xC5)
+    at = np.flatnonzero(letter)
+    at = at[(data[at] != 0xC3) | ((data[at + 1] != 0x97) & (data[at + 1] != 0xB7))]  # not the signs of times and division
+    out, kept = data.copy(), np.ones(len(data), bool)
+    out[at], kept[at + 1] = ord("_"), False
+    ends = ends - np.searchsorted(at, ends)
+    return pa.LargeStringArray.from_buffers(len(texts), pa.py_buffer(ends), pa.py_buffer(out[kept])).cast(texts.type)
+
+
+def _bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes, where each text ends and 0 before the first) of texts without nulls."""
+    wide = pa.types.is_large_string(texts.type)
+    ends = np.frombuffer(texts.buffers()[1], np.int64 if wide else np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+    return np.frombuffer(texts.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]], ends - ends[0]
+
+
 @lru_cache(maxsize=8)
 def finder(strings: tuple[str, ...]) -> Finder:
     return Finder(strings)
@@ -126,10 +185,7 @@ def finder(strings: tuple[str, ...]) -> Finder:
 def summary(texts: pa.Array, strings: tuple[str, ...]) -> pa.Array:
     """list<int64> for each text (no nulls): n_words, n_tokens, then the numbers of Finder.held()."""
     find = finder(strings)
-    wide = pa.types.is_large_string(texts.type)
-    ends = np.frombuffer(texts.buffers()[1], np.int64 if wide else np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
-    data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]]
-    ends = ends - ends[0]
+    data, ends = _bytes(texts)
     out, k = [], 0
     while k < len(texts):  # as many texts as make a chunk, or one longer text
         to = max(k + 1, int(np.searchsorted(ends, ends[k] + _CHUNK, "right")) - 1)

@@ -3,8 +3,9 @@
 All rules of a run are evaluated together. A batch of texts is read once for the strings that matches of their patterns
 must hold, and for words and tokens (strings.summary(), a numeric kernel). After that a pattern is searched for one
 alternative at a time: one that is a few plain strings is decided by the strings found, any other by its regular expression,
-in texts that hold all strings that a match must hold. Each distinct first pattern of a rule is searched once for each text,
-and the others only in texts where it was found.
+in texts that hold all strings that a match must hold. Each distinct expression is compiled once for a batch and searched by
+Arrow in all texts at once that need it; texts with signs of which regular expressions think differently (strings.plain())
+are left to Spark's.
 """
 
 from __future__ import annotations
@@ -375,6 +376,17 @@ def found(pattern: str, known: Sequence[str]) -> str:
     return f"({' or '.join(each) or 'false'})"
 
 
+def arrows(expression: str) -> tuple[bool, str] | None:
+    """(whether it is for strings.bounded() texts, the expression for Arrow); None: only Spark finds the same in plain() texts.
+
+    Arrow knows ASCII word signs only, so accented letters are underscores where these count; they must not be asked for there.
+    """
+    plain = expression.removeprefix("(?U)")
+    if not re.search(r"\\[bBwW]", plain) or expression == plain and not re.search(r"\\[bB]", plain):
+        return False, plain
+    return None if plain == expression or re.search(r"_|\[\^[^\]]*\\[wW]|[À-ÖØ-öø-ſ]", plain) else (True, plain)
+
+
 class Evaluation:
     """Rules as numeric kernels over a batch of texts: what strings leave open is asked of regular expressions in between."""
 
@@ -389,6 +401,8 @@ class Evaluation:
             for p in (p for c in r.counts for p in c[0]):
                 column, q = subject(p)
                 self.counted[column].setdefault(unicode_bounds(q), len(self.counted[column]))
+        self.asked = {k: (self.counted if k.startswith("n_") else self.expressions)[k.removeprefix("n_")] for k in _KINDS}
+        self.arrows = {k: [arrows(x) for x in known] for k, known in self.asked.items()}
 
     def _pattern(self, pattern: str) -> tuple:
         """(column, strings that decide, ((sets of strings, expression), ...)); strings are never enough for the text as it is."""
@@ -402,11 +416,10 @@ class Evaluation:
         parts = tuple((tuple(masks(x, self.known) for x in sets), number.setdefault(part, len(number))) for sets, part in others)
         return column, masks(strings, self.known) if column == "low" else [], parts
 
-    def open(self, hits: np.ndarray, filled: np.ndarray) -> dict[str, np.ndarray]:
+    def open(self, hits: np.ndarray, filled: np.ndarray, seen: dict | None = None) -> dict[str, np.ndarray]:
         """For each text the expressions to search ("low", "text") and to count ("n_low", "n_text"): matrices of booleans."""
-        n = len(hits)
-        out = {c: np.zeros((n, len(x)), bool) for c, x in self.expressions.items()} | {f"n_{c}": np.zeros((n, len(x)), bool) for c, x in self.counted.items()}
-        seen: dict = {}
+        out = {k: np.zeros((len(hits), len(x)), bool) for k, x in self.asked.items()}
+        seen = {} if seen is None else seen
         for r in self.rules:
             may = self._may(r, hits, filled, seen)
             if not may.any():
@@ -421,6 +434,24 @@ class Evaluation:
                 out[f"n_{column}"][:, self.counted[column][unicode_bounds(q)]] |= may & (_any(hits, masks(some, self.known)) if some else True)
         return out
 
+    def searched(self, low: pa.Array, text: pa.Array, todo: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+        """The results that open() asks for: matrices of numbers. All texts are plain()."""
+        out = {kind: np.zeros(wanted.shape, np.int64) for kind, wanted in todo.items()}
+        for column, texts in (("low", low), ("text", text)):
+            kinds = (column, f"n_{column}")
+            need = np.logical_or.reduce([todo[kind][:, [x is not None and x[0] for x in self.arrows[kind]]].any(1) for kind in kinds])
+            place, bounded = np.cumsum(need) - 1, S.bounded(texts.filter(pa.array(need)))
+            for kind in kinds:
+                for k in np.flatnonzero(todo[kind].any(0)):
+                    rows, (by_bounds, expression) = np.flatnonzero(todo[kind][:, k]), self.arrows[kind][k]
+                    some = bounded.take(pa.array(place[rows])) if by_bounds else texts.take(pa.array(rows))
+                    if kind == column:
+                        there = pa.compute.match_substring_regex(some, expression)
+                    else:  # Arrow's own count forgets what stands before a match
+                        there = pa.compute.count_substring(pa.compute.replace_substring_regex(some, expression, S.EDGE), S.EDGE)
+                    out[kind][rows, k] = there.to_numpy(zero_copy_only=False)
+        return out
+
     def _looked(self, p: str, hits: np.ndarray, seen: dict) -> tuple:
         """(column, found for sure, ((guard, expression), ...), possibly found), by the strings alone."""
         key = (type(p), p)
@@ -442,9 +473,9 @@ class Evaluation:
             may = may & ~(look(a)[1] & ~look(b)[3])
         return may
 
-    def fired(self, hits: np.ndarray, filled: np.ndarray, there: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        """(texts x rules booleans, the first counts); there: results in the order of open()."""
-        seen, exact = {}, {}
+    def fired(self, hits: np.ndarray, filled: np.ndarray, there: dict[str, np.ndarray], seen: dict | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(texts x rules booleans, the first counts); there: results in the order of open(), seen: what it kept of these texts."""
+        seen, exact = {} if seen is None else seen, {}
 
         def found(p: str) -> np.ndarray:
             key = (type(p), p)
@@ -494,55 +525,84 @@ def evaluation(rules: tuple[Rule, ...]) -> Evaluation:
     return Evaluation(rules)
 
 
-def _lists(rows: np.ndarray, values: np.ndarray) -> pa.Array:
+def _lists(rows: np.ndarray, values: pa.Array, null: np.ndarray | None = None) -> pa.Array:
     """A list for each row of a matrix of booleans: the values at its true places, in their order."""
-    return pa.ListArray.from_arrays(pa.array(np.append(0, rows.sum(1).cumsum()), pa.int32()), pa.array(values, pa.int32()))
+    return pa.ListArray.from_arrays(pa.array(np.append(0, rows.sum(1).cumsum()), pa.int32()), values, mask=None if null is None else pa.array(null))
 
 
-def _matrix(lists: pa.Array, width: int | None = None) -> np.ndarray:
-    return lists.flatten().to_numpy(zero_copy_only=False).reshape(len(lists), width or -1)
+def _matrix(lists: pa.Array, width: int) -> np.ndarray:
+    return lists.flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
 
 
 _KINDS = ("low", "text", "n_low", "n_text")
 
 
+def _fired(fires: np.ndarray, n: np.ndarray, decided: np.ndarray) -> pa.Array:
+    """list<struct<seq, n>> for each row, null where `decided` isn't true; fires and n have the decided rows only."""
+    at, every = np.nonzero(fires), np.zeros((len(decided), fires.shape[1]), bool)
+    every[decided] = fires
+    return _lists(every, pa.StructArray.from_arrays([pa.array(at[1], pa.int32()), pa.array(n[at])], ["seq", "n"]), ~decided)
+
+
+def look(rules: tuple[Rule, ...], texts: pa.Array) -> pa.Array:
+    """x: the rules that fire, null for texts left to Spark; for these hits and the numbers of expressions to search (_KINDS)."""
+    e = evaluation(rules)
+    plain = S.plain(texts)
+    low = S.lower(texts, plain)
+    hits = S.summary(low, e.known)
+    table, filled = np.asfortranarray(_matrix(hits, 2 + -(-len(e.known) // S.BITS))), pa.compute.binary_length(texts).to_numpy(zero_copy_only=False) > 0
+    seen: dict = {}
+    todo = e.open(table, filled, seen)
+    for k in _KINDS:
+        plain &= ~todo[k][:, [x is None for x in e.arrows[k]]].any(1)
+    if plain.all():
+        fires, n = e.fired(table, filled, e.searched(low, texts, todo), seen)
+    else:
+        mask = pa.array(plain)
+        fires, n = e.fired(table[plain], filled[plain], e.searched(low.filter(mask), texts.filter(mask), {k: todo[k][plain] for k in _KINDS}))
+    open_ = {k: todo[k] & ~plain[:, None] for k in _KINDS}
+    each = [_lists(open_[k], pa.array(np.nonzero(open_[k])[1], pa.int32())) for k in _KINDS]
+    kept = _lists(np.repeat(~plain[:, None], table.shape[1], 1), pa.array(table[~plain].ravel()), plain)
+    return pa.StructArray.from_arrays([_fired(fires, n, plain), kept, *each], ["x", "hits", *_KINDS])
+
+
+def decide(rules: tuple[Rule, ...], filled: pa.Array, looked: pa.Array, results: Sequence[pa.Array]) -> pa.Array:
+    """The rules that fire in the texts left to Spark, by the results of its searches; null for all others."""
+    e, there = evaluation(rules), {}
+    open_ = looked.field("hits").is_valid().to_numpy(zero_copy_only=False)
+    place = np.cumsum(open_) - 1
+    for k, found in zip(_KINDS, results):
+        numbers = looked.field(k)
+        there[k] = np.zeros((open_.sum(), len(e.asked[k])), np.int64)
+        rows = np.repeat(place, numbers.value_lengths().to_numpy(zero_copy_only=False))
+        there[k][rows, numbers.flatten().to_numpy(zero_copy_only=False)] = found.flatten().to_numpy(zero_copy_only=False)
+    table = _matrix(looked.field("hits"), 2 + -(-len(e.known) // S.BITS))
+    return _fired(*e.fired(table, filled.to_numpy(zero_copy_only=False)[open_], there), open_)
+
+
 def checked(docs: DataFrame, rules: Sequence[Rule] | None = None) -> DataFrame:
     """doc_id, f: one row for each of docs, with the array of its findings (seq, category, severity, title, confidence, action)."""
     rules = tuple(rules or all_rules())
     ev = evaluation(rules)
-    width = 2 + -(-len(ev.known) // S.BITS)
 
-    @F.arrow_udf("hits array<long>, " + ", ".join(f"{k} array<int>" for k in _KINDS))
-    def look(low: pa.Array) -> pa.Array:
-        e = evaluation(rules)
-        hits = S.summary(low, e.known)
-        todo = e.open(_matrix(hits, width), pa.compute.binary_length(low).to_numpy(zero_copy_only=False) > 0)
-        return pa.StructArray.from_arrays([hits, *(_lists(todo[k], np.nonzero(todo[k])[1]) for k in _KINDS)], ["hits", *_KINDS])
+    @F.arrow_udf("x array<struct<seq int, n long>>, hits array<long>, " + ", ".join(f"{k} array<int>" for k in _KINDS))
+    def looked(text: pa.Array) -> pa.Array:
+        return look(rules, text)
 
     @F.arrow_udf("array<struct<seq int, n long>>")
-    def decide(filled: pa.Array, looked: pa.Array, low: pa.Array, text: pa.Array, n_low: pa.Array, n_text: pa.Array) -> pa.Array:
-        e, there = evaluation(rules), {}
-        for k, results in zip(_KINDS, (low, text, n_low, n_text)):
-            numbers = looked.field(k)
-            there[k] = np.zeros((len(looked), len((e.counted if k.startswith("n_") else e.expressions)[k.removeprefix("n_")])), np.int64)
-            rows = np.repeat(np.arange(len(looked)), numbers.value_lengths().to_numpy(zero_copy_only=False))
-            there[k][rows, numbers.flatten().to_numpy(zero_copy_only=False)] = results.flatten().to_numpy(zero_copy_only=False)
-        fires, n = e.fired(_matrix(looked.field("hits"), width), filled.to_numpy(zero_copy_only=False), there)
-        at = np.nonzero(fires)
-        found = pa.StructArray.from_arrays([pa.array(at[1], pa.int32()), pa.array(n[at])], ["seq", "n"])
-        return pa.ListArray.from_arrays(pa.array(np.append(0, fires.sum(1).cumsum()), pa.int32()), found)
+    def decided(filled: pa.Array, looked: pa.Array, low: pa.Array, text: pa.Array, n_low: pa.Array, n_text: pa.Array) -> pa.Array:
+        return decide(rules, filled, looked, (low, text, n_low, n_text))
 
     def asked(kind: str) -> Column:
-        column, counts = kind.removeprefix("n_"), kind.startswith("n_")
-        known = (ev.counted if counts else ev.expressions)[column]
+        column, known = kind.removeprefix("n_"), ev.asked[kind]
         each = F.array(*map(F.lit, known)) if known else F.array(F.lit(""))
-        one = lambda i: F.regexp_count(column, F.get(each, i)) if counts else F.rlike(F.col(column), F.get(each, i))
+        one = lambda i: F.regexp_count(column, F.get(each, i)) if kind.startswith("n_") else F.rlike(F.col(column), F.get(each, i))
         return F.transform(f"looked.{kind}", one).alias(kind + "_")
 
-    d = docs.select("doc_id", T.text_of("text").alias("text")).select("doc_id", "text", F.lower("text").alias("low"))
-    d = d.select("doc_id", "text", "low", look("low").alias("looked"))
-    d = d.select("doc_id", (F.col("low") != "").alias("filled"), "looked", *map(asked, _KINDS))
-    d = d.select("doc_id", decide("filled", "looked", *(k + "_" for k in _KINDS)).alias("x"))
+    d = docs.select("doc_id", T.text_of("text").alias("text")).select("doc_id", "text", looked("text").alias("looked"))
+    d = d.select("doc_id", "text", F.when(F.col("looked.x").isNull(), F.lower("text")).alias("low"), "looked")
+    d = d.select("doc_id", (F.col("text") != "").alias("filled"), "looked", *map(asked, _KINDS))
+    d = d.select("doc_id", F.coalesce("looked.x", decided("filled", "looked", *(k + "_" for k in _KINDS))).alias("x"))
     of = lambda name, x: F.get(F.array(*[F.lit(getattr(r, name)) for r in rules]), x["seq"]).alias(name)
     title = lambda x: F.replace(of("title", x), F.lit("{n}"), x["n"].cast("string")).alias("title")
     return d.select("doc_id", F.transform("x", lambda x: F.struct(x["seq"].alias("seq"), of("category", x), of("severity", x), title(x), of("confidence", x), of("action", x))).alias("f"))

@@ -386,3 +386,35 @@ def test_documents_of_several_rows_are_brought_together_before_they_are_cut_into
 
     walk(df._jdf.queryExecution().executedPlan())
     assert 20 <= sum(written) <= 42
+
+
+def test_plain_texts_are_decided_in_one_pass_and_others_left_to_spark():
+    """Arrow's searches find in plain texts what Python's do; texts with other signs go to Spark with their open expressions."""
+    import random
+    import re
+
+    import numpy as np
+    import pyarrow as pa
+
+    from inkloom.functions import strings
+
+    each, some = tuple(rules.all_rules()), random.Random(11)
+    e = rules.evaluation(each)
+    words = [w for n in manuscripts_notes() for w in n.split()] + ["résquared", "r_squared", "p<.05p<.01", "5p<0.05", "maý", "mayé", "x×10", "K12AB", "NSFC", "novelénovel"]
+    texts = ["".join(some.choice(words) + some.choice([" ", " ", "\n", "\t", "-", "_", "é", "", "—", ". "]) for _ in range(some.choice([3, 20, 90]))) for _ in range(300)]
+    strange = ["we\u00a0proposed", "Mayⓐ novel, p < 0.05", "İ may", "train\rtest R01AB12"]
+    assert strings.plain(pa.array(texts)).all() and not strings.plain(pa.array(strange)).any()
+    assert strings.lower(pa.array(texts + strange), strings.plain(pa.array(texts + strange))).to_pylist() == [t.lower() for t in texts + strange]
+    looked = rules.look(each, pa.array([*strange, *texts, "", *strange]))
+    left = looked.field("x").is_null().to_pylist()
+    assert left == [True] * 4 + [False] * 301 + [True] * 4 and looked.field("hits").is_valid().to_pylist() == left
+    assert looked.field("text").to_pylist()[4:-4] == [[]] * 301 and any(looked.field("text").to_pylist()[:4])
+
+    low, text = pa.array([t.lower() for t in texts]), pa.array(texts)
+    todo = {k: np.array([[some.random() < 0.2 for _ in x] for _ in texts]).reshape(len(texts), -1) for k, x in e.asked.items()}
+    for kind, got in e.searched(low, text, todo).items():
+        for k, p in enumerate(e.asked[kind]):
+            find = re.compile(p.removeprefix("(?U)"), 0 if p.startswith("(?U)") else re.ASCII).finditer
+            for i in np.flatnonzero(todo[kind][:, k]):
+                n = sum(1 for _ in find((text if kind.endswith("text") else low)[int(i)].as_py()))
+                assert got[i, k] == (n if kind.startswith("n_") else n > 0), (p, texts[i])
