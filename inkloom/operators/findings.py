@@ -50,16 +50,24 @@ def percent(confidence: Column) -> Column:
     return F.concat(p.cast("string"), F.when(p < 50, "% (uncertain)").otherwise("%"))
 
 
+def let(value: Column, of) -> Column:
+    """of(value), the value evaluated once however often `of` uses it."""
+    return F.get(F.transform(F.array(value), of), F.lit(0))
+
+
+def repeated_items(items: Column) -> Column:
+    """How many different items an array holds more than once: those whose first place isn't their last."""
+    return F.size(F.filter(F.array_distinct(items), lambda x: F.array_position(items, x) + F.array_position(F.reverse(items), x) <= F.size(items)))
+
+
 def readiness_of(f: Column) -> Column:
     """100 less saturating penalties by severity, scaled by how clustered the categories are."""
     penalty = F.lit(0.0)
     for label, weight, _, scale, most in SEVERITIES:
         raw = F.aggregate(F.filter(f, lambda x: x["severity"] == label), F.lit(0.0), lambda acc, x: acc + weight * x["confidence"])
         penalty = penalty + most * (1 - F.exp(-raw / scale))
-    categories = F.transform(f, lambda x: x["category"])
-    distinct = F.array_distinct(categories)
-    clustered = F.size(F.filter(distinct, lambda c: F.size(F.filter(categories, lambda x: x == c)) >= 2))
-    score = F.bround(100 - penalty * (0.7 + 0.3 * clustered / F.greatest(F.size(distinct), F.lit(1))))
+    clustered = let(F.transform(f, lambda x: x["category"]), lambda c: 0.3 * repeated_items(c) / F.greatest(F.size(F.array_distinct(c)), F.lit(1)))
+    score = F.bround(100 - penalty * (0.7 + clustered))
     return F.when(F.size(f) == 0, 100).otherwise(F.greatest(F.least(score, F.lit(100.0)), F.lit(0.0)).cast("int"))
 
 
@@ -100,18 +108,24 @@ def minutes_of(action: Column) -> Column:
     return F.when(words <= 12, 30).when(act.rlike("add|state|include|declare|provide|register|deposit|report"), 30).when(act.rlike("rewrite|restructure|expand|re-analy|collect|conduct"), 150).otherwise(90)
 
 
+def plan_of(f: Column) -> Column:
+    """The findings of distinct normalised titles in order."""
+    key = lambda x: F.regexp_replace(F.lower(x["title"]), "[^a-z0-9]+", "")
+    return let(ranked_of(f), lambda r: let(F.transform(r, key), lambda k: F.filter(r, lambda x, i: F.array_position(k, F.get(k, i)) == i + 1)))
+
+
 def fix_plan(checked: DataFrame) -> DataFrame:
     """doc_id, step, title, minutes: findings of distinct normalised titles in order, with an estimate of the work."""
-    ranked = checked.select("doc_id", ranked_of(F.col(_f)).alias("r")).withColumn("k", F.transform("r", lambda x: F.regexp_replace(F.lower(x["title"]), "[^a-z0-9]+", "")))
-    first = F.filter("r", lambda x, i: F.array_position(F.col("k"), F.get("k", i)) == i + 1)
-    steps = ranked.select("doc_id", F.posexplode_outer(first).alias("step", "x")).where(F.col("x").isNotNull())
+    steps = checked.select("doc_id", F.posexplode_outer(plan_of(F.col(_f))).alias("step", "x")).where(F.col("x").isNotNull())
     return steps.select("doc_id", (F.col("step") + 1).alias("step"), F.col("x.title").alias("title"), minutes_of(F.col("x.action")).alias("minutes"))
 
 
 def plan_totals(checked: DataFrame) -> DataFrame:
-    """doc_id, steps, minutes, hours: the whole plan's work."""
-    plan = fix_plan(checked).groupBy("doc_id").agg(F.count("*").alias("steps"), F.sum("minutes").alias("minutes"))
-    return plan.withColumn("hours", F.round(F.col("minutes") / 60, 1))
+    """doc_id, steps, minutes, hours: the whole plan's work. A row's steps are summed in it, before rows are grouped by doc_id."""
+    minutes = lambda plan: F.aggregate(plan, F.lit(0).cast("long"), lambda acc, x: acc + minutes_of(x["action"]))
+    total = let(plan_of(F.col(_f)), lambda plan: F.struct(F.size(plan).cast("long").alias("steps"), minutes(plan).alias("minutes")))
+    each = checked.select("doc_id", total.alias("t")).groupBy("doc_id").agg(F.sum("t.steps").alias("steps"), F.sum("t.minutes").alias("minutes"))
+    return each.where(F.col("steps") > 0).withColumn("hours", F.round(F.col("minutes") / 60, 1))
 
 
 def revision_diff(before: DataFrame, after: DataFrame) -> DataFrame:

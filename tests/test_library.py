@@ -418,3 +418,31 @@ def test_plain_texts_are_decided_in_one_pass_and_others_left_to_spark():
             for i in np.flatnonzero(todo[kind][:, k]):
                 n = sum(1 for _ in find((text if kind.endswith("text") else low)[int(i)].as_py()))
                 assert got[i, k] == (n if kind.startswith("n_") else n > 0), (p, texts[i])
+
+
+def test_plans_and_scores_read_the_findings_once(spark):
+    import math
+    from collections import Counter
+
+    from inkloom.operators import findings as R
+
+    row = "array<struct<seq:int,category:string,severity:string,title:string,confidence:double,action:string>>"
+    f = [(k, "abcda"[k % 5], ("High", "Low", "Medium")[k % 3], f"Title {k % 7}!", 0.5 + k / 100, "Add it" if k % 2 else "please go on and make all of these thirteen words fit the form " + "rewrite") for k in range(20)]
+    df = spark.createDataFrame([(1, f), (1, f[:3]), (2, f[:1]), (3, [])], f"doc_id long, f {row}")
+    items = [["a", "b", "a", "c", "b", "a"], ["a"], [], ["x", "y"]]
+    assert [r.n for r in spark.createDataFrame([(x,) for x in items], "c array<string>").select(R.repeated_items(F.col("c")).alias("n")).collect()] == [sum(v > 1 for v in Counter(x).values()) for x in items]
+    plan = R.plan_totals(df)
+    assert "Generate" not in plan._jdf.queryExecution().executedPlan().toString()
+    each = {}
+    for r in R.fix_plan(df).collect():
+        n, m = each.get(r.doc_id, (0, 0))
+        each[r.doc_id] = n + 1, m + r.minutes
+    assert {r.doc_id: (r.steps, r.minutes) for r in plan.collect()} == each and set(each) == {1, 2} and each[1][0] == 10
+
+    def score(f):
+        raw = {s[0]: sum(s[1] * x[4] for x in f if x[2] == s[0]) for s in R.SEVERITIES}
+        penalty = sum(s[4] * (1 - math.exp(-raw[s[0]] / s[3])) for s in R.SEVERITIES)
+        many = Counter(x[1] for x in f)
+        return max(0, round(100 - penalty * (0.7 + 0.3 * sum(v > 1 for v in many.values()) / max(len(many), 1)))) if f else 100
+
+    assert sorted(r.readiness for r in R.readiness(df).collect()) == sorted(map(score, (f, f[:3], f[:1], [])))
