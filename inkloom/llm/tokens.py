@@ -15,6 +15,7 @@ import os
 import re
 from array import array
 from functools import lru_cache
+from operator import attrgetter
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
@@ -25,6 +26,7 @@ BYTE_LEVEL = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 SIMPLE_TAILS = frozenset(".,;:!?")
 MOST_PIECES, MOST_WORDS = 600_000, 300_000
+_ID = attrgetter("id")
 
 
 def default_path() -> str:
@@ -89,8 +91,12 @@ class Encoder:
         self.pieces = _Memo(self._piece, MOST_PIECES)
 
     def _word(self, word: str) -> bytes:
-        letters = word.encode("utf-8").decode("latin-1").translate(self.letters)
-        return array("I", [t.id for t in self.model.tokenize(letters)]).tobytes()
+        plain = word.removeprefix(" ")
+        if plain.isascii() and plain.isalnum():  # letters that stand for themselves
+            letters = word if plain is word else self.letters[ord(" ")] + plain
+        else:
+            letters = word.encode("utf-8").decode("latin-1").translate(self.letters)
+        return array("I", map(_ID, self.model.tokenize(letters))).tobytes()
 
     def _piece(self, rest: str) -> bytes:
         """Ids of a space and `rest`, before which and after which the text may be cut."""

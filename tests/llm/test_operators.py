@@ -767,3 +767,18 @@ def test_features_drop_the_encoders_of_a_reused_worker():
     tokens.encoder(tokens.default_path())
     Space().rows(["some words"])
     assert tokens.encoder.cache_info().currsize == 0
+
+
+def test_points_count_distinct_words_without_hashing_them_again(monkeypatch):
+    from inkloom.llm import packing, textvec
+
+    texts = ["a b a c", "", None, "one two one", "a", "x " * 50 + "y", "é a-b a"]
+    naive = np.zeros((len(texts), packing.DIMS))
+    for i, text in enumerate(texts):
+        words = {int(h) >> 24 for h in textvec.Tokens([(text or "").encode()], words_only=True).hash}
+        mixed = textvec.mix(np.array(sorted(words), np.uint64))
+        for d in range(packing.DIMS):
+            naive[i, d] = sum(1 - 2 * (int(m) >> d & 1) for m in mixed) / np.sqrt(max(len(words), 1))
+    monkeypatch.setattr(np, "unique", None)  # hashes all words; sorting them takes a fraction of its time
+    assert np.allclose(packing.project(texts), 1 / (1 + np.exp(-1.702 * naive)))
+    assert packing.project([]).shape == (0, packing.DIMS) and len(packing.curve_keys(["", None])) == 2
