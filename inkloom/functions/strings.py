@@ -16,8 +16,6 @@ BITS = 60
 #: Bytes that are looked at together.
 _CHUNK = 1 << 21
 _WORD_SIGNS = np.isin(np.arange(256), list(b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789_"))
-_ALNUM = _WORD_SIGNS & (np.arange(256) != ord("_"))
-_SPACE = np.isin(np.arange(256), list(b" \t\n\v\f\r"))
 
 
 def _code(b: bytes) -> int:
@@ -25,7 +23,14 @@ def _code(b: bytes) -> int:
 
 
 def _hashed(codes: np.ndarray) -> np.ndarray:
-    return (codes * np.uint32(2654435761)) >> np.uint32(15)
+    out = codes * np.uint32(2654435761)
+    out >>= np.uint32(15)
+    return out
+
+
+def _within(data: np.ndarray, first: int, last: int) -> np.ndarray:
+    """Whether bytes are in a range; smaller ones become great when `first` is taken from them."""
+    return data - np.uint8(first) <= np.uint8(last - first)
 
 
 class Finder:
@@ -69,18 +74,23 @@ class Finder:
             part = np.concatenate([part, np.zeros(max(4, n + self.longest + 4 - len(part)), np.uint8)])
             here = np.ndarray(len(part) - 3, "<u4", part, strides=(1,))
             starts = here[:n].copy()
-            begun = {False: np.flatnonzero(self.short[np.ndarray(n, "<u2", part, strides=(1,))]), True: np.flatnonzero(self.long[_hashed(starts & np.uint32(0xFFFFFF))])}
+            # all numbers are in their tables: "wrap" only spares numpy a check of each
+            short, long = (table.take(x, mode="wrap") for table, x in ((self.short, np.ndarray(n, "<u2", part, strides=(1,))), (self.long, _hashed(starts & np.uint32(0xFFFFFF)))))
+            begun = {False: np.flatnonzero(short), True: np.flatnonzero(long)}
             for mask, likely, codes, first, strings in self.by_length:
                 own = starts[begun[mask > 0xFFFF]] & mask
-                at = np.flatnonzero(likely[_hashed(own)])
+                at = np.flatnonzero(likely.take(_hashed(own), mode="wrap"))
                 own, at = own[at], begun[mask > 0xFFFF][at]
                 if not len(at):
                     continue
                 k = np.minimum(np.searchsorted(codes, own), len(codes) - 1)
                 same = codes[k] == own
                 at, k = at[same], k[same]
-                many = first[k + 1] - first[k]
-                at, s = np.repeat(at, many), strings[np.repeat(first[k], many) + np.arange(many.sum()) - np.repeat(many.cumsum() - many, many)]
+                if len(strings) == len(codes):  # one string for each code
+                    s = strings[k]
+                else:
+                    many = first[k + 1] - first[k]
+                    at, s = np.repeat(at, many), strings[np.repeat(first[k], many) + np.arange(many.sum()) - np.repeat(many.cumsum() - many, many)]
                 ready = []
                 for step in range(self.steps + 1):  # those whose last code was the one before are found
                     more = self.n_steps[s] > step
@@ -95,8 +105,10 @@ class Finder:
                 text = np.searchsorted(ends, at, "right") - 1
                 end = at + self.lengths[s]
                 keep = end <= ends[text + 1]
-                before, after = data[np.maximum(at - 1, 0)], data[np.minimum(end, len(data) - 1)]
-                keep &= ~(self.left[s] & (at > ends[text]) & _WORD_SIGNS[before]) & ~(self.right[s] & (end < ends[text + 1]) & _WORD_SIGNS[after])
+                k = np.flatnonzero(self.left[s])
+                keep[k] &= ~((at[k] > ends[text[k]]) & _WORD_SIGNS[data[np.maximum(at[k] - 1, 0)]])
+                k = np.flatnonzero(self.right[s])
+                keep[k] &= ~((end[k] < ends[text[k] + 1]) & _WORD_SIGNS[data[np.minimum(end[k], len(data) - 1)]])
                 yield text[keep], s[keep]
 
     def held(self, data: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -110,7 +122,7 @@ class Finder:
 
 def n_words(data: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """Matches of text.WORD in each text: runs of letters, digits, ' and - that hold a letter or digit."""
-    alnum = _ALNUM[data]
+    alnum = _within(data | np.uint8(32), ord("a"), ord("z")) | _within(data, ord("0"), ord("9"))
     joint = (data == ord("'")) | (data == ord("-"))
     first = np.zeros(len(data) + 1, bool)
     first[ends] = True
@@ -129,14 +141,16 @@ def n_words(data: np.ndarray, ends: np.ndarray) -> np.ndarray:
 
 def n_tokens(data: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """Runs without white space in each text."""
-    space = _SPACE[data]
+    space = _within(data, ord("\t"), ord("\r")) | (data == ord(" "))
     before = np.concatenate([[True], space[:-1]])
     before[ends[:-1][ends[:-1] < len(data)]] = True
     return _by_text(~space & before, ends)
 
 
 def _by_text(marks: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    return np.diff(np.searchsorted(np.flatnonzero(marks), ends))
+    if len(ends) > len(marks) >> 8:  # short texts
+        return np.diff(np.searchsorted(np.flatnonzero(marks), ends))
+    return np.array([np.count_nonzero(marks[a:b]) for a, b in zip(ends[:-1], ends[1:])], np.int64)
 
 
 #: Any sign but those of which all engines of regular expressions think alike, given ASCII bounds and bounded(): printable ASCII,
@@ -160,14 +174,18 @@ def lower(texts: pa.Array, plain: np.ndarray) -> pa.Array:
 
 def bounded(texts: pa.Array) -> pa.Array:
     """Plain texts whose accented letters are underscores, so that ASCII word bounds stand where they belong."""
-    data, ends = _bytes(texts)
-    letter = (data >= 0xC3) & (data <= 0xC5)
-    at = np.flatnonzero(letter)
+    accented = pa.compute.invert(pa.compute.string_is_ascii(texts))
+    others = texts.filter(accented)
+    if not len(others):
+        return texts
+    data, ends = _bytes(others)
+    at = np.flatnonzero(_within(data, 0xC3, 0xC5))
     at = at[(data[at] != 0xC3) | ((data[at + 1] != 0x97) & (data[at + 1] != 0xB7))]  # not the signs of times and division
     out, kept = data.copy(), np.ones(len(data), bool)
     out[at], kept[at + 1] = ord("_"), False
     ends = ends - np.searchsorted(at, ends)
-    return pa.LargeStringArray.from_buffers(len(texts), pa.py_buffer(ends), pa.py_buffer(out[kept])).cast(texts.type)
+    others = pa.LargeStringArray.from_buffers(len(others), pa.py_buffer(ends), pa.py_buffer(out[kept])).cast(texts.type)
+    return pa.compute.replace_with_mask(texts, accented, others)
 
 
 def _bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -6,9 +6,13 @@ rules are evaluated once whatever is asked of them.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from inkloom.operators.rules import Rule, tallied
+
 # Label, weight, rank, scale and largest penalty of each severity.
 SEVERITIES = (("Critical", 40.0, 0, 60.0, 60.0), ("High", 20.0, 1, 150.0, 45.0), ("Medium", 8.0, 2, 300.0, 25.0), ("Low", 3.0, 3, 200.0, 18.0), ("Info", 0.0, 4, 1.0, 0.0))
 _f = "f"
@@ -85,6 +89,13 @@ def severity_counts(checked: DataFrame) -> DataFrame:
     return checked.select("doc_id", *counts_of(F.col(_f)))
 
 
+def rule_counts(docs: DataFrame, rules: Sequence[Rule] | None = None) -> DataFrame:
+    """severity_counts() of the rules' findings in docs, from the rules that fire: the findings themselves aren't made."""
+    n = lambda k: F.coalesce(F.get("x", F.lit(k)), F.lit(0).cast("long"))
+    each = [n(k).alias(s[0].lower()) for k, s in enumerate(SEVERITIES)]
+    return tallied(docs, [s[0] for s in SEVERITIES], rules).select("doc_id", *each, sum((n(k) for k in range(1, len(SEVERITIES) + 1)), n(0)).alias("findings"))
+
+
 def ranked_of(f: Column) -> Column:
     """The findings by severity, then confidence, then emission order."""
     key = F.transform(f, lambda x: F.struct(of_severity(x["severity"], 2).alias("rank"), (-x["confidence"]).alias("less"), x["seq"].alias("seq"), x["severity"].alias("severity"), x["title"].alias("title"), x["action"].alias("action")))

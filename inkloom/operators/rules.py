@@ -418,7 +418,7 @@ class Evaluation:
 
     def open(self, hits: np.ndarray, filled: np.ndarray, seen: dict | None = None) -> dict[str, np.ndarray]:
         """For each text the expressions to search ("low", "text") and to count ("n_low", "n_text"): matrices of booleans."""
-        out = {k: np.zeros((len(hits), len(x)), bool) for k, x in self.asked.items()}
+        out = {k: np.zeros((len(hits), len(x)), bool, "F") for k, x in self.asked.items()}
         seen = {} if seen is None else seen
         for r in self.rules:
             may = self._may(r, hits, filled, seen)
@@ -436,15 +436,18 @@ class Evaluation:
 
     def searched(self, low: pa.Array, text: pa.Array, todo: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
         """The results that open() asks for: matrices of numbers. All texts are plain()."""
-        out = {kind: np.zeros(wanted.shape, np.int64) for kind, wanted in todo.items()}
+        out = {kind: np.zeros(wanted.shape, np.int64 if kind.startswith("n_") else bool, "F") for kind, wanted in todo.items()}
         for column, texts in (("low", low), ("text", text)):
             kinds = (column, f"n_{column}")
-            need = np.logical_or.reduce([todo[kind][:, [x is not None and x[0] for x in self.arrows[kind]]].any(1) for kind in kinds])
+            need = np.zeros(len(texts), bool)
+            for kind in kinds:
+                for k in (k for k, x in enumerate(self.arrows[kind]) if x is not None and x[0]):
+                    need |= todo[kind][:, k]
             place, bounded = np.cumsum(need) - 1, S.bounded(texts.filter(pa.array(need)))
             for kind in kinds:
                 for k in np.flatnonzero(todo[kind].any(0)):
                     rows, (by_bounds, expression) = np.flatnonzero(todo[kind][:, k]), self.arrows[kind][k]
-                    some = bounded.take(pa.array(place[rows])) if by_bounds else texts.take(pa.array(rows))
+                    some = bounded.take(pa.array(place[rows])) if by_bounds else texts if len(rows) == len(texts) else texts.take(pa.array(rows))
                     if kind == column:
                         there = pa.compute.match_substring_regex(some, expression)
                     else:  # Arrow's own count forgets what stands before a match
@@ -458,11 +461,19 @@ class Evaluation:
         if key not in seen:
             column, strings, parts = self.patterns[key]
             sure = _any(hits, strings)
-            guards = [(np.logical_and.reduce([np.ones(len(hits), bool), *(_any(hits, x) for x in sets)]), k) for sets, k in parts]
-            seen[key] = column, sure, guards, np.logical_or.reduce([sure, *(g for g, _ in guards)])
+            guards, possible = [], sure.copy()
+            for sets, k in parts:
+                guard = _any(hits, sets[0]) if sets else np.ones(len(hits), bool)
+                for x in sets[1:]:
+                    guard &= _any(hits, x)
+                guards.append((guard, k))
+                possible |= guard
+            seen[key] = column, sure, guards, possible
         return seen[key]
 
     def _may(self, r: Rule, hits: np.ndarray, filled: np.ndarray, seen: dict) -> np.ndarray:
+        if r in seen:
+            return seen[r]
         look = lambda p: self._looked(p, hits, seen)
         may = filled & (hits[:, 0] >= r.least_words) & (hits[:, 1] >= r.least_tokens)
         for p in r.need:
@@ -471,6 +482,7 @@ class Evaluation:
             may = may & ~look(p)[1]
         for a, b in r.unless:
             may = may & ~(look(a)[1] & ~look(b)[3])
+        seen[r] = may
         return may
 
     def fired(self, hits: np.ndarray, filled: np.ndarray, there: dict[str, np.ndarray], seen: dict | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -481,14 +493,16 @@ class Evaluation:
             key = (type(p), p)
             if key not in exact:
                 column, sure, parts, _ = self._looked(p, hits, seen)
-                exact[key] = np.logical_or.reduce([sure, *(there[column][:, k].astype(bool) for _, k in parts)])
+                exact[key] = sure.copy()
+                for _, k in parts:
+                    exact[key] |= there[column][:, k].astype(bool, copy=False)
             return exact[key]
 
         def matches(patterns: Sequence[str]) -> np.ndarray:
             each = [subject(p) for p in patterns]
             return sum(there[f"n_{column}"][:, self.counted[column][unicode_bounds(q)]] for column, q in each)
 
-        fires, first = np.zeros((len(hits), len(self.rules)), bool), np.zeros((len(hits), len(self.rules)), np.int64)
+        fires, first = np.zeros((len(hits), len(self.rules)), bool, "F"), np.zeros((len(hits), len(self.rules)), np.int64, "F")
         for k, r in enumerate(self.rules):
             hit = self._may(r, hits, filled, seen)
             if not hit.any():
@@ -517,7 +531,10 @@ def _asked(r: Rule) -> tuple[str, ...]:
 
 
 def _any(hits: np.ndarray, masks: Sequence[tuple[int, int]]) -> np.ndarray:
-    return np.logical_or.reduce([np.zeros(len(hits), bool), *((hits[:, 2 + n] & mask) != 0 for n, mask in masks)])
+    out = np.zeros(len(hits), bool)
+    for n, mask in masks:
+        out |= (hits[:, 2 + n] & mask) != 0
+    return out
 
 
 @lru_cache(maxsize=8)
@@ -544,8 +561,18 @@ def _fired(fires: np.ndarray, n: np.ndarray, decided: np.ndarray) -> pa.Array:
     return _lists(every, pa.StructArray.from_arrays([pa.array(at[1], pa.int32()), pa.array(n[at])], ["seq", "n"]), ~decided)
 
 
-def look(rules: tuple[Rule, ...], texts: pa.Array) -> pa.Array:
-    """x: the rules that fire, null for texts left to Spark; for these hits and the numbers of expressions to search (_KINDS)."""
+def _tallied(fires: np.ndarray, groups: Sequence[int], decided: np.ndarray) -> pa.Array:
+    """list<long> for each row, null where `decided` isn't true: how many rules of each group fire."""
+    every, groups = np.zeros((len(decided), max(groups) + 1), np.int64), np.array(groups)
+    for k in range(every.shape[1]):
+        every[decided, k] = np.count_nonzero(fires[:, groups == k], axis=1)
+    return _lists(np.repeat(decided[:, None], every.shape[1], 1), pa.array(every[decided].ravel()), ~decided)
+
+
+def look(rules: tuple[Rule, ...], texts: pa.Array, groups: Sequence[int] | None = None) -> pa.Array:
+    """x: the rules that fire (or how many of each group do), null for texts left to Spark; for these hits and the numbers of
+    expressions to search (_KINDS).
+    """
     e = evaluation(rules)
     plain = S.plain(texts)
     low = S.lower(texts, plain)
@@ -554,7 +581,8 @@ def look(rules: tuple[Rule, ...], texts: pa.Array) -> pa.Array:
     seen: dict = {}
     todo = e.open(table, filled, seen)
     for k in _KINDS:
-        plain &= ~todo[k][:, [x is None for x in e.arrows[k]]].any(1)
+        for j in (j for j, x in enumerate(e.arrows[k]) if x is None):
+            plain &= ~todo[k][:, j]
     if plain.all():
         fires, n = e.fired(table, filled, e.searched(low, texts, todo), seen)
     else:
@@ -563,51 +591,73 @@ def look(rules: tuple[Rule, ...], texts: pa.Array) -> pa.Array:
     open_ = {k: todo[k] & ~plain[:, None] for k in _KINDS}
     each = [_lists(open_[k], pa.array(np.nonzero(open_[k])[1], pa.int32())) for k in _KINDS]
     kept = _lists(np.repeat(~plain[:, None], table.shape[1], 1), pa.array(table[~plain].ravel()), plain)
-    return pa.StructArray.from_arrays([_fired(fires, n, plain), kept, *each], ["x", "hits", *_KINDS])
+    x = _fired(fires, n, plain) if groups is None else _tallied(fires, groups, plain)
+    return pa.StructArray.from_arrays([x, kept, *each], ["x", "hits", *_KINDS])
 
 
-def decide(rules: tuple[Rule, ...], filled: pa.Array, looked: pa.Array, results: Sequence[pa.Array]) -> pa.Array:
-    """The rules that fire in the texts left to Spark, by the results of its searches; null for all others."""
-    e, there = evaluation(rules), {}
-    open_ = looked.field("hits").is_valid().to_numpy(zero_copy_only=False)
-    place = np.cumsum(open_) - 1
-    for k, found in zip(_KINDS, results):
-        numbers = looked.field(k)
-        there[k] = np.zeros((open_.sum(), len(e.asked[k])), np.int64)
-        rows = np.repeat(place, numbers.value_lengths().to_numpy(zero_copy_only=False))
-        there[k][rows, numbers.flatten().to_numpy(zero_copy_only=False)] = found.flatten().to_numpy(zero_copy_only=False)
-    table = _matrix(looked.field("hits"), 2 + -(-len(e.known) // S.BITS))
-    return _fired(*e.fired(table, filled.to_numpy(zero_copy_only=False)[open_], there), open_)
-
-
-def checked(docs: DataFrame, rules: Sequence[Rule] | None = None) -> DataFrame:
-    """doc_id, f: one row for each of docs, with the array of its findings (seq, category, severity, title, confidence, action)."""
-    rules = tuple(rules or all_rules())
-    ev = evaluation(rules)
+def decide(rules: tuple[Rule, ...], left: pa.Array, groups: Sequence[int] | None = None) -> pa.Array:
+    """look()'s x of the texts left to Spark, null for all others (where `left` is empty).
 
-    @F.arrow_udf("x array<struct<seq int, n long>>, hits array<long>, " + ", ".join(f"{k} array<int>" for k in _KINDS))
+    left: how many expressions of each kind are searched; then hits, all expressions' numbers, and what Spark's searches found.
+    """
+    e, open_ = evaluation(rules), left.value_lengths().to_numpy(zero_copy_only=False) > 0
+    n, kinds, width = open_.sum(), len(_KINDS), 2 + -(-len(evaluation(rules).known) // S.BITS)
+    there, table = {k: np.zeros((n, len(e.asked[k])), np.int64, "F") for k in _KINDS}, np.zeros((n, width), np.int64, "F")
+    rows = left.filter(pa.array(open_))
+    values, ends = rows.flatten().to_numpy(zero_copy_only=False), np.append(0, rows.value_lengths().to_numpy(zero_copy_only=False).cumsum())
+    for i in range(n):
+        own = values[ends[i] : ends[i + 1]]
+        table[i] = own[kinds : kinds + width]
+        numbers, found = own[kinds + width :].reshape(2, -1)
+        to = own[:kinds].cumsum()
+        for k, a, b in zip(_KINDS, np.append(0, to), to):
+            there[k][i, numbers[a:b]] = found[a:b]
+    fires, first = e.fired(table, np.ones(n, bool), there)
+    return _fired(fires, first, open_) if groups is None else _tallied(fires, groups, open_)
+
+
+def _evaluated(docs: DataFrame, rules: tuple[Rule, ...], groups: tuple[int, ...] | None = None) -> DataFrame:
+    """doc_id, x: one row for each of docs, with the numbers of the rules that fire (seq, n), or how many of each group do."""
+    ev, kind = evaluation(rules), "array<struct<seq int, n long>>" if groups is None else "array<long>"
+
+    @F.arrow_udf(f"x {kind}, hits array<long>, " + ", ".join(f"{k} array<int>" for k in _KINDS))
     def looked(text: pa.Array) -> pa.Array:
-        return look(rules, text)
+        return look(rules, text, groups)
 
-    @F.arrow_udf("array<struct<seq int, n long>>")
-    def decided(filled: pa.Array, looked: pa.Array, low: pa.Array, text: pa.Array, n_low: pa.Array, n_text: pa.Array) -> pa.Array:
-        return decide(rules, filled, looked, (low, text, n_low, n_text))
+    @F.arrow_udf(kind)
+    def decided(left: pa.Array) -> pa.Array:
+        return decide(rules, left, groups)
 
     def asked(kind: str) -> Column:
         column, known = kind.removeprefix("n_"), ev.asked[kind]
         each = F.array(*map(F.lit, known)) if known else F.array(F.lit(""))
         one = lambda i: F.regexp_count(column, F.get(each, i)) if kind.startswith("n_") else F.rlike(F.col(column), F.get(each, i))
-        return F.transform(f"looked.{kind}", one).alias(kind + "_")
+        return F.transform(f"looked.{kind}", lambda i: one(i).cast("long"))
 
     d = docs.select("doc_id", T.text_of("text").alias("text")).select("doc_id", "text", looked("text").alias("looked"))
     d = d.select("doc_id", "text", F.when(F.col("looked.x").isNull(), F.lower("text")).alias("low"), "looked")
-    d = d.select("doc_id", (F.col("text") != "").alias("filled"), "looked", *map(asked, _KINDS))
-    d = d.select("doc_id", F.coalesce("looked.x", decided("filled", "looked", *(k + "_" for k in _KINDS))).alias("x"))
+    numbers = [F.col(f"looked.{k}").cast("array<long>") for k in _KINDS]
+    left = F.concat(F.array(*(F.size(x).cast("long") for x in numbers)), "looked.hits", *numbers, *map(asked, _KINDS))  # one column: each costs time in every row
+    # an empty array for all others: Arrow goes over all nulls so far with each row that is written
+    d = d.select("doc_id", F.col("looked.x").alias("x"), F.when(F.col("looked.x").isNull(), left).otherwise(F.array().cast("array<long>")).alias("left"))
+    return d.select("doc_id", F.coalesce("x", decided("left")).alias("x"))
+
+
+def checked(docs: DataFrame, rules: Sequence[Rule] | None = None) -> DataFrame:
+    """doc_id, f: one row for each of docs, with the array of its findings (seq, category, severity, title, confidence, action)."""
+    rules = tuple(rules or all_rules())
+    d = _evaluated(docs, rules)
     of = lambda name, x: F.get(F.array(*[F.lit(getattr(r, name)) for r in rules]), x["seq"]).alias(name)
     title = lambda x: F.replace(of("title", x), F.lit("{n}"), x["n"].cast("string")).alias("title")
     return d.select("doc_id", F.transform("x", lambda x: F.struct(x["seq"].alias("seq"), of("category", x), of("severity", x), title(x), of("confidence", x), of("action", x))).alias("f"))
 
 
+def tallied(docs: DataFrame, severities: Sequence[str], rules: Sequence[Rule] | None = None) -> DataFrame:
+    """doc_id, x: one row for each of docs, with how many rules of each severity fire, and at last of any other. No findings are made."""
+    rules, names = tuple(rules or all_rules()), list(severities)
+    return _evaluated(docs, rules, tuple(names.index(r.severity) if r.severity in names else len(names) for r in rules))
+
+
 def findings(docs: DataFrame, rules: Sequence[Rule] | None = None) -> DataFrame:
     """doc_id, seq, category, severity, title, confidence, action: a row for each rule that fires."""
     d = checked(docs, rules).select("doc_id", F.explode_outer("f").alias("f")).where(F.col("f").isNotNull())

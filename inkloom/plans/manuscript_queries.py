@@ -68,7 +68,7 @@ QUERIES = {
     "event_windows": lambda s, d: rolling.window_counts(events(s, d)),
     "event_sessions": lambda s, d: rolling.sessions(events(s, d)),
     "rule_findings": rule_findings,
-    "severity_counts": lambda s, d: R.severity_counts(checked(s, d)),
+    "severity_counts": lambda s, d: R.rule_counts(manuscripts(s, d)),
     "readiness_score": lambda s, d: R.readiness(checked(s, d)),
     "batch_report": lambda s, d: R.batch(checked(s, d)),
     "fix_plan": lambda s, d: R.fix_plan(checked(s, d)),
