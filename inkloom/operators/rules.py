@@ -308,6 +308,26 @@ def rarity(strings: Iterable[str]) -> float:
     return min((min(len(s), 6) + 2 * (not (s.isalnum() and s.isascii()) and s not in " .,-\n\t") for s in strings), default=0) - 0.05 * len(list(strings))
 
 
+def common(strings: Iterable[str]) -> bool:
+    """Whether nearly every English text holds one of the strings, and most of them often: to find them all takes long."""
+    return not _COMMON.isdisjoint(strings)
+
+
+_COMMON = frozenset(x for x in (*T.GRAM_STOP, "here", "were", "who", "what") if len(x) > 2)
+
+
+@lru_cache(maxsize=None)
+def needed(pattern: str) -> tuple[str, ...]:
+    """literals(), but for those that are common: the best ones of each alternative."""
+    from re import _parser as parser
+
+    some = literals(pattern)
+    if not common(some):
+        return some
+    each = [best([set(x) for x in map(shortest, held(list(parser.parse(part)))) if not common(x)]) for part in alternatives(pattern)]
+    return tuple(sorted(set().union(*each))) if all(rarity(x) > 2 for x in each) else some
+
+
 def best(sets: list[set[str]]) -> set[str]:
     return max(sets, key=rarity, default=set())
 
@@ -335,6 +355,7 @@ def pieces(pattern: str, lower: bool) -> tuple[tuple[str, ...], tuple[tuple[tupl
         sets = [possible(x) for x in held(items)] if bounded is None else [possible(bounded)]
         if all(sets):
             sets = sorted(filter(lambda x: rarity(x) > 2, map(shortest, sets)), key=rarity, reverse=True)[:3]
+            sets = [x for x in sets if not common(x)] or sets
             others.append((tuple(map(tuple, sets)), part))
     strings = tuple(shortest(plain))
     implied = lambda sets: any(all(any(s in x for s in strings) for x in each) for each in sets)
@@ -361,7 +382,7 @@ def known_strings(rules: Sequence[Rule]) -> tuple[str, ...]:
             strings, others = pieces(p, column == "low")
             out |= dict.fromkeys(s.lower() for s in (*strings, *(s for sets, _ in others for x in sets for s in x)))
         for pattern in (p for c in r.counts for p in c[0]):
-            out |= dict.fromkeys(s.lower() for s in literals(subject(pattern)[1]))
+            out |= dict.fromkeys(s.lower() for s in needed(subject(pattern)[1]))
     return tuple(out)
 
 
@@ -430,7 +451,7 @@ class Evaluation:
                     out[column][:, k] |= may & guard & ~sure
             for p in (p for c in r.counts for p in c[0]):
                 column, q = subject(p)
-                some = literals(q)
+                some = needed(q)
                 out[f"n_{column}"][:, self.counted[column][unicode_bounds(q)]] |= may & (_any(hits, masks(some, self.known)) if some else True)
         return out
 
